@@ -1,0 +1,181 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from conftest import from_blocks, from_coo, integers, to_blocks, to_coo
+from pyspark.sql import functions as F
+
+import blockweave as bw
+from blockweave.operators.product import choose_tiling, heavy_indexes
+
+FOUR = np.arange(1.0, 17.0).reshape(4, 4)
+FOUR_B = 16.0 - np.arange(16.0).reshape(4, 4)
+
+STRASSEN = {
+    "fused": bw.strassen_multiply,
+    "single_stream": bw.strassen_single_stream,
+    "by_table": bw.strassen_by_table,
+    "recursive": bw.strassen_recursive,
+}
+
+
+def test_golden_product_by_entry(spark):
+    a, b = to_coo(spark, FOUR), to_coo(spark, FOUR_B)
+    expected_aa = [[90, 100, 110, 120], [202, 228, 254, 280], [314, 356, 398, 440], [426, 484, 542, 600]]
+    expected_ab = [[80, 70, 60, 50], [240, 214, 188, 162], [400, 358, 316, 274], [560, 502, 444, 386]]
+    assert from_coo(bw.multiply_coo(a, a), (4, 4)).tolist() == expected_aa
+    assert from_coo(bw.multiply_coo(a, b), (4, 4)).tolist() == expected_ab
+
+
+@pytest.mark.parametrize("split_heavy", [False, True])
+def test_rectangular_with_unmatched_indexes(spark, split_heavy):
+    a, b = integers(1, 5, 3, 0.7), integers(2, 3, 7, 0.7)
+    a[:, 2] = [1, 2, 3, 4, 5]
+    b[2, :] = 0  # A uses index 2, B has nothing there
+    got = bw.multiply_coo(to_coo(spark, a), to_coo(spark, b), split_heavy=split_heavy)
+    assert np.array_equal(from_coo(got, (5, 7)), a @ b)
+
+
+def test_duplicates_are_summed(spark):
+    a = to_coo(spark, FOUR).union(to_coo(spark, FOUR))
+    b = to_coo(spark, FOUR_B)
+    assert np.array_equal(from_coo(bw.multiply_coo(a, b), (4, 4)), 2 * FOUR @ FOUR_B)
+
+
+@pytest.mark.parametrize("share", [0.5, 0.1, 0.01])
+def test_heavy_contracted_index(spark, share):
+    a, b = integers(3, 60, 20, 0.1), integers(4, 20, 40, 0.1)
+    a[:, 7] = np.arange(1, 61)
+    b[7, :] = np.arange(1, 41)
+    a[:, 9] = 3.0  # long on one side only
+    b[9, :] = 0.0
+    b[9, 3] = 5.0
+    a[:, 11] = 2.0  # long on one side, absent on the other
+    b[11, :] = 0.0
+    left, right = to_coo(spark, a), to_coo(spark, b)
+    heavy = {r.c: (r.sa, r.sb) for r in heavy_indexes(left, right, share).collect()}
+    assert len(heavy) <= 3 / share
+    if share < 0.5:
+        assert heavy[7][0] > 1 and heavy[7][1] > 1
+        assert heavy[11] == (0, 0)
+    assert np.array_equal(from_coo(bw.multiply_coo(left, right, share=share), (60, 40)), a @ b)
+
+
+def test_heavy_index_spreads_over_join_keys(spark):
+    """A third of all rows under one index must not end up under one join key."""
+    from blockweave.operators.product import _cut
+
+    a, b = integers(5, 300, 10, 0.2), integers(6, 10, 300, 0.2)
+    a[:, 4], b[4, :] = 1.0, 1.0
+    left, right = to_coo(spark, a), to_coo(spark, b)
+    heavy = heavy_indexes(left, right, 0.02)
+    cut = _cut(left.select(F.col("j").alias("c"), F.col("i").alias("ai"), "v"), heavy, "sa", "sb", "ai")
+    biggest = cut.groupBy("c", "p_sa", "p_sb").count().agg(F.max("count")).first()[0]
+    assert biggest < 100
+
+
+@pytest.mark.parametrize("shape", [(8, 8, 8), (5, 3, 7), (9, 17, 6), (4, 4, 4)])
+@pytest.mark.parametrize("task_bytes", [1, 1 << 28])
+def test_block_product(spark, shape, task_bytes):
+    rows, inner, cols = shape
+    a, b = integers(7, rows, inner), integers(8, inner, cols)
+    got = bw.multiply_blocks(to_blocks(spark, a, 4), to_blocks(spark, b, 4), task_bytes)
+    assert np.array_equal(from_blocks(got), a @ b)
+
+
+@pytest.mark.parametrize("name", STRASSEN)
+@pytest.mark.parametrize(
+    "shape, bs, levels",
+    [
+        ((8, 8, 8), 2, 1),
+        ((8, 8, 8), 2, 2),
+        ((6, 6, 6), 2, 1),  # grid 3: odd
+        ((6, 6, 6), 2, 2),
+        ((4, 4, 4), 4, 1),  # grid 1
+        ((5, 3, 7), 2, 1),  # rectangular, edge blocks
+        ((7, 11, 5), 2, 2),
+        ((4, 4, 4), 4, 0),
+    ],
+)
+def test_strassen_is_exact_on_integers(spark, name, shape, bs, levels):
+    if name == "recursive" and levels > 1 and shape != (6, 6, 6):
+        pytest.skip("one deep case is enough for the recursive form")
+    rows, inner, cols = shape
+    a, b = integers(9, rows, inner), integers(10, inner, cols)
+    got = STRASSEN[name](to_blocks(spark, a, bs), to_blocks(spark, b, bs), levels)
+    assert (got.n_rows, got.n_cols) == (rows, cols)
+    assert np.array_equal(from_blocks(got), a @ b)
+
+
+@pytest.mark.parametrize("name", ["fused", "single_stream"])
+def test_three_levels(spark, name):
+    a, b = integers(11, 16, 16), integers(12, 16, 16)
+    got = STRASSEN[name](to_blocks(spark, a, 2), to_blocks(spark, b, 2), 3)
+    assert np.array_equal(from_blocks(got), a @ b)
+
+
+@pytest.mark.parametrize("name", ["fused", "single_stream", "by_table"])
+def test_wide_grid(spark, name):
+    """Grid 32 x 32, where block positions such as (1, 11) and (11, 1) must stay apart."""
+    a, b = integers(13, 32, 32), integers(14, 32, 32)
+    got = STRASSEN[name](to_blocks(spark, a, 1), to_blocks(spark, b, 1), 1)
+    assert np.array_equal(from_blocks(got), a @ b)
+
+
+@pytest.mark.parametrize("name", STRASSEN)
+def test_missing_blocks(spark, name):
+    a = np.kron(np.eye(4), np.array([[1.0, 2.0], [3.0, 4.0]]))
+    b = np.kron(np.diag([1.0, 0, 0, 2.0]), np.ones((2, 2)))
+    got = STRASSEN[name](to_blocks(spark, a, 2), to_blocks(spark, b, 2), 1)
+    assert np.array_equal(from_blocks(got), a @ b)
+
+
+@pytest.mark.parametrize("name", ["fused", "single_stream", "by_table"])
+def test_uneven_grid_with_reals_keeps_padding_clean(spark, name):
+    rng = np.random.default_rng(0)
+    a, b = rng.random((11, 9)), rng.random((9, 13))
+    got = STRASSEN[name](to_blocks(spark, a, 2), to_blocks(spark, b, 2), 2)
+    assert np.allclose(from_blocks(got), a @ b, rtol=1e-9)
+
+
+def test_empty_operand(spark):
+    a, b = np.zeros((4, 4)), integers(15, 4, 4)
+    for fn in (bw.multiply_blocks, bw.strassen_multiply, bw.strassen_by_table):
+        assert fn(to_blocks(spark, a, 2), to_blocks(spark, b, 2)).df.count() == 0
+    assert bw.multiply_coo(to_coo(spark, a), to_coo(spark, b)).count() == 0
+
+
+def test_via_blocks(spark):
+    a, b = integers(16, 6, 10, 0.5), integers(17, 10, 5, 0.5)
+    for levels in (0, 1):
+        got = bw.multiply_coo_via_blocks(to_coo(spark, a), to_coo(spark, b), (6, 10, 5), 2, levels, persist=True)
+        assert np.array_equal(from_blocks(got), a @ b)
+        got.unpersist()
+
+
+def test_identity(spark):
+    a = integers(18, 8, 8)
+    eye = to_blocks(spark, np.eye(8), 2)
+    assert np.array_equal(from_blocks(bw.strassen_multiply(to_blocks(spark, a, 2), eye, 2)), a)
+
+
+def test_nan_stays_in_its_row(spark):
+    a = FOUR.copy()
+    a[1, 2] = np.nan
+    got = from_blocks(bw.multiply_blocks(to_blocks(spark, a, 2), to_blocks(spark, FOUR_B, 2)))
+    assert np.array_equal(got, a @ FOUR_B, equal_nan=True)
+
+
+def test_shape_mismatch(spark):
+    with pytest.raises(ValueError):
+        bw.multiply_blocks(to_blocks(spark, integers(1, 4, 6), 2), to_blocks(spark, integers(1, 4, 6), 2))
+
+
+@pytest.mark.parametrize("cores", [1, 8, 8000])
+@pytest.mark.parametrize("grid", [(1, 1, 1), (4, 40, 4), (313, 6, 6), (6250, 6250, 6250)])
+def test_tiling_covers_grid_and_fits(grid, cores):
+    bs, budget = 256, 1 << 28
+    t = choose_tiling(*grid, bs, 7, cores, budget)
+    for side, tile, tiles in zip(grid, (t.tr, t.tc, t.tk), (t.nr, t.nc, t.nk)):
+        assert tile * tiles >= side > tile * (tiles - 1)
+    assert 8 * bs * bs * (t.tr * t.tc + t.tc * t.tk + t.tr * t.tk) <= budget
