@@ -123,7 +123,7 @@ def tile_product_kernel(bs: int, binary: bool) -> Kernel:
     return tile_product
 
 
-def divide_kernel(a_terms: dict, b_terms: dict, bs: int) -> Kernel:
+def divide_kernel(a_terms: dict, b_terms: dict, bs: int, binary: bool) -> Kernel:
     """Group of blocks at one in-quadrant position -> the operand blocks of every sub-problem at that position.
 
     Rows are ``mat, path, qr, qc, br, bc, data`` with one ``mat``, ``path``, ``br`` and ``bc`` per group; a sub-problem
@@ -149,7 +149,7 @@ def divide_kernel(a_terms: dict, b_terms: dict, bs: int) -> Kernel:
                             total -= block
                     yield mat, path * len(terms) + sub, r, c, total
 
-        yield from emit(operands(), ["mat", "path", "br", "bc", "data"], bs, binary=True)
+        yield from emit(operands(), ["mat", "path", "br", "bc", "data"], bs, binary)
 
     return divide
 

@@ -29,6 +29,7 @@ OPERAND_SCHEMA = T.StructType(
         T.StructField("data", T.BinaryType()),
     ]
 )
+OPERAND_ARRAY_SCHEMA = T.StructType([*OPERAND_SCHEMA.fields[:4], T.StructField("data", BLOCK_DATA)])
 
 
 @dataclass(frozen=True)
@@ -153,17 +154,19 @@ def strassen_by_table(a: BlockMatrix, b: BlockMatrix, levels: int | None = None,
 # --- grouped: every block is moved once ---------------------------------------------------------------------------
 
 
-def strassen_divide_grouped(operands: DataFrame, sub: Grid, bs: int, levels: int = 1) -> DataFrame:
+def strassen_divide_grouped(
+    operands: DataFrame, sub: Grid, bs: int, levels: int = 1, binary: bool = True
+) -> DataFrame:
     """The operands of all ``7 ** levels`` sub-problems, from one shuffle that moves each block once.
 
     Blocks at the same in-quadrant position meet in one group - at most ``4 ** levels`` of them - and the group emits
     every combination. ``sub`` is the grid of a sub-problem ``levels`` down.
     """
-    kernel = kernels.divide_kernel(nested_terms(A_TERMS, levels), nested_terms(B_TERMS, levels), bs)
+    kernel = kernels.divide_kernel(nested_terms(A_TERMS, levels), nested_terms(B_TERMS, levels), bs, binary)
     return (
         operands.withColumns(_quadrant_columns(sub))
         .groupBy("mat", "path", "br", "bc")
-        .applyInArrow(kernel, OPERAND_SCHEMA)
+        .applyInArrow(kernel, OPERAND_SCHEMA if binary else OPERAND_ARRAY_SCHEMA)
     )
 
 
