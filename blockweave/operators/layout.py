@@ -46,14 +46,18 @@ def coo_to_blocks(
     """Entries -> dense blocks; absent entries are zero and a block without entries is not stored.
 
     Two shuffles: by cell, which removes duplicates, and by block, where a group then holds at most ``bs * bs`` rows
-    however skewed the input is. ``unique=True`` promises distinct cells and saves the first one.
+    however skewed the input is. ``unique=True`` promises distinct cells and saves the first one. An entry outside
+    ``dims`` fails the job rather than vanishing.
     """
     cells = coo if unique else unique_cells(coo, on_duplicate)
+    n_rows, n_cols = dims
+    outside = F.expr(f"i < 0 OR j < 0 OR i >= {n_rows} OR j >= {n_cols}")
+    value = F.when(outside, F.raise_error(F.lit(f"matrix entry outside {n_rows} x {n_cols}"))).otherwise(F.col("v"))
     placed = cells.select(
         F.expr(f"i div {bs}").alias("br"),
         F.expr(f"j div {bs}").alias("bc"),
         F.expr(f"int((i % {bs}) * {bs} + j % {bs})").alias("pos"),
-        "v",
+        value.alias("v"),
     )
     blocks = placed.groupBy("br", "bc").applyInArrow(kernels.fill_kernel(bs), BLOCKS_SCHEMA)
     return BlockMatrix(blocks, *dims, bs)

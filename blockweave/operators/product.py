@@ -82,8 +82,12 @@ def multiply_coo(
     the pieces, which spreads such an index over many tasks; every pair is still formed exactly once. The list of
     heavy indexes is short by construction (see :func:`heavy_indexes`), which is what allows broadcasting it.
     """
-    a = a.select("i", "j", "v") if unique else unique_cells(a)
-    b = b.select("i", "j", "v") if unique else unique_cells(b)
+    # Both the join and the search for heavy indexes start from these two frames: with the join's own null filter
+    # written out the plans are the same and Spark computes each shuffle once.
+    a = a.select("i", "j", "v").where("j IS NOT NULL")
+    b = b.select("i", "j", "v").where("i IS NOT NULL")
+    if not unique:
+        a, b = unique_cells(a), unique_cells(b)
     left = a.select(F.col("j").alias("c"), F.col("i").alias("ai"), F.col("v").alias("av"))
     right = b.select(F.col("i").alias("c"), F.col("j").alias("bj"), F.col("v").alias("bv"))
     keys = ["c"]

@@ -83,16 +83,20 @@ def transpose(coo: DataFrame) -> DataFrame:
 
 
 def _side(df: DataFrame, key: str) -> int:
-    """One more than the largest key: a one-row aggregate over a single column."""
-    return (df.agg(F.max(key)).first()[0] or 0) + 1
+    """One more than the largest key: a one-row aggregate over one column of a dimension table.
+
+    Building blocks fails if a fact row has a key beyond it.
+    """
+    largest = df.agg(F.max(key)).first()[0]
+    return 0 if largest is None else largest + 1
 
 
 def suppliers(spark: SparkSession, sf_dir: str) -> int:
-    return _side(table(spark, sf_dir, "lineitem"), "l_suppkey")
+    return _side(table(spark, sf_dir, "supplier"), "s_suppkey")
 
 
 def parts(spark: SparkSession, sf_dir: str) -> int:
-    return _side(table(spark, sf_dir, "lineitem"), "l_partkey")
+    return _side(table(spark, sf_dir, "part"), "p_partkey")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> int:

@@ -58,8 +58,8 @@ c AS (SELECT p AS i, d AS j, sum(q) AS v FROM lines GROUP BY p, d),
 f AS (SELECT i, j - 1 AS j, floor(CAST(e AS DOUBLE) * 1000) AS v FROM (
   SELECT vec_id AS i, generate_subscripts(embedding, 1) AS j, unnest(embedding) AS e FROM embeddings)),
 half AS (  -- rows of a quadrant of A, in entries; columns of A and both sides of T have a fixed one
-  SELECT CAST((max(i) // {BS} + 2) // 2 * {BS} AS BIGINT) AS r,
-         CAST({(-(-mx.DAYS // BS) + 1) // 2 * BS} AS BIGINT) AS k FROM a
+  SELECT CAST((max(s_suppkey) // {BS} + 2) // 2 * {BS} AS BIGINT) AS r,
+         CAST({(-(-mx.DAYS // BS) + 1) // 2 * BS} AS BIGINT) AS k FROM supplier
 )
 """
 

@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from conftest import from_blocks, from_coo, integers, to_blocks, to_coo
+
+import blockweave as bw
+from blockweave import COO_SCHEMA
+
+FOUR = np.arange(1.0, 17.0).reshape(4, 4)
+
+
+def blocks_of(m) -> dict:
+    return {(r.br, r.bc): list(r.data) for r in m.df.collect()}
+
+
+def test_golden_blocks(spark):
+    assert blocks_of(to_blocks(spark, FOUR, 2)) == {
+        (0, 0): [1, 2, 5, 6],
+        (0, 1): [3, 4, 7, 8],
+        (1, 0): [9, 10, 13, 14],
+        (1, 1): [11, 12, 15, 16],
+    }
+
+
+@pytest.mark.parametrize("shape, bs", [((4, 4), 2), ((5, 3), 2), ((7, 9), 4), ((3, 3), 8), ((1, 1), 1)])
+def test_blocks_and_back(spark, shape, bs):
+    x = integers(1, *shape, density=0.5)
+    m = to_blocks(spark, x, bs)
+    assert np.array_equal(from_blocks(m), x)
+    back = bw.blocks_to_coo(m)
+    assert np.array_equal(from_coo(back, shape), x)
+    assert back.count() == np.count_nonzero(x)
+
+
+def test_zeros_can_be_kept(spark):
+    m = to_blocks(spark, np.diag([1.0, 0.0, 2.0]), 2)
+    kept = bw.blocks_to_coo(m, drop_zeros=False)
+    assert kept.count() == 5  # blocks (0,0) and (1,1), cut to 3 x 3: the others are not stored
+
+
+def test_duplicates(spark):
+    coo = spark.createDataFrame([(0, 0, 1.5), (0, 0, 2.5), (1, 1, 4.0)], COO_SCHEMA)
+    m = bw.coo_to_blocks(coo, 2, (2, 2))
+    assert blocks_of(m) == {(0, 0): [4.0, 0.0, 0.0, 4.0]}
+    with pytest.raises(Exception, match="duplicate matrix entry"):
+        bw.coo_to_blocks(coo, 2, (2, 2), on_duplicate="error").df.collect()
+    assert bw.unique_cells(to_coo(spark, FOUR), "error").count() == 16
+    with pytest.raises(ValueError):
+        bw.unique_cells(coo, "last")
+
+
+@pytest.mark.parametrize("bad", [(4, 0), (0, 4), (-1, 0)])
+def test_entry_outside_the_matrix(spark, bad):
+    coo = spark.createDataFrame([(0, 0, 1.0), (*bad, 1.0)], COO_SCHEMA)
+    with pytest.raises(Exception, match="outside 4 x 4"):
+        bw.coo_to_blocks(coo, 2, (4, 4)).df.collect()
+
+
+def test_empty(spark):
+    m = to_blocks(spark, np.zeros((4, 4)), 2)
+    assert m.df.count() == 0 and bw.blocks_to_coo(m).count() == 0
+    assert m.count_blocks().first().n_blocks == 0
+
+
+def test_coords_and_tag(spark):
+    coo = spark.createDataFrame([(5, 9, 1.0)], COO_SCHEMA)
+    assert bw.block_coords(coo, 4).collect()[0] == (1, 2, 1, 1, 1.0)
+    tagged = bw.tag_path(coo)
+    assert tagged.first().path == 0 and dict(tagged.dtypes)["path"] == "bigint"
+
+
+def test_operands(spark):
+    a, b = to_coo(spark, FOUR), to_coo(spark, -FOUR)
+    both = bw.union_operands(a, b)
+    assert both.count() == 32
+    assert np.array_equal(from_coo(bw.select_operand(both, "A"), (4, 4)), FOUR)
+    assert np.array_equal(from_coo(bw.select_operand(both, "B"), (4, 4)), -FOUR)
+
+
+def test_golden_quadrants(spark):
+    m = to_blocks(spark, FOUR, 2)
+    expected = {(0, 0): [[1, 2], [5, 6]], (0, 1): [[3, 4], [7, 8]], (1, 0): [[9, 10], [13, 14]], (1, 1): [[11, 12], [15, 16]]}
+    for (r, c), block in expected.items():
+        assert from_blocks(bw.quadrant(m, r, c)).tolist() == block
+    split = {(r.qr, r.qc): list(r.data) for r in bw.quadrant_split(m).collect()}
+    assert split == {k: list(np.ravel(v)) for k, v in expected.items()}
+
+
+@pytest.mark.parametrize("shape, bs", [((8, 8), 2), ((6, 6), 2), ((5, 9), 2), ((3, 3), 4)])
+def test_split_then_assemble(spark, shape, bs):
+    x = integers(2, *shape)
+    m = to_blocks(spark, x, bs)
+    parts = [bw.quadrant(m, r, c) for r in (0, 1) for c in (0, 1)]
+    assert np.array_equal(from_blocks(bw.quadrant_assemble(*parts, dims=shape)), x)
