@@ -91,6 +91,21 @@ def signed_sum_kernel(keys: list[str], bs: int, binary: bool) -> Kernel:
     return signed_sum
 
 
+def _product(left: dict[int, list], right: dict[int, list], bs: int) -> dict[tuple[int, int], np.ndarray]:
+    """Sum of block products over the contracted index that keys ``left`` (row, block) and ``right`` (column, block)."""
+    out: dict[tuple[int, int], np.ndarray] = {}
+    scratch = np.empty((bs, bs))
+    for c in left.keys() & right.keys():
+        for r, a in left[c]:
+            for k, b in right[c]:
+                np.matmul(a, b, out=scratch)
+                if (r, k) in out:
+                    out[r, k] += scratch
+                else:
+                    out[r, k] = scratch.copy()
+    return out
+
+
 def tile_product_kernel(bs: int, binary: bool) -> Kernel:
     """Group of A- and B-blocks of one product tile -> the tile's result blocks, summed over its contracted range.
 
@@ -107,22 +122,47 @@ def tile_product_kernel(bs: int, binary: bool) -> Kernel:
                 left.setdefault(bc, []).append((br, block))
             else:
                 right.setdefault(br, []).append((bc, block))
-        out: dict[tuple[int, int], np.ndarray] = {}
-        scratch = np.empty((bs, bs))
-        for c in left.keys() & right.keys():
-            for r, a in left[c]:
-                for k, b in right[c]:
-                    np.matmul(a, b, out=scratch)
-                    if (r, k) in out:
-                        out[r, k] += scratch
-                    else:
-                        out[r, k] = scratch.copy()
-        rows = ((path, r, k, block) for (r, k), block in out.items())
+        rows = ((path, r, k, block) for (r, k), block in _product(left, right, bs).items())
         yield from emit(rows, ["path", "br", "bc", "data"], bs, binary)
 
     return tile_product
 
 
+def cell_product_kernel(bs: int, tile: tuple[int, int, int], tiles: tuple[int, int, int], binary: bool) -> Kernel:
+    """Group of A- and B-cells of one product tile -> the tile's result blocks.
+
+    Rows are ``base, is_left, pos, v``, where ``base`` numbers the tile and ``pos`` is the cell's place in the tile's dense
+    operand, stored block after block. The group streams in; only the two dense operands are held.
+    """
+    (tr, tc, tk), (_, nc, nk) = tile, tiles
+
+    def cell_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = {"A": np.zeros(tr * tc * bs * bs), "B": np.zeros(tc * tk * bs * bs)}
+        stored = {"A": np.zeros(tr * tc, dtype=bool), "B": np.zeros(tc * tk, dtype=bool)}
+        base = 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            base = batch.column("base")[0].as_py()
+            is_left = batch.column("is_left").to_numpy(zero_copy_only=False)
+            pos, v = batch.column("pos").to_numpy(), batch.column("v").to_numpy()
+            for mat, mine in (("A", is_left), ("B", ~is_left)):
+                dense[mat][pos[mine]] = v[mine]
+                stored[mat][pos[mine] // (bs * bs)] = True
+        blocks = {mat: x.reshape(-1, bs, bs) for mat, x in dense.items()}
+        left: dict[int, list] = {}
+        right: dict[int, list] = {}
+        for n in np.flatnonzero(stored["A"]):
+            left.setdefault(int(n) % tc, []).append((int(n) // tc, blocks["A"][n]))
+        for n in np.flatnonzero(stored["B"]):
+            right.setdefault(int(n) // tk, []).append((int(n) % tk, blocks["B"][n]))
+        first_row, first_col = base // (nc * nk) * tr, base % nk * tk
+        rows = ((0, first_row + r, first_col + k, block) for (r, k), block in _product(left, right, bs).items())
+        yield from emit(rows, ["path", "br", "bc", "data"], bs, binary)
+
+    return cell_product
+
+
 def divide_kernel(a_terms: dict, b_terms: dict, bs: int, binary: bool) -> Kernel:
     """Group of blocks at one in-quadrant position -> the operand blocks of every sub-problem at that position.
 

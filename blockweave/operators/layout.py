@@ -40,6 +40,13 @@ def unique_cells(coo: DataFrame, on_duplicate: str = "sum") -> DataFrame:
     return coo.groupBy("i", "j").agg(total.alias("v"))
 
 
+def inside(coo: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
+    """The entries, with a check that fails the job if one lies outside the matrix rather than losing it."""
+    outside = F.expr(f"i < 0 OR j < 0 OR i >= {n_rows} OR j >= {n_cols}")
+    failure = F.raise_error(F.lit(f"matrix entry outside {n_rows} x {n_cols}"))
+    return coo.select("i", "j", F.when(outside, failure).otherwise(F.col("v")).alias("v"))
+
+
 def coo_to_blocks(
     coo: DataFrame, bs: int, dims: tuple[int, int], on_duplicate: str = "sum", unique: bool = False
 ) -> BlockMatrix:
@@ -50,14 +57,11 @@ def coo_to_blocks(
     ``dims`` fails the job rather than vanishing.
     """
     cells = coo if unique else unique_cells(coo, on_duplicate)
-    n_rows, n_cols = dims
-    outside = F.expr(f"i < 0 OR j < 0 OR i >= {n_rows} OR j >= {n_cols}")
-    value = F.when(outside, F.raise_error(F.lit(f"matrix entry outside {n_rows} x {n_cols}"))).otherwise(F.col("v"))
-    placed = cells.select(
+    placed = inside(cells, *dims).select(
         F.expr(f"i div {bs}").alias("br"),
         F.expr(f"j div {bs}").alias("bc"),
         F.expr(f"int((i % {bs}) * {bs} + j % {bs})").alias("pos"),
-        value.alias("v"),
+        "v",
     )
     blocks = placed.groupBy("br", "bc").applyInArrow(kernels.fill_kernel(bs), BLOCKS_SCHEMA)
     return BlockMatrix(blocks, *dims, bs)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..matrix import BLOCK_DATA, BlockMatrix, ceil_div, check_product_shape
 from .elementwise import signed_sum
-from .layout import coo_to_blocks, tag_path, union_operands, unique_cells
+from .layout import coo_to_blocks, inside, tag_path, union_operands, unique_cells
 
 TASK_BYTES = 256 * 1024 * 1024
 # Tiles with less arithmetic than this are not split further just to occupy more cores.
@@ -125,8 +125,9 @@ def choose_tiling(
 ) -> Tiling:
     """Cut a rows x inner x cols block product into tiles that fit a task and give every core something to do.
 
-    A-blocks are shipped once per column tile, B-blocks once per row tile and result blocks once per inner tile, so
-    each halving takes the axis that adds the least to that volume.
+    A-blocks are shipped once per column tile, B-blocks once per row tile. Result blocks stay where they are made with
+    one inner tile; with more, the parts leave the kernel, are shuffled and enter another one, which is counted as
+    three moves. Each halving takes the axis that adds the least to the total.
     """
     n = [1, 1, 1]
     grid = (rows, inner, cols)
@@ -136,12 +137,12 @@ def choose_tiling(
 
     def volume(parts: list[int]) -> int:
         nr, nc, nk = parts
-        return nk * rows * inner + nr * inner * cols + (nc if nc > 1 else 0) * rows * cols
+        return nk * rows * inner + nr * inner * cols + (3 * nc if nc > 1 else 0) * rows * cols
 
     while True:
         tr, tc, tk = sides()
         held = 8 * bs * bs * (tr * tc + tc * tk + tr * tk)
-        busy = problems * n[0] * n[1] * n[2] >= 3 * cores or 2.0 * tr * tc * tk * bs**3 < MIN_TILE_FLOPS
+        busy = problems * n[0] * n[1] * n[2] >= 2 * cores or 2.0 * tr * tc * tk * bs**3 < MIN_TILE_FLOPS
         splittable = [axis for axis, side in enumerate((tr, tc, tk)) if side > 1]
         if not splittable or (held <= task_bytes and busy):
             return Tiling(tr, tc, tk, ceil_div(rows, tr), ceil_div(inner, tc), ceil_div(cols, tk))
@@ -177,12 +178,13 @@ def tile_products(
     bs: int,
     problems: int = 1,
     task_bytes: int = TASK_BYTES,
-    binary: bool = True,
+    final: bool = False,
 ) -> tuple[DataFrame, int]:
     """Multiply, for every sub-problem ``path``, its A-blocks by its B-blocks.
 
     ``operands`` has ``mat, path, br, bc, data``. Returns ``path, br, bc, data`` and the number of inner tiles: with
-    more than one, a result block comes in that many parts which the caller has to add up.
+    more than one, a result block comes in that many parts which the caller has to add up. ``data`` is BINARY, or with
+    ``final`` an array if there is nothing to add.
 
     One shuffle. Each block goes to the tiles that need it; a tile is one group, its size is fixed by the tiling, and
     a popular block row or column is spread over its tiles. Tiles are numbered and dealt out to partitions in turn, so
@@ -205,6 +207,7 @@ def tile_products(
         )
         placed = placed.withColumn("copy", F.explode(copies)).withColumn("base", F.col("base") + F.col("copy"))
     placed = placed.withColumn("part", (F.col("base") % parts).cast("int"))
+    binary = not final or t.nc > 1
     schema = PRODUCT_SCHEMA if binary else PRODUCT_ARRAY_SCHEMA
     products = (
         placed.repartitionById(parts, "part")
@@ -219,13 +222,75 @@ def multiply_blocks(a: BlockMatrix, b: BlockMatrix, task_bytes: int = TASK_BYTES
     check_product_shape(a, b)
     operands = tag_path(union_operands(a.df, b.df))
     products, parts = tile_products(
-        operands, a.grid_rows, a.grid_cols, b.grid_cols, a.bs, task_bytes=task_bytes, binary=False
+        operands, a.grid_rows, a.grid_cols, b.grid_cols, a.bs, task_bytes=task_bytes, final=True
     )
     if parts > 1:
         products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], a.bs)
     return BlockMatrix(products.select("br", "bc", "data"), a.n_rows, b.n_cols, a.bs)
 
 
+def multiply_coo_by_tiles(
+    a: DataFrame,
+    b: DataFrame,
+    dims: tuple[int, int, int],
+    bs: int,
+    unique: bool = False,
+    task_bytes: int = TASK_BYTES,
+) -> BlockMatrix:
+    """Entries -> block product without shuffling any dense operand block, for operands of rows x inner, inner x cols.
+
+    Ships each entry to the tiles that need it and builds the dense operands there. Right for operands with up to
+    about a quarter of their cells stored, where the entries are smaller than the blocks; for fuller ones
+    :func:`multiply_coo_via_blocks` moves less. A tile holds distinct cells, so skew in rows or columns is bounded by
+    its area.
+    """
+    rows, inner, cols = dims
+    if not unique:
+        a, b = unique_cells(a), unique_cells(b)
+    grid = [ceil_div(side, bs) for side in dims]
+    cores = total_cores(a.sparkSession)
+    t = choose_tiling(*grid, bs, 1, cores, task_bytes)
+
+    def block_in_tile(row: str, col: str, tile_rows: int, tile_cols: int) -> Column:
+        block = f"((({row} div {bs}) % {tile_rows}) * {tile_cols} + ({col} div {bs}) % {tile_cols})"
+        return F.expr(f"int({block} * {bs * bs} + ({row} % {bs}) * {bs} + {col} % {bs})").alias("pos")
+
+    def tile_of(index: str, side: int) -> str:
+        return f"({index} div {bs * side})"
+
+    left = inside(a, rows, inner).select(
+        F.lit(True).alias("is_left"),
+        F.expr(f"({tile_of('i', t.tr)} * {t.nc} + {tile_of('j', t.tc)}) * {t.nk}").alias("base"),
+        F.expr(f"sequence(0L, {t.nk - 1}L)").alias("copies"),
+        block_in_tile("i", "j", t.tr, t.tc),
+        "v",
+    )
+    right = inside(b, inner, cols).select(
+        F.lit(False).alias("is_left"),
+        F.expr(f"{tile_of('i', t.tc)} * {t.nk} + {tile_of('j', t.tk)}").alias("base"),
+        F.expr(f"sequence(0L, {(t.nr - 1) * t.nc * t.nk}L, {t.nc * t.nk}L)").alias("copies"),
+        block_in_tile("i", "j", t.tc, t.tk),
+        "v",
+    )
+    tiles = t.nr * t.nc * t.nk
+    parts = product_partitions(tiles, tiles * 8 * bs * bs * (t.tr * t.tc + t.tc * t.tk), cores)
+    placed = (
+        left.unionByName(right)
+        .withColumn("copy", F.explode("copies"))
+        .select((F.col("base") + F.col("copy")).alias("base"), "is_left", "pos", "v")
+        .withColumn("part", (F.col("base") % parts).cast("int"))
+    )
+    kernel = kernels.cell_product_kernel(bs, (t.tr, t.tc, t.tk), (t.nr, t.nc, t.nk), binary=t.nc > 1)
+    products = (
+        placed.repartitionById(parts, "part")
+        .groupBy("part", "base")
+        .applyInArrow(kernel, PRODUCT_SCHEMA if t.nc > 1 else PRODUCT_ARRAY_SCHEMA)
+    )
+    if t.nc > 1:
+        products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], bs)
+    return BlockMatrix(products.select("br", "bc", "data"), rows, cols, bs)
+
+
 def multiply_coo_via_blocks(
     a: DataFrame,
     b: DataFrame,

@@ -312,6 +312,13 @@ def _(spark, sf):
     return layout.blocks_to_coo(result)
 
 
+@_register("multiply_coo_by_tiles", _PRODUCT)
+def _(spark, sf):
+    shape = (mx.suppliers(spark, sf), mx.DAYS, mx.DAYS)
+    result = product.multiply_coo_by_tiles(mx.shipped(spark, sf), mx.transit(spark, sf), shape, BS)
+    return layout.blocks_to_coo(result)
+
+
 @_register("strassen_multiply", _PRODUCT)
 def _(spark, sf):
     return layout.blocks_to_coo(strassen.strassen_multiply(_a_blocks(spark, sf), _t_blocks(spark, sf), 2))

@@ -83,6 +83,16 @@ def test_block_product(spark, shape, task_bytes):
     assert np.array_equal(from_blocks(got), a @ b)
 
 
+@pytest.mark.parametrize("shape", [(8, 8, 8), (5, 3, 7), (9, 17, 6)])
+@pytest.mark.parametrize("task_bytes", [1, 2000, 1 << 28])
+def test_product_by_tiles(spark, shape, task_bytes):
+    rows, inner, cols = shape
+    a, b = integers(19, rows, inner, 0.3), integers(20, inner, cols, 0.3)
+    a[:2] = 0  # a block row without entries
+    got = bw.multiply_coo_by_tiles(to_coo(spark, a), to_coo(spark, b), shape, 2, task_bytes=task_bytes)
+    assert np.array_equal(from_blocks(got), a @ b)
+
+
 @pytest.mark.parametrize("name", STRASSEN)
 @pytest.mark.parametrize(
     "shape, bs, levels",
