@@ -22,7 +22,13 @@ from .operators.layout import (
     union_operands,
     unique_cells,
 )
-from .operators.product import multiply_blocks, multiply_coo, multiply_coo_by_tiles, multiply_coo_via_blocks
+from .operators.product import (
+    multiply_blocks,
+    multiply_coo,
+    multiply_coo_by_tiles,
+    multiply_coo_via_blocks,
+    multiply_sparse_blocks,
+)
 from .operators.strassen import (
     strassen_by_table,
     strassen_combine,

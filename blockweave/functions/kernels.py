@@ -128,6 +128,36 @@ def tile_product_kernel(bs: int, binary: bool) -> Kernel:
     return tile_product
 
 
+def pair_product_kernel(bs: int) -> Kernel:
+    """Joined pairs ``br, bc, left, right`` of blocks -> their products, those of one result block added up.
+
+    Works on a stream, not a group: sums are held until they reach ``BATCH_BYTES`` and then passed on, so a result
+    block may come in several parts.
+    """
+    limit = max(1, BATCH_BYTES // (8 * bs * bs))
+
+    def pair_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[tuple[int, int], np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(*key, block) for key, block in out.items()]
+            out.clear()
+            return emit(rows, ["br", "bc", "data"], bs, binary=True)
+
+        for batch in batches:
+            keys = zip(batch.column("br").to_pylist(), batch.column("bc").to_pylist())
+            for key, a, b in zip(keys, block_views(batch.column("left"), bs), block_views(batch.column("right"), bs)):
+                if key in out:
+                    out[key] += a @ b
+                else:
+                    if len(out) == limit:
+                        yield from flush()
+                    out[key] = a @ b
+        yield from flush()
+
+    return pair_product
+
+
 def cell_product_kernel(bs: int, tile: tuple[int, int, int], tiles: tuple[int, int, int], binary: bool) -> Kernel:
     """Group of A- and B-cells of one product tile -> the tile's result blocks.
 

@@ -21,13 +21,15 @@ MIN_TILE_FLOPS = 2e8
 # --- by entry -----------------------------------------------------------------------------------------------------
 
 
-def heavy_indexes(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
+def heavy_indexes(a: DataFrame, b: DataFrame, share: float | None = None) -> DataFrame:
     """Contracted indexes that hold more than ``share`` of A's entries, of B's entries, or of all multiplications.
 
-    At most ``3 / share`` rows whatever the data, since each of the three totals has room for ``1 / share`` of them.
+    ``share`` is half a shuffle partition's part unless given. At most ``3 / share`` rows whatever the data, since each of the three totals has room for ``1 / share`` of them.
     ``sa`` and ``sb`` say into how many pieces to cut A's column and B's row, so that one pair of pieces does at most
     about ``share`` of the work; both are 0 for an index that the other matrix lacks.
     """
+    if share is None:
+        share = 0.5 / int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     per_a = a.groupBy(F.col("j").alias("c")).agg(F.count("v").cast("double").alias("na"))
     per_b = b.groupBy(F.col("i").alias("c")).agg(F.count("v").cast("double").alias("nb"))
     zero = F.lit(0.0)
@@ -69,6 +71,13 @@ def _cut(side: DataFrame, heavy: DataFrame, own: str, other: str, spread_by: str
     )
 
 
+def _join_spread(left: DataFrame, right: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Join on the contracted index ``c`` with the pieces of heavy indexes as separate keys."""
+    heavy = F.broadcast(heavy)
+    left, right = _cut(left, heavy, "sa", "sb", "ai"), _cut(right, heavy, "sb", "sa", "bj")
+    return left.join(right, ["c", "p_sa", "p_sb"])
+
+
 def multiply_coo(
     a: DataFrame, b: DataFrame, unique: bool = False, split_heavy: bool = True, share: float | None = None
 ) -> DataFrame:
@@ -90,17 +99,9 @@ def multiply_coo(
         a, b = unique_cells(a), unique_cells(b)
     left = a.select(F.col("j").alias("c"), F.col("i").alias("ai"), F.col("v").alias("av"))
     right = b.select(F.col("i").alias("c"), F.col("j").alias("bj"), F.col("v").alias("bv"))
-    keys = ["c"]
-    if split_heavy:
-        if share is None:
-            share = 0.5 / int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        heavy = F.broadcast(heavy_indexes(a, b, share))
-        left = _cut(left, heavy, "sa", "sb", "ai")
-        right = _cut(right, heavy, "sb", "sa", "bj")
-        keys = ["c", "p_sa", "p_sb"]
+    pairs = _join_spread(left, right, heavy_indexes(a, b, share)) if split_heavy else left.join(right, "c")
     return (
-        left.join(right, keys)
-        .groupBy(F.col("ai").alias("i"), F.col("bj").alias("j"))
+        pairs.groupBy(F.col("ai").alias("i"), F.col("bj").alias("j"))
         .agg((F.sum(F.col("av") * F.col("bv")) + F.lit(0.0)).alias("v"))
     )
 
@@ -229,6 +230,25 @@ def multiply_blocks(a: BlockMatrix, b: BlockMatrix, task_bytes: int = TASK_BYTES
     return BlockMatrix(products.select("br", "bc", "data"), a.n_rows, b.n_cols, a.bs)
 
 
+def multiply_sparse_blocks(a: BlockMatrix, b: BlockMatrix, share: float | None = None) -> BlockMatrix:
+    """A * B for operands most of whose blocks are absent: only pairs of stored blocks are ever shipped.
+
+    A join on the contracted block index, cut where an index is heavy, instead of copies to all tiles. Counting the
+    blocks reads ``br`` and ``bc`` a second time, so operands that are costly to build should be staged or persisted.
+    """
+    check_product_shape(a, b)
+    stored_a, stored_b = (
+        m.df.select(F.col("br").alias("i"), F.col("bc").alias("j"), F.lit(1).alias("v")) for m in (a, b)
+    )
+    left = a.df.select(F.col("bc").alias("c"), F.col("br").alias("ai"), F.col("data").alias("left"))
+    right = b.df.select(F.col("br").alias("c"), F.col("bc").alias("bj"), F.col("data").alias("right"))
+    pairs = _join_spread(left, right, heavy_indexes(stored_a, stored_b, share))
+    pairs = pairs.select(F.col("ai").alias("br"), F.col("bj").alias("bc"), "left", "right")
+    schema = T.StructType(PRODUCT_SCHEMA.fields[1:])
+    products = pairs.mapInArrow(kernels.pair_product_kernel(a.bs), schema).withColumn("s", F.lit(1.0))
+    return BlockMatrix(signed_sum(products, ["br", "bc"], a.bs), a.n_rows, b.n_cols, a.bs)
+
+
 def multiply_coo_by_tiles(
     a: DataFrame,
     b: DataFrame,

@@ -312,6 +312,11 @@ def _(spark, sf):
     return layout.blocks_to_coo(result)
 
 
+@_register("multiply_sparse_blocks", _PRODUCT)
+def _(spark, sf):
+    return layout.blocks_to_coo(product.multiply_sparse_blocks(_a_blocks(spark, sf), _t_blocks(spark, sf)))
+
+
 @_register("multiply_coo_by_tiles", _PRODUCT)
 def _(spark, sf):
     shape = (mx.suppliers(spark, sf), mx.DAYS, mx.DAYS)

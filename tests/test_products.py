@@ -83,6 +83,35 @@ def test_block_product(spark, shape, task_bytes):
     assert np.array_equal(from_blocks(got), a @ b)
 
 
+@pytest.mark.parametrize("share", [None, 0.05])
+def test_sparse_block_product(spark, share):
+    a, b = integers(21, 20, 14, 0.05), integers(22, 14, 18, 0.05)
+    a[:, 4], b[5, :] = 2.0, 3.0  # one block column of A and the matching block row of B are full
+    got = bw.multiply_sparse_blocks(to_blocks(spark, a, 2), to_blocks(spark, b, 2), share)
+    assert np.array_equal(from_blocks(got), a @ b)
+
+
+def test_sparse_block_sums_are_passed_on_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from blockweave.functions import kernels
+
+    monkeypatch.setattr(kernels, "BATCH_BYTES", 64)  # two 2 x 2 blocks
+    x = np.arange(1.0, 5.0).reshape(2, 2)
+    keys = [(0, 0), (0, 1), (0, 0), (1, 0), (0, 0)]
+    data = pa.array([x.ravel()] * len(keys), kernels.BLOCK_TYPE)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([r for r, _ in keys]), pa.array([c for _, c in keys]), data, data], ["br", "bc", "left", "right"]
+    )
+    total: dict = {}
+    for out in kernels.pair_product_kernel(2)(iter([batch])):
+        for r, c, block in zip(out["br"].to_pylist(), out["bc"].to_pylist(), kernels.block_views(out["data"], 2)):
+            total[r, c] = total.get((r, c), 0) + block
+    assert {k: v.tolist() for k, v in total.items()} == {
+        k: (keys.count(k) * (x @ x)).tolist() for k in set(keys)
+    }
+
+
 @pytest.mark.parametrize("shape", [(8, 8, 8), (5, 3, 7), (9, 17, 6)])
 @pytest.mark.parametrize("task_bytes", [1, 2000, 1 << 28])
 def test_product_by_tiles(spark, shape, task_bytes):
