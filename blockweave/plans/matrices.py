@@ -24,8 +24,18 @@ DAYS = 366
 POSITIONS = 64
 
 
+# The columns in use; stating their types saves a job that reads a file footer for each scan.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_orderdate timestamp_ntz",
+    "supplier": "s_suppkey bigint",
+    "part": "p_partkey bigint",
+    "embeddings": "vec_id bigint, embedding array<float>",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _day(column: str) -> Column:

@@ -100,8 +100,9 @@ def _a_blocks(spark: SparkSession, sf: str) -> BlockMatrix:
     return layout.coo_to_blocks(mx.shipped(spark, sf), BS, (mx.suppliers(spark, sf), mx.DAYS))
 
 
-def _b_blocks(spark: SparkSession, sf: str) -> BlockMatrix:
-    return layout.coo_to_blocks(mx.ordered(spark, sf), BS, (mx.suppliers(spark, sf), mx.DAYS))
+def _ab_blocks(spark: SparkSession, sf: str) -> tuple[BlockMatrix, BlockMatrix]:
+    a = _a_blocks(spark, sf)
+    return a, layout.coo_to_blocks(mx.ordered(spark, sf), BS, (a.n_rows, mx.DAYS))
 
 
 def _t_blocks(spark: SparkSession, sf: str) -> BlockMatrix:
@@ -259,12 +260,12 @@ def _(spark, sf):
 
 @_register("add_blocks", f"SELECT * FROM ({_SUM}) WHERE v <> 0")
 def _(spark, sf):
-    return layout.blocks_to_coo(elementwise.add_blocks(_a_blocks(spark, sf), _b_blocks(spark, sf)))
+    return layout.blocks_to_coo(elementwise.add_blocks(*_ab_blocks(spark, sf)))
 
 
 @_register("subtract_blocks", f"SELECT * FROM ({_DIFFERENCE}) WHERE v <> 0")
 def _(spark, sf):
-    return layout.blocks_to_coo(elementwise.subtract_blocks(_a_blocks(spark, sf), _b_blocks(spark, sf)))
+    return layout.blocks_to_coo(elementwise.subtract_blocks(*_ab_blocks(spark, sf)))
 
 
 @_register("scalar_multiply", f"SELECT i, j, v * {SCALE}::DOUBLE AS v FROM a")
