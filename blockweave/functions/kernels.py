@@ -161,8 +161,8 @@ def pair_product_kernel(bs: int) -> Kernel:
 def cell_product_kernel(bs: int, tile: tuple[int, int, int], tiles: tuple[int, int, int], binary: bool) -> Kernel:
     """Group of A- and B-cells of one product tile -> the tile's result blocks.
 
-    Rows are ``base, is_left, pos, v``, where ``base`` numbers the tile and ``pos`` is the cell's place in the tile's dense
-    operand, stored block after block. The group streams in; only the two dense operands are held.
+    Rows are ``base, is_left, pos, v``, where ``base`` numbers the tile and ``pos`` is the cell's place in the tile's
+    dense operand, stored block after block. The group streams in; only the two dense operands are held.
     """
     (tr, tc, tk), (_, nc, nk) = tile, tiles
 

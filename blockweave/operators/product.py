@@ -24,9 +24,10 @@ MIN_TILE_FLOPS = 2e8
 def heavy_indexes(a: DataFrame, b: DataFrame, share: float | None = None) -> DataFrame:
     """Contracted indexes that hold more than ``share`` of A's entries, of B's entries, or of all multiplications.
 
-    ``share`` is half a shuffle partition's part unless given. At most ``3 / share`` rows whatever the data, since each of the three totals has room for ``1 / share`` of them.
-    ``sa`` and ``sb`` say into how many pieces to cut A's column and B's row, so that one pair of pieces does at most
-    about ``share`` of the work; both are 0 for an index that the other matrix lacks.
+    At most ``3 / share`` rows whatever the data, since each of the three totals has room for ``1 / share`` of them;
+    ``share`` is half the part of one shuffle partition unless given. ``sa`` and ``sb`` say into how many pieces to cut
+    A's column and B's row, so that one pair of pieces does at most about ``share`` of the work; both are 0 for an
+    index that the other matrix lacks.
     """
     if share is None:
         share = 0.5 / int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -63,7 +64,7 @@ def _cut(side: DataFrame, heavy: DataFrame, own: str, other: str, spread_by: str
     """Give each row its own piece number and one copy for every piece of the other side (one in all if not heavy)."""
     return side.join(heavy, "c", "left").select(
         *side.columns,
-        F.expr(f"coalesce(int(pmod(xxhash64({spread_by}), {own})), 0)").alias(f"p_{own}"),
+        F.expr(f"int(pmod(xxhash64({spread_by}), greatest({own}, 1)))").alias(f"p_{own}"),
         F.explode(
             F.expr(f"case when {other} is null then array(0) when {other} = 0 then array() "
                    f"else sequence(0, {other} - 1) end")

@@ -131,7 +131,9 @@ def trim(blocks: DataFrame, n_rows: int, n_cols: int, bs: int) -> BlockMatrix:
     return m.with_df(m.df.where((rows > 0) & (cols > 0)).select("br", "bc", data.alias("data")))
 
 
-def strassen_by_table(a: BlockMatrix, b: BlockMatrix, levels: int | None = None, task_bytes: int = TASK_BYTES) -> BlockMatrix:
+def strassen_by_table(
+    a: BlockMatrix, b: BlockMatrix, levels: int | None = None, task_bytes: int = TASK_BYTES
+) -> BlockMatrix:
     """A * B with every divide and combine a table join and a signed sum: 2 * levels + 1 shuffles.
 
     Moves three copies of each operand per level; :func:`strassen_multiply` moves one in all.

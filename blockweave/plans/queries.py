@@ -282,7 +282,9 @@ def multiply_coo(spark, sf):
     return product.multiply_coo(mx.supplied(spark, sf), mx.calendar(spark, sf))
 
 
-@_register("multiply_coo_gram", "SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM x JOIN x y ON x.j = y.j GROUP BY x.i, y.i")
+@_register(
+    "multiply_coo_gram", "SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM x JOIN x y ON x.j = y.j GROUP BY x.i, y.i"
+)
 def _(spark, sf):
     x = mx.supplied(spark, sf)
     return product.multiply_coo(x, mx.transpose(x))
@@ -295,7 +297,8 @@ def _(spark, sf):
 
 @_register(
     "multiply_blocks_gram",
-    "SELECT f.j AS i, g.j, sum(f.v * g.v) AS v FROM f JOIN f g ON f.i = g.i GROUP BY f.j, g.j HAVING sum(f.v * g.v) <> 0",
+    "SELECT f.j AS i, g.j, sum(f.v * g.v) AS v FROM f JOIN f g ON f.i = g.i "
+    "GROUP BY f.j, g.j HAVING sum(f.v * g.v) <> 0",
 )
 def _(spark, sf):
     """Rectangular: the contracted axis is the number of vectors, the result has one row per position."""

@@ -63,7 +63,11 @@ def test_no_negative_zero(spark):
 
 
 def test_signed_sum(spark):
-    rows = [("A", 1, 1.0, [1.0, 2.0, 3.0, 4.0]), ("A", 1, -1.0, [1.0, 1.0, 1.0, 1.0]), ("B", 1, 2.0, [1.0, 0.0, 0.0, 0.0])]
+    rows = [
+        ("A", 1, 1.0, [1.0, 2.0, 3.0, 4.0]),
+        ("A", 1, -1.0, [1.0, 1.0, 1.0, 1.0]),
+        ("B", 1, 2.0, [1.0, 0.0, 0.0, 0.0]),
+    ]
     df = spark.createDataFrame(rows, "mat string, path long, s double, data array<double>")
     got = {r.mat: list(r.data) for r in bw.signed_sum(df, ["mat", "path"], 2).collect()}
     assert got == {"A": [0, 1, 2, 3], "B": [2, 0, 0, 0]}

@@ -80,7 +80,12 @@ def test_operands(spark):
 
 def test_golden_quadrants(spark):
     m = to_blocks(spark, FOUR, 2)
-    expected = {(0, 0): [[1, 2], [5, 6]], (0, 1): [[3, 4], [7, 8]], (1, 0): [[9, 10], [13, 14]], (1, 1): [[11, 12], [15, 16]]}
+    expected = {
+        (0, 0): [[1, 2], [5, 6]],
+        (0, 1): [[3, 4], [7, 8]],
+        (1, 0): [[9, 10], [13, 14]],
+        (1, 1): [[11, 12], [15, 16]],
+    }
     for (r, c), block in expected.items():
         assert from_blocks(bw.quadrant(m, r, c)).tolist() == block
     split = {(r.qr, r.qc): list(r.data) for r in bw.quadrant_split(m).collect()}
