@@ -12,10 +12,10 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry.registry.queries().keys() == entry.registry.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", entry.registry.queries())
 def test_matches_sql(spark, duck, name):
     rows, _ = compare(spark, duck, SF_DIR, name)
     assert rows > 0 or name in ("quadrant_21", "quadrant_22")  # ten suppliers: one row of blocks
