@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, shards
+from . import decontaminate, secrets, shards
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,9 +71,39 @@ FROM documents LEFT JOIN good USING (doc_id)
 @_register("op10_secrets", _SECRET_SQL)
 def _(spark, sf):
     found = secrets.scan_documents(table(spark, sf, "documents"))
-    counts = {
-        f"n_{r.kind}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint")
-        for k, r in enumerate(secrets.RULES)
-    }
+    counts = {f"n_{r.kind}": secrets.count_kind(F.col("spans"), k) for k, r in enumerate(secrets.RULES)}
     shown = found.withColumns(counts).withColumn("spans", secrets.describe(F.col("spans")))
     return shown.select("doc_id", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+_LEAK_SQL = r"""
+WITH t AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+items AS (
+  SELECT DISTINCT id AS item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win
+  FROM (SELECT id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM w WHERE side = 1 AND len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM items),
+runs AS (
+  SELECT id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM w, lengths WHERE side = 0 AND len(w) >= n)),
+hits AS (SELECT DISTINCT id, i, runs.n, item_id FROM runs JOIN items ON runs.win = items.win AND runs.n = items.n),
+words AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY id),
+who AS (
+  SELECT id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT id, item_id::VARCHAR AS item FROM hits) GROUP BY id)
+SELECT w.id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN words ON words.id = w.id LEFT JOIN who ON who.id = w.id WHERE side = 0
+"""
+
+
+@_register("op8_decontamination", _LEAK_SQL)
+def _(spark, sf):
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -146,6 +146,10 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES
     )
 
 
+def count_kind(spans: Column, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def describe(spans: Column, rules=RULES) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
