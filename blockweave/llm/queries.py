@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, shards
+from . import decontaminate, fingerprints, secret_scan, shards
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,7 @@ def _spans_sql(kind: int, pattern: str, value: str, least: int) -> str:
 _SECRET_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 found AS (
-  {_spans_sql(0, secrets.ASSIGN_PATTERN, "regexp_extract(m, '" + secrets.ASSIGN_PATTERN.replace("'", "''") + "', 2)", 12)}
+  {_spans_sql(0, secret_scan.ASSIGN_PATTERN, "regexp_extract(m, '" + secret_scan.ASSIGN_PATTERN.replace("'", "''") + "', 2)", 12)}
   UNION ALL {_spans_sql(1, "AKIA[A-Z0-9]+", "m", 18)}
   UNION ALL {_spans_sql(2, "[0-9a-f]+", "m", 16)}),
 good AS (
@@ -70,9 +70,9 @@ FROM documents LEFT JOIN good USING (doc_id)
 
 @_register("op10_secrets", _SECRET_SQL)
 def _(spark, sf):
-    found = secrets.scan_documents(table(spark, sf, "documents"))
-    counts = {f"n_{r.kind}": secrets.count_kind(F.col("spans"), k) for k, r in enumerate(secrets.RULES)}
-    shown = found.withColumns(counts).withColumn("spans", secrets.describe(F.col("spans")))
+    found = secret_scan.scan_documents(table(spark, sf, "documents"))
+    counts = {f"n_{r.kind}": secret_scan.count_kind(F.col("spans"), k) for k, r in enumerate(secret_scan.RULES)}
+    shown = found.withColumns(counts).withColumn("spans", secret_scan.describe(F.col("spans")))
     return shown.select("doc_id", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
@@ -107,3 +107,8 @@ def _(spark, sf):
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@_register("op6_fingerprints")
+def _(spark, sf):
+    return fingerprints.fingerprint_edits(table(spark, sf, "documents")).drop("positions")
