@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < len(sizes):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, secret_scan, shards
-from .common import table
+from . import decontaminate, fingerprints, langid, secret_scan, shards
+from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -112,3 +112,16 @@ def _(spark, sf):
 @_register("op6_fingerprints")
 def _(spark, sf):
     return fingerprints.fingerprint_edits(table(spark, sf, "documents")).drop("positions")
+
+
+def language_split(docs: DataFrame) -> Column:
+    """True for the documents that a language model must not learn from."""
+    return crc_of_id(docs["doc_id"]) % 3 == 1
+
+
+@_register("op4_language_id")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = langid.fit(docs.filter(~language_split(docs)))
+    split = F.when(crc_of_id(F.col("doc_id")) % 3 == 1, True).otherwise(False)
+    return langid.predict(docs, model).select("doc_id", split.alias("held_out"), "lang_pred", "score", "rejected")
