@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, secret_scan, shards
+from . import decontaminate, fingerprints, langid, secret_scan, shards, toxicity
 from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,12 @@ def _(spark, sf):
     model = langid.fit(docs.filter(~language_split(docs)))
     split = F.when(crc_of_id(F.col("doc_id")) % 3 == 1, True).otherwise(False)
     return langid.predict(docs, model).select("doc_id", split.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_register("op7_toxicity")
+def _(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    lexicon = toxicity.fit(docs, labels.filter(crc_of_id(F.col("doc_id")) % 5 != 0))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
