@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, secret_scan, shards, toxicity
+from . import decontaminate, fingerprints, langid, packing, secret_scan, shards, simhash, toxicity
 from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,20 @@ def _(spark, sf):
     return toxicity.score(docs, lexicon).select(
         "doc_id", (crc_of_id(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@_register("op3_simhash")
+def _(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_register("op9_packing")
+def _(spark, sf):
+    return packing.pack(table(spark, sf, "documents"), tokenizer_file())
