@@ -116,3 +116,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without a hit, unchanged."""
+    windows = stage(item_windows(items.select("item_id", "text")), "benchmark-windows")
+    hits = stage(window_hits(docs.select("doc_id", "text"), windows).select("doc_id").distinct(), "benchmark-hits")
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "left_anti")

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, langid, packing, secret_scan, shards, simhash, toxicity
+from . import (
+    decontaminate,
+    fingerprints,
+    langid,
+    packing,
+    secret_scan,
+    shards,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,17 +125,17 @@ def _(spark, sf):
     return fingerprints.fingerprint_edits(table(spark, sf, "documents")).drop("positions")
 
 
-def language_split(docs: DataFrame) -> Column:
-    """True for the documents that a language model must not learn from."""
-    return crc_of_id(docs["doc_id"]) % 3 == 1
+def learnable(docs: DataFrame) -> Column:
+    """True for the documents that a language model may learn from."""
+    return crc_of_id(docs["doc_id"]) % 3 != 1
 
 
 @_register("op4_language_id")
 def _(spark, sf):
     docs = table(spark, sf, "documents")
-    model = langid.fit(docs.filter(~language_split(docs)))
-    split = F.when(crc_of_id(F.col("doc_id")) % 3 == 1, True).otherwise(False)
-    return langid.predict(docs, model).select("doc_id", split.alias("held_out"), "lang_pred", "score", "rejected")
+    model = langid.fit(docs.filter(learnable(docs)))
+    held_out = crc_of_id(F.col("doc_id")) % 3 == 1
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @_register("op7_toxicity")
@@ -151,3 +162,30 @@ def tokenizer_file() -> str:
 @_register("op9_packing")
 def _(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_file())
+
+
+@_register("op1_suffix_dedup")
+def _(spark, sf):
+    return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("starts", "stops")
+
+
+_WINDOW_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+runs AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+firsts AS (SELECT win, min(doc_id) AS first FROM runs GROUP BY win),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps FROM (
+    SELECT doc_id, unnest(range(i, i + 13)) AS p FROM runs JOIN firsts USING (win) WHERE doc_id > first) GROUP BY doc_id),
+kept AS (
+  SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+         list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)) AS k
+  FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
+@_register("op5_substring_dedup", _WINDOW_SQL)
+def _(spark, sf):
+    return substring_dedup.remove_repeats(table(spark, sf, "documents")).drop("starts", "stops")

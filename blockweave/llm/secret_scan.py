@@ -159,13 +159,11 @@ def describe(spans: Column, rules=RULES) -> Column:
 
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with every finding replaced by its kind in brackets; overlapping findings share the first one's mark."""
-    found = update_ledger(docs, None, rules)[1]
-    spans = findings_by_blob(found, rules)
-    text = F.coalesce(F.col("text"), F.lit(""))
+    spans = findings_by_blob(update_ledger(docs, None, rules)[1], rules)
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    tagged = docs.withColumn("_blob", F.sha2(text, 256)).join(spans.withColumnsRenamed({"blob": "_blob", "spans": "_spans"}), "_blob", "left")
-    ends = F.transform("_spans", lambda s: s["end"])
-    text = F.col("text")
+    rows = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    rows = rows.join(spans, "blob", "left").select("row", "spans")
+    text, ends = F.col("row")["text"], F.transform("spans", lambda s: s["end"])
 
     def piece(s, i):
         upto = F.coalesce(F.array_max(F.slice(ends, 1, i)), F.lit(0))
@@ -173,8 +171,8 @@ def redact(docs: DataFrame, rules=RULES) -> DataFrame:
         return F.when(s["start"] < upto, "").otherwise(mark)
 
     tail = text.substr(F.array_max(ends) + 1, F.length(text))
-    clean = F.concat(F.array_join(F.transform("_spans", piece), ""), tail)
-    changed = tagged.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    clean = F.concat(F.array_join(F.transform("spans", piece), ""), tail)
+    row = rows.select("row", F.when(F.col("spans").isNotNull(), clean).otherwise(text).alias("clean"))
+    changed = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
+    changed = {c: F.when(text.isNotNull(), changed[c]) if c == "text" else F.when(F.col("clean") != text, changed[c]).otherwise(F.col("row")[c]) for c in docs.columns if c in changed}
+    return row.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

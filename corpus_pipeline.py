@@ -1,12 +1,59 @@
-"""Corpus pipeline: language ID, near-duplicates, decontamination, secrets, packing."""
+"""The corpus pipeline: language ID, near-duplicates, decontamination, secrets, packing.
+
+Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from blockweave.llm import decontaminate, langid, packing, secret_scan, simhash
+from blockweave.llm.common import table
+from blockweave.llm.queries import learnable, tokenizer_file
+from blockweave.sources.staging import stage
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that a model of the labelled part of ``docs`` rejects, and those without a letter."""
+    return langid.keep_accepted(docs, langid.fit(docs.filter(learnable(docs))))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of near-duplicates, the one with the least id."""
+    return simhash.keep_one_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of the benchmark."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces each secret by its kind in brackets."""
+    return secret_scan.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of all documents into sequences."""
+    return packing.pack(docs, tokenizer_file())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
 
-STAGES = []
+#: The model, the fingerprints and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; each result is written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, fn in STAGES[:-1]:
+        docs = stage(fn(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
