@@ -35,7 +35,7 @@ def _symbols(text: str) -> np.ndarray:
 
 def _content(text: str):
     words = words_of(text)
-    return lambda a, b: b" ".join(words[a:b])
+    return lambda a, b: b" ".join(words[a:b]) if b <= len(words) else None
 
 
 def word_windows(length: int = LENGTH, gram: int = GRAM) -> Windows:
@@ -130,7 +130,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
     """Each row's words that no window of a document with a smaller id covers, as a digest, and the removed spans.
 
     Words are runs of anything but ASCII blanks, unchanged; a null text has none. Documents of fewer words than a window
-    lose nothing. A null id is the smallest; rows that repeat a document get its result each; an empty table gives no rows.
+    lose nothing. A null id is neither smaller nor larger than any; rows that repeat a document get its result each; an empty
+    table gives no rows.
     """
     spec = word_windows(length, gram)
     extra = {} if part_runs is None else {"part_runs": part_runs}
@@ -141,7 +142,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
             out = []
             for doc, text, starts, stops in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "starts", "stops")), strict=True):
                 words = words_of(text or "")
-                gone = merged(starts, stops)
+                gone = merged(starts, stops, len(words))
                 kept, at = [], 0
                 for a, b in gone:
                     kept += words[at:a]

@@ -29,7 +29,7 @@ def _octets(text: str) -> np.ndarray:
 
 def _content(text: str):
     octets = text.encode("utf-8", "surrogatepass")
-    return lambda a, b: octets[a:b]
+    return lambda a, b: octets[a:b] if b <= len(octets) else None
 
 
 def byte_windows(length: int = LENGTH, gram: int = GRAM) -> Windows:
@@ -108,8 +108,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
     """Each row's bytes that no earlier ``length``-byte string covers, as a digest, and the removed spans.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id, or
-    further up in its own. Texts shorter than that, empty and null ones lose nothing. A null id is the smallest; rows
-    that repeat a document get its result each; an empty table gives no rows.
+    further up in its own. Texts shorter than that, empty and null ones lose nothing; a null id is neither smaller nor
+    larger; rows that repeat a document get its result each; an empty table gives no rows.
     """
     spec = byte_windows(length, gram)
     extra = {} if part_runs is None else {"part_runs": part_runs}
@@ -120,7 +120,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
             out = []
             for doc, text, starts, stops in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "starts", "stops")), strict=True):
                 octets = (text or "").encode("utf-8", "surrogatepass")
-                gone = merged(starts, stops)
+                gone = merged(starts, stops, len(octets))
                 kept, at = hashlib.sha256(), 0
                 for a, b in gone:
                     kept.update(octets[at:a])

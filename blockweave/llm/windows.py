@@ -9,8 +9,8 @@
    128-bit digest of each window.
 
 An occurrence is (doc_id, start). With ``own`` a window counts as repeated if it occurs earlier in its document, too;
-without, only if it occurs in a document with a smaller id. A null ``doc_id`` is smaller than any other. Rows that repeat
-a document are one document.
+without, only if it occurs in a document with a smaller id. A null ``doc_id`` is neither smaller nor larger than any
+other: such a document loses nothing and is no earlier one. Rows that repeat a document are one document.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from ..sources.staging import stage
 from .common import pieces
 from .fingerprints import gram_hashes, mix
 
-NULL_ID = -(1 << 63)
 #: Different runs of a bucket that are compared in one part; text that a map task cuts at a time.
 PART_RUNS = 20_000
 MAP_BYTES = 16 << 20
@@ -46,7 +45,8 @@ class Windows:
     gram: int
     own: bool
     symbols: Callable[[str], np.ndarray]
-    #: ``content(text)`` gives a function from (first, end) in symbols to their bytes.
+    #: ``content(text)`` gives a function from (first, end) in symbols to their bytes, or None past the end (of another
+    #: text with the same id).
     content: Callable[[str], Callable[[int, int], bytes]]
     #: ``windows(content)`` gives a function from a window's number to its bytes.
     windows: Callable[[bytes], Callable[[int], bytes]]
@@ -56,14 +56,6 @@ class Windows:
         return self.length - self.gram + 1
 
 
-def ids_of(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def ids_back(ids: np.ndarray) -> pa.Array:
-    return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
-
-
 def minima(h: np.ndarray, width: int) -> np.ndarray:
     """Position of the rightmost least hash of each window of ``width`` hashes."""
     at = np.arange(len(h), dtype=np.int32)
@@ -133,14 +125,14 @@ def _runs(docs: DataFrame, spec: Windows) -> DataFrame:
         keep = ~same
         stop = np.where(repeat, stop + spec.length, stop)
         bucket = np.where(repeat, mix(doc.view(np.uint64)).view(np.int64), bucket)
-        columns = [pa.array(bucket[keep]), pa.array(key[keep], mask=repeat[keep]), ids_back(doc[keep]),
+        columns = [pa.array(bucket[keep]), pa.array(key[keep], mask=repeat[keep]), pa.array(doc[keep]),
                    pa.array(start[keep].astype(np.int32)), pa.array(stop[keep].astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["bucket", "key", "doc_id", "start", "stop"])
 
     def run(batches):
         held, size = [], 0
         for piece in pieces(batches, "text"):
-            for doc, text in zip(ids_of(piece.column("doc_id")).tolist(), piece.column("text").to_pylist(), strict=True):
+            for doc, text in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True):
                 found = spec.symbols(text or "")
                 if len(found) < spec.length:
                     continue
@@ -173,7 +165,7 @@ def _match_runs(runs: DataFrame, spec: Windows) -> DataFrame:
                 continue
             is_run = np.asarray(batch.column("key").is_valid())
             bucket, key = batch.column("bucket").to_numpy(), batch.column("key").fill_null(0).to_numpy(zero_copy_only=False)
-            doc, start, stop = ids_of(batch.column("doc_id")), batch.column("start").to_numpy(), batch.column("stop").to_numpy()
+            doc, start, stop = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy(), batch.column("stop").to_numpy()
             if not is_run.all():
                 yield write(np.full((~is_run).sum(), -1), doc[~is_run], start[~is_run], stop[~is_run], repeats=True)
                 bucket, key, doc, start, stop = (x[is_run] for x in (bucket, key, doc, start, stop))
@@ -216,11 +208,11 @@ def _match_runs(runs: DataFrame, spec: Windows) -> DataFrame:
             last = (bucket[-1], key[-1], first_doc[-1], first_start[-1], bool(several[-1]))
 
     def write(bucket, doc, start, stop, repeats=False) -> pa.RecordBatch:
-        columns = [pa.array(bucket, mask=np.full(len(bucket), repeats)), ids_back(doc),
+        columns = [pa.array(bucket, mask=np.full(len(bucket), repeats)), pa.array(doc),
                    pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))]
         return pa.RecordBatch.from_arrays(columns, ["bucket", "doc_id", "start", "stop"])
 
-    dealt = runs.repartition("bucket").sortWithinPartitions("bucket", "key", F.col("doc_id").asc_nulls_first(), "start")
+    dealt = runs.repartition("bucket").sortWithinPartitions("bucket", "key", "doc_id", "start")
     return dealt.mapInArrow(run, "bucket bigint, doc_id bigint, start int, stop int")
 
 
@@ -235,14 +227,17 @@ def _with_content(docs: DataFrame, runs: DataFrame, spec: Windows, part_runs: in
     dealt = runs.join(sizes, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.select(F.col("doc_id").alias("owner"), F.struct("bucket", part.alias("part"), "parts", "start", "stop").alias("run"))
     dealt = dealt.groupBy("owner").agg(F.collect_list("run").alias("runs"))  # as many as a document has, at most
-    joined = docs.join(dealt, F.col("doc_id").eqNullSafe(F.col("owner"))).select("doc_id", "text", "runs")
+    joined = docs.join(dealt, F.col("doc_id") == F.col("owner")).select("doc_id", "text", "runs")
 
     def run(batches):
         for piece in pieces(batches, "text", 1 << 20):
             out = []
             for doc, text, runs in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
                 content = spec.content(text or "")
-                out += [(r["bucket"], r["part"], r["parts"], doc, r["start"], content(r["start"], r["stop"] + spec.length)) for r in runs]
+                found = ((r, content(r["start"], r["stop"] + spec.length)) for r in runs)
+                out += [(r["bucket"], r["part"], r["parts"], doc, r["start"], c) for r, c in found if c is not None]
+            if not out:
+                continue
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
             names = ["bucket", "part", "parts", "doc_id", "start", "content"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
@@ -266,7 +261,7 @@ def _compare(contents: DataFrame, spec: Windows, kernel: Kernel) -> DataFrame:
                     yield key[2], held
                     held = []
                 key = (bucket, part, parts)
-                held.append((NULL_ID if doc is None else doc, start, content))
+                held.append((doc, start, content))
         if held:
             yield key[2], held
 
@@ -293,16 +288,16 @@ def _compare(contents: DataFrame, spec: Windows, kernel: Kernel) -> DataFrame:
                         digest = hashlib.blake2b(windows(i), digest_size=16).digest()
                         out.append((digest, doc, start + i, start + i + spec.length))
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
-        arrays = [pa.array(columns[0], pa.binary()), ids_back(np.array(columns[1], np.int64)), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())]
+        arrays = [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())]
         return pa.RecordBatch.from_arrays(arrays, ["digest", "doc_id", "start", "stop"])
 
-    dealt = contents.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("doc_id").asc_nulls_first(), "start")
+    dealt = contents.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "doc_id", "start")
     return dealt.mapInArrow(run, "digest binary, " + SPANS)
 
 
 def repeated_spans(docs: DataFrame, spec: Windows, kernel: Kernel, part_runs: int = PART_RUNS) -> DataFrame:
     """``doc_id, spans``: the symbols of each document that repeated windows cover, as (start, stop), unmerged."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
     found = stage(_match_runs(_runs(docs, spec), spec), "window-runs")
     repeats = found.filter("bucket IS NULL").select("doc_id", "start", "stop")
     differing = found.filter("bucket IS NOT NULL")
@@ -310,12 +305,9 @@ def repeated_spans(docs: DataFrame, spec: Windows, kernel: Kernel, part_runs: in
     repeats = repeats.unionByName(compared.filter("digest IS NULL").select("doc_id", "start", "stop"))
 
     across = compared.filter("digest IS NOT NULL")
-    place = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "start")
+    place = F.struct("doc_id", "start") if spec.own else F.struct("doc_id")
     first = across.groupBy("digest").agg(F.min(place).alias("first"))
-    earlier = F.struct("first.named", "first.doc_id", "first.start") < place
-    if not spec.own:
-        earlier = F.struct("first.named", "first.doc_id") < F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")
-    later = across.join(first, "digest").filter(earlier).select("doc_id", "start", "stop")
+    later = across.join(first, "digest").filter(F.col("first") < place).select("doc_id", "start", "stop")
     spans = repeats.unionByName(later).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return spans
 
@@ -323,15 +315,18 @@ def repeated_spans(docs: DataFrame, spec: Windows, kernel: Kernel, part_runs: in
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``doc_id, text, starts, stops`` of every row of ``docs``."""
     spans = spans.select(F.col("doc_id").alias("owner"), F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
-    joined = docs.select("doc_id", "text").join(spans, F.col("doc_id").eqNullSafe(F.col("owner")), "left")
+    joined = docs.select("doc_id", "text").join(spans, F.col("doc_id") == F.col("owner"), "left")
     return joined.select("doc_id", "text", "starts", "stops")
 
 
-def merged(starts: list[int] | None, stops: list[int] | None) -> list[tuple[int, int]]:
-    """Maximal runs of covered symbols; spans that touch are one."""
+def merged(starts: list[int] | None, stops: list[int] | None, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of covered symbols, of ``size``; spans that touch are one."""
     if not starts:
         return []
     order = np.argsort(starts, kind="stable")
-    starts, reach = np.asarray(starts)[order], np.maximum.accumulate(np.asarray(stops)[order])
+    starts, reach = np.asarray(starts)[order], np.minimum(np.maximum.accumulate(np.asarray(stops)[order]), size)
+    starts, reach = starts[starts < size], reach[starts < size]
+    if not len(starts):
+        return []
     new = np.flatnonzero(np.concatenate(([True], starts[1:] > reach[:-1])))
     return list(zip(starts[new].tolist(), reach[np.concatenate((new[1:], [len(reach)])) - 1].tolist(), strict=True))

@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from blockweave.llm import fingerprints
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab😀", max_size=120))
+def test_rightmost_minima_of_each_window(text):
+    symbols = fingerprints.code_points(text)
+    hashes, at = fingerprints.winnow(symbols, 4, 8)
+    if len(symbols) < 4:
+        assert len(hashes) == bool(text)
+        return
+    h = fingerprints.gram_hashes(symbols, 4)
+    windows = [range(i, i + 8) for i in range(len(h) - 7)] or [range(len(h))]
+    wanted = sorted({max((j for j in w if h[j] == h[list(w)].min())) for w in windows})
+    assert at.tolist() == wanted and hashes.tolist() == h[wanted].tolist()
+
+
+def test_match_guarantee():
+    rng = random.Random(4)
+    span = "".join(rng.choice("abcdef ") for _ in range(fingerprints.GRAM + fingerprints.WIDTH - 1))
+    for _ in range(30):
+        a, b = ("".join(rng.choice("xyz") for _ in range(rng.randrange(60))) + span + "".join(rng.choice("uvw") for _ in range(rng.randrange(60))) for _ in "ab")
+        assert np.intersect1d(*(fingerprints.winnow(fingerprints.code_points(t))[0] for t in (a, b))).size
+
+
+def expected(rows):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    texts = [r[1] or "" for r in order]
+    out = []
+    for (doc, *_), text, after in zip(order, texts, texts[1:] + texts[:1], strict=True):
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        prints = [fingerprints.winnow(fingerprints.code_points(t))[0] for t in (text, edited, after)]
+        out.append((repr(doc), len(text), hashlib.sha256(edited.encode()).hexdigest(), fingerprints.shown(prints[0]), fingerprints.shown(prints[1]),
+                    fingerprints.likeness(prints[0], prints[1]), fingerprints.likeness(prints[0], prints[2])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("run_bytes", [1 << 25, 20_000, 3_000])
+def test_matches_brute_force(edges, rows, run_bytes):
+    got = fingerprints.fingerprint_edits(edges, run_bytes).collect()
+    shown = sorted((repr(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in got)
+    assert shown == expected(rows)
+    assert all(len(r["positions"]) * 12 == len(r["fingerprint"]) for r in got)
+
+
+def test_one_document_and_none(edges, nothing):
+    [only] = fingerprints.fingerprint_edits(edges.filter("doc_id IS NOT NULL AND length(text) > 500").limit(1)).collect()
+    assert only["near_next"] == 1.0
+    assert fingerprints.fingerprint_edits(nothing).count() == 0
+
+
+def test_likeness_orders_edits():
+    a, b = fingerprints.winnow(fingerprints.code_points("x")), fingerprints.winnow(fingerprints.code_points(""))
+    assert fingerprints.likeness(a[0], a[0]) == 1.0 and fingerprints.likeness(a[0], b[0]) == 0.0 and fingerprints.likeness(b[0], b[0]) == 1.0
