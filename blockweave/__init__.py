@@ -13,16 +13,20 @@ from .operators.elementwise import (
 from .operators.layout import (
     block_coords,
     blocks_to_coo,
+    coo_quadrant,
     coo_to_blocks,
     quadrant,
     quadrant_assemble,
     quadrant_split,
     select_operand,
     tag_path,
+    tagged_coo_to_blocks,
+    trim,
     union_operands,
     unique_cells,
 )
 from .operators.product import (
+    entry_positions,
     multiply_blocks,
     multiply_coo,
     multiply_coo_by_tiles,
@@ -36,12 +40,13 @@ from .operators.strassen import (
     strassen_divide,
     strassen_divide_grouped,
     strassen_multiply,
+    strassen_multiply_tagged,
     strassen_recursive,
     strassen_replicate,
     strassen_single_stream,
 )
-from .sources.dims import infer_dims, infer_square_dim, matrix_dims
-from .sources.staging import scratch_path, stage
+from .sources.dims import infer_dims, infer_square_dim, matrix_dims, tagged_dims
+from .sources.staging import scratch_path, stage, unstage
 from .sources.text import preview, read_blocks, read_coo, read_tagged, write_coo
 
 __all__ = [name for name in dir() if not name.startswith("_")]

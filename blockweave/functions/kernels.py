@@ -63,22 +63,35 @@ def _rows(batches: Iterator[pa.RecordBatch], bs: int, keys: list[str]) -> Iterat
         yield from zip(*columns, block_views(batch.column("data"), bs))
 
 
-def fill_kernel(bs: int) -> Kernel:
-    """Group of distinct cells ``br, bc, pos, v`` of one block -> that block."""
+def clear_padding(block: np.ndarray, br: int, bc: int, dims: tuple[int, int] | None) -> np.ndarray:
+    """Zero the cells of an edge block that lie outside a matrix of ``dims`` (Inf * 0 leaves NaN there)."""
+    if dims is not None:
+        bs = block.shape[0]
+        rows, cols = dims[0] - br * bs, dims[1] - bc * bs
+        if rows < bs:
+            block[max(rows, 0):, :] = 0.0
+        if cols < bs:
+            block[:, max(cols, 0):] = 0.0
+    return block
+
+
+def fill_kernel(bs: int, keys: list[str] | None = None) -> Kernel:
+    """Group of distinct cells ``keys..., pos, v`` of one block -> that block; keys are ``br, bc`` unless given."""
+    names = keys or ["br", "bc"]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = np.zeros(bs * bs)
         key = None
         for batch in batches:
             if batch.num_rows:
-                key = batch.column("br")[0].as_py(), batch.column("bc")[0].as_py()
+                key = [batch.column(name)[0].as_py() for name in names]
                 block[batch.column("pos").to_numpy()] = batch.column("v").to_numpy()
-        yield from emit([(*key, block.reshape(bs, bs))], ["br", "bc", "data"], bs, binary=False)
+        yield from emit([(*key, block.reshape(bs, bs))], [*names, "data"], bs, binary=False)
 
     return fill
 
 
-def signed_sum_kernel(keys: list[str], bs: int, binary: bool) -> Kernel:
+def signed_sum_kernel(keys: list[str], bs: int, binary: bool, dims: tuple[int, int] | None = None) -> Kernel:
     """Group of rows ``keys..., s, data`` with equal keys -> one row holding the sum of ``s * data``."""
 
     def signed_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,108 +99,102 @@ def signed_sum_kernel(keys: list[str], bs: int, binary: bool) -> Kernel:
         key: list = []
         for *key, sign, block in _rows(batches, bs, [*keys, "s"]):
             total += block if sign == 1.0 else sign * block
-        yield from emit([(*key, total)], [*keys, "data"], bs, binary)
+        yield from emit([(*key, clear_padding(total, *key[-2:], dims))], [*keys, "data"], bs, binary)
 
     return signed_sum
 
 
-def _product(left: dict[int, list], right: dict[int, list], bs: int) -> dict[tuple[int, int], np.ndarray]:
-    """Sum of block products over the contracted index that keys ``left`` (row, block) and ``right`` (column, block)."""
-    out: dict[tuple[int, int], np.ndarray] = {}
-    scratch = np.empty((bs, bs))
-    for c in left.keys() & right.keys():
-        for r, a in left[c]:
-            for k, b in right[c]:
-                np.matmul(a, b, out=scratch)
-                if (r, k) in out:
-                    out[r, k] += scratch
+class _Accumulator:
+    """Result blocks of one tile, to which products of blocks with the same contracted index are added."""
+
+    def __init__(self, bs: int):
+        self.out: dict[tuple[int, int], np.ndarray] = {}
+        self._scratch = np.empty((bs, bs))
+
+    def add(self, left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]]) -> None:
+        for r, a in left:
+            for k, b in right:
+                if (r, k) in self.out:
+                    np.matmul(a, b, out=self._scratch)
+                    self.out[r, k] += self._scratch
                 else:
-                    out[r, k] = scratch.copy()
-    return out
+                    self.out[r, k] = a @ b
 
 
-def tile_product_kernel(bs: int, binary: bool) -> Kernel:
+def tile_product_kernel(bs: int, binary: bool, dims: tuple[int, int] | None = None) -> Kernel:
     """Group of A- and B-blocks of one product tile -> the tile's result blocks, summed over its contracted range.
 
-    Rows are ``path, mat, br, bc, data``. Absent blocks take no part, so a result block appears only if some pair of
-    blocks contributes to it.
+    Rows are ``path, mat, br, bc, data`` in the order of the contracted index, so only the result tile and the blocks
+    of one index are held. Absent blocks take no part: a result block appears only if some pair of blocks contributes
+    to it. With ``dims`` results are final and the padding of edge blocks is cleared.
     """
 
     def tile_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: dict[int, list] = {}
-        right: dict[int, list] = {}
-        path = 0
+        total = _Accumulator(bs)
+        left: list[tuple[int, np.ndarray]] = []
+        right: list[tuple[int, np.ndarray]] = []
+        path, at = 0, None
         for path, mat, br, bc, block in _rows(batches, bs, ["path", "mat", "br", "bc"]):
+            c = bc if mat == "A" else br
+            if c != at:
+                total.add(left, right)
+                left, right, at = [], [], c
             if mat == "A":
-                left.setdefault(bc, []).append((br, block))
+                left.append((br, block))
             else:
-                right.setdefault(br, []).append((bc, block))
-        rows = ((path, r, k, block) for (r, k), block in _product(left, right, bs).items())
+                right.append((bc, block))
+        total.add(left, right)
+        rows = ((path, r, k, clear_padding(block, r, k, dims)) for (r, k), block in total.out.items())
         yield from emit(rows, ["path", "br", "bc", "data"], bs, binary)
 
     return tile_product
 
 
-def pair_product_kernel(bs: int) -> Kernel:
-    """Joined pairs ``br, bc, left, right`` of blocks -> their products, those of one result block added up.
-
-    Works on a stream, not a group: sums are held until they reach ``BATCH_BYTES`` and then passed on, so a result
-    block may come in several parts.
-    """
-    limit = max(1, BATCH_BYTES // (8 * bs * bs))
-
-    def pair_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[tuple[int, int], np.ndarray] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = [(*key, block) for key, block in out.items()]
-            out.clear()
-            return emit(rows, ["br", "bc", "data"], bs, binary=True)
-
-        for batch in batches:
-            keys = zip(batch.column("br").to_pylist(), batch.column("bc").to_pylist())
-            for key, a, b in zip(keys, block_views(batch.column("left"), bs), block_views(batch.column("right"), bs)):
-                if key in out:
-                    out[key] += a @ b
-                else:
-                    if len(out) == limit:
-                        yield from flush()
-                    out[key] = a @ b
-        yield from flush()
-
-    return pair_product
-
-
-def cell_product_kernel(bs: int, tile: tuple[int, int, int], tiles: tuple[int, int, int], binary: bool) -> Kernel:
+def cell_product_kernel(
+    bs: int, tile: tuple[int, int, int], tiles: tuple[int, int, int], binary: bool, dims: tuple[int, int] | None = None
+) -> Kernel:
     """Group of A- and B-cells of one product tile -> the tile's result blocks.
 
-    Rows are ``base, is_left, pos, v``, where ``base`` numbers the tile and ``pos`` is the cell's place in the tile's
-    dense operand, stored block after block. The group streams in; only the two dense operands are held.
+    Rows are ``base, c, is_left, pos, v`` in the order of ``c``, the contracted block index within the tile; ``base``
+    numbers the tile and ``pos`` is the cell's place in the tile's slice of blocks with that index, block after block.
+    The group streams in; the result tile and one slice of either operand are held.
     """
-    (tr, tc, tk), (_, nc, nk) = tile, tiles
+    (tr, _, tk), (_, nc, nk) = tile, tiles
 
     def cell_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = {"A": np.zeros(tr * tc * bs * bs), "B": np.zeros(tc * tk * bs * bs)}
-        stored = {"A": np.zeros(tr * tc, dtype=bool), "B": np.zeros(tc * tk, dtype=bool)}
-        base = 0
+        total = _Accumulator(bs)
+        sides = [(np.zeros((tr, bs, bs)), np.zeros(tr, bool)), (np.zeros((tk, bs, bs)), np.zeros(tk, bool))]
+
+        def finish() -> None:
+            left, right = ([(int(n), dense[n]) for n in np.flatnonzero(stored)] for dense, stored in sides)
+            total.add(left, right)
+            for dense, stored in sides:
+                dense[stored] = 0.0
+                stored[:] = False
+
+        base, at = 0, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             base = batch.column("base")[0].as_py()
+            index = batch.column("c").to_numpy()
             is_left = batch.column("is_left").to_numpy(zero_copy_only=False)
             pos, v = batch.column("pos").to_numpy(), batch.column("v").to_numpy()
-            for mat, mine in (("A", is_left), ("B", ~is_left)):
-                dense[mat][pos[mine]] = v[mine]
-                stored[mat][pos[mine] // (bs * bs)] = True
-        blocks = {mat: x.reshape(-1, bs, bs) for mat, x in dense.items()}
-        left: dict[int, list] = {}
-        right: dict[int, list] = {}
-        for n in np.flatnonzero(stored["A"]):
-            left.setdefault(int(n) % tc, []).append((int(n) // tc, blocks["A"][n]))
-        for n in np.flatnonzero(stored["B"]):
-            right.setdefault(int(n) // tk, []).append((int(n) % tk, blocks["B"][n]))
+            cuts = [0, *(np.flatnonzero(np.diff(index)) + 1).tolist(), len(index)]
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                if index[first] != at:
+                    finish()
+                    at = index[first]
+                for (dense, stored), mine in zip(sides, (is_left[first:last], ~is_left[first:last])):
+                    place = pos[first:last][mine]
+                    dense.reshape(-1)[place] = v[first:last][mine]
+                    stored[place // (bs * bs)] = True
+        finish()
         first_row, first_col = base // (nc * nk) * tr, base % nk * tk
-        rows = ((0, first_row + r, first_col + k, block) for (r, k), block in _product(left, right, bs).items())
+        rows = (
+            (0, first_row + r, first_col + k, clear_padding(block, first_row + r, first_col + k, dims))
+            for (r, k), block in total.out.items()
+        )
         yield from emit(rows, ["path", "br", "bc", "data"], bs, binary)
 
     return cell_product
@@ -251,11 +258,9 @@ def combine_kernel(
             for (qr, qc), block in out.items():
                 br, bc = qr * step_rows + r, qc * step_cols + c
                 if n_rows is not None:
-                    rows, cols = n_rows - br * bs, n_cols - bc * bs
-                    if rows <= 0 or cols <= 0:
+                    if br * bs >= n_rows or bc * bs >= n_cols:
                         continue
-                    block[max(rows, 0):, :] = 0.0
-                    block[:, max(cols, 0):] = 0.0
+                    clear_padding(block, br, bc, (n_rows, n_cols))
                 yield parent, br, bc, block
 
         yield from emit(placed(), ["path", "br", "bc", "data"], bs, binary)

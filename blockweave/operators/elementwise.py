@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..matrix import BLOCK_DATA, BlockMatrix, check_same_shape
+from .layout import trim
 
 
 def add_coo(a: DataFrame, b: DataFrame, stamp: tuple[int, int] | None = None) -> DataFrame:
@@ -58,16 +61,21 @@ def subtract_blocks(a: BlockMatrix, b: BlockMatrix) -> BlockMatrix:
 
 
 def scalar_multiply(m: BlockMatrix, factor: float) -> BlockMatrix:
+    """``factor`` times every cell of the matrix; a factor that is not finite makes no cells of the padding."""
     data = F.transform("data", lambda x: x * F.lit(float(factor)) + F.lit(0.0))
-    return m.with_df(m.df.select("br", "bc", data.alias("data")))
+    product = m.with_df(m.df.select("br", "bc", data.alias("data")))
+    return product if math.isfinite(factor) else trim(product.df, m.n_rows, m.n_cols, m.bs)
 
 
-def signed_sum(df: DataFrame, keys: list[str], bs: int, binary: bool = False) -> DataFrame:
+def signed_sum(
+    df: DataFrame, keys: list[str], bs: int, binary: bool = False, dims: tuple[int, int] | None = None
+) -> DataFrame:
     """Per key, the sum of ``s * data`` over its rows; blocks stream through one accumulator per group.
 
-    Keys keep their types (``mat`` is a string, all others are numbers).
+    Keys keep their types (``mat`` is a string, all others are numbers). With ``dims``, the true dimensions of a matrix
+    keyed by ``br, bc``, the padding of edge blocks is cleared.
     """
     fields = [T.StructField(k, T.StringType() if k == "mat" else T.LongType()) for k in keys]
     schema = T.StructType([*fields, T.StructField("data", T.BinaryType() if binary else BLOCK_DATA)])
     rows = df.select(*keys, F.col("s").cast("double").alias("s"), "data")
-    return rows.groupBy(*keys).applyInArrow(kernels.signed_sum_kernel(keys, bs, binary), schema)
+    return rows.groupBy(*keys).applyInArrow(kernels.signed_sum_kernel(keys, bs, binary, dims), schema)

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..matrix import BLOCKS_SCHEMA, BlockMatrix, ceil_div
@@ -27,8 +28,8 @@ def block_coords(coo: DataFrame, bs: int) -> DataFrame:
     )
 
 
-def unique_cells(coo: DataFrame, on_duplicate: str = "sum") -> DataFrame:
-    """One row per (i, j). The sum is combined map-side, so a cell listed very often costs one row per task.
+def unique_cells(coo: DataFrame, on_duplicate: str = "sum", *keys: str) -> DataFrame:
+    """One row per (i, j), and per value of ``keys``. The sum is combined map-side, so a cell listed very often costs one row per task.
 
     ``on_duplicate``: ``"sum"`` adds repeated entries up, ``"error"`` fails the job when there are any.
     """
@@ -37,7 +38,7 @@ def unique_cells(coo: DataFrame, on_duplicate: str = "sum") -> DataFrame:
         total = F.when(F.count("*") > 1, F.raise_error(F.lit("duplicate matrix entry"))).otherwise(total)
     elif on_duplicate != "sum":
         raise ValueError("on_duplicate must be 'sum' or 'error'")
-    return coo.groupBy("i", "j").agg(total.alias("v"))
+    return coo.groupBy(*keys, "i", "j").agg(total.alias("v"))
 
 
 def inside(coo: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
@@ -47,6 +48,28 @@ def inside(coo: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     return coo.select("i", "j", F.when(outside, failure).otherwise(F.col("v")).alias("v"))
 
 
+def tagged_coo_to_blocks(tagged: DataFrame, bs: int, dims: tuple[int, int, int], on_duplicate: str = "sum") -> DataFrame:
+    """Both operands of a product, rows x inner and inner x cols, as blocks ``mat, br, bc, data`` in one pass.
+
+    The frame keeps ``mat``, so one scan and the two shuffles of :func:`coo_to_blocks` serve both.
+    """
+    rows, inner, cols = dims
+    cells = unique_cells(tagged, on_duplicate, "mat")
+    outside = F.expr(
+        f"mat NOT IN ('A', 'B') OR i < 0 OR j < 0 OR i >= if(mat = 'A', {rows}, {inner}) OR j >= if(mat = 'A', {inner}, {cols})"
+    )
+    failure = F.raise_error(F.lit(f"matrix entry outside {rows} x {inner} x {cols}"))
+    placed = cells.select(
+        "mat",
+        F.expr(f"i div {bs}").alias("br"),
+        F.expr(f"j div {bs}").alias("bc"),
+        F.expr(f"int((i % {bs}) * {bs} + j % {bs})").alias("pos"),
+        F.when(outside, failure).otherwise(F.col("v")).alias("v"),
+    )
+    schema = T.StructType([T.StructField("mat", T.StringType()), *BLOCKS_SCHEMA.fields])
+    return placed.groupBy("mat", "br", "bc").applyInArrow(kernels.fill_kernel(bs, ["mat", "br", "bc"]), schema)
+
+
 def coo_to_blocks(
     coo: DataFrame, bs: int, dims: tuple[int, int], on_duplicate: str = "sum", unique: bool = False
 ) -> BlockMatrix:
@@ -119,6 +142,31 @@ def quadrant(m: BlockMatrix, qr: int, qc: int) -> BlockMatrix:
     return BlockMatrix(df, hr * m.bs, hc * m.bs, m.bs)
 
 
+def coo_quadrant(
+    coo: DataFrame, bs: int, dims: tuple[int, int], qr: int, qc: int, on_duplicate: str = "sum", unique: bool = False
+) -> BlockMatrix:
+    """One quadrant straight from entries: those of the others are dropped before anything is shuffled or filled."""
+    whole = BlockMatrix(coo, *dims, bs)
+    hr, hc = half_grid(whole)
+    rows = F.col("i") >= hr * bs if qr else F.col("i") < hr * bs
+    cols = F.col("j") >= hc * bs if qc else F.col("j") < hc * bs
+    return quadrant(coo_to_blocks(coo.where(rows & cols), bs, dims, on_duplicate, unique), qr, qc)
+
+
+def trim(blocks: DataFrame, n_rows: int, n_cols: int, bs: int) -> BlockMatrix:
+    """Cut the padding off: drop blocks outside the matrix and zero the cells outside it in edge blocks.
+
+    Sums that cancel leave rounding noise there.
+    """
+    m = BlockMatrix(blocks.select("br", "bc", "data"), n_rows, n_cols, bs)
+    rows, cols = n_rows - F.col("br") * bs, n_cols - F.col("bc") * bs
+    inside = F.transform(
+        "data", lambda x, pos: F.when((pos / bs < rows) & (pos % bs < cols), x).otherwise(F.lit(0.0))
+    )
+    data = F.when((rows < bs) | (cols < bs), inside).otherwise(F.col("data"))
+    return m.with_df(m.df.where((rows > 0) & (cols > 0)).select("br", "bc", data.alias("data")))
+
+
 def quadrant_assemble(
     q11: BlockMatrix, q12: BlockMatrix, q21: BlockMatrix, q22: BlockMatrix, dims: tuple[int, int]
 ) -> BlockMatrix:

@@ -13,9 +13,14 @@ from ..matrix import BLOCK_DATA, BlockMatrix, ceil_div, check_product_shape
 from .elementwise import signed_sum
 from .layout import coo_to_blocks, inside, tag_path, union_operands, unique_cells
 
+#: Memory that a task may hold for a result tile and one slice of its operands, and bytes it reads if it can be helped.
 TASK_BYTES = 256 * 1024 * 1024
-# Tiles with less arithmetic than this are not split further just to occupy more cores.
+#: Operand bytes of one tile, which is one group and so lies in one partition.
+TILE_BYTES = 1024 * 1024 * 1024
+#: Tiles with less arithmetic than this are not split further just to occupy more cores.
 MIN_TILE_FLOPS = 2e8
+#: Rows of one piece of a heavy contracted index, whatever its share of the whole.
+PIECE_ROWS = 4_000_000
 
 
 # --- by entry -----------------------------------------------------------------------------------------------------
@@ -54,7 +59,8 @@ def heavy_indexes(a: DataFrame, b: DataFrame, share: float | None = None) -> Dat
     def pieces(n: str, other: str, limit: str) -> Column:
         # Square tiles of pairs where both sides are long, flat ones where the other side is short.
         return F.expr(
-            f"if(na * nb = 0, 0, int(ceil({n} / greatest(1, least({limit}, greatest(sqrt(max_w), max_w / {other}))))))"
+            f"if(na * nb = 0, 0, int(ceil({n} / greatest(1, "
+            f"least({PIECE_ROWS}, {limit}, greatest(sqrt(max_w), max_w / {other}))))))"
         )
 
     return heavy.select("c", pieces("na", "nb", "max_a").alias("sa"), pieces("nb", "na", "max_b").alias("sb"))
@@ -123,47 +129,69 @@ class Tiling:
 
 
 def choose_tiling(
-    rows: int, inner: int, cols: int, bs: int, problems: int, cores: int, task_bytes: int = TASK_BYTES
+    rows: int,
+    inner: int,
+    cols: int,
+    bs: int,
+    problems: int,
+    tasks: int,
+    task_bytes: int = TASK_BYTES,
+    min_flops: float = MIN_TILE_FLOPS,
+    tile_bytes: int = TILE_BYTES,
 ) -> Tiling:
-    """Cut a rows x inner x cols block product into tiles that fit a task and give every core something to do.
+    """Cut a rows x inner x cols block product into tiles.
+
+    A task streams its tile's operands by contracted index and holds the result tile and one slice of the operands;
+    these have to fit ``task_bytes``, the operands themselves ``tile_bytes``, and ``tasks`` tasks are to have
+    something to do unless tiles would fall below ``min_flops`` operations.
 
     A-blocks are shipped once per column tile, B-blocks once per row tile. Result blocks stay where they are made with
     one inner tile; with more, the parts leave the kernel, are shuffled and enter another one, which is counted as
-    three moves. Each halving takes the axis that adds the least to the total.
+    three moves. Each halving takes, of the axes that help, the one that adds the least to the total.
     """
     n = [1, 1, 1]
     grid = (rows, inner, cols)
 
-    def sides() -> list[int]:
-        return [ceil_div(g, k) for g, k in zip(grid, n)]
-
     def volume(parts: list[int]) -> int:
         nr, nc, nk = parts
         return nk * rows * inner + nr * inner * cols + (3 * nc if nc > 1 else 0) * rows * cols
 
     while True:
-        tr, tc, tk = sides()
-        held = 8 * bs * bs * (tr * tc + tc * tk + tr * tk)
-        busy = problems * n[0] * n[1] * n[2] >= 2 * cores or 2.0 * tr * tc * tk * bs**3 < MIN_TILE_FLOPS
-        splittable = [axis for axis, side in enumerate((tr, tc, tk)) if side > 1]
-        if not splittable or (held <= task_bytes and busy):
-            return Tiling(tr, tc, tk, ceil_div(rows, tr), ceil_div(inner, tc), ceil_div(cols, tk))
+        tr, tc, tk = sides = [ceil_div(g, k) for g, k in zip(grid, n)]
+        helps: set[int] = set()
+        if 8 * bs * bs * (tr * tk + tr + tk) > task_bytes:
+            helps = {0, 2}
+        elif 8 * bs * bs * tc * (tr + tk) > tile_bytes:
+            helps = {0, 1, 2}
+        elif problems * n[0] * n[1] * n[2] < tasks and 2.0 * tr * tc * tk * bs**3 >= min_flops:
+            helps = {0, 1, 2}
         options = []
-        for axis in splittable:
-            parts = list(n)
-            parts[axis] = min(2 * n[axis], grid[axis])
-            options.append((volume(parts), axis, parts))
+        for axis in helps:
+            if sides[axis] > 1:
+                parts = list(n)
+                parts[axis] = min(2 * n[axis], grid[axis])
+                options.append((volume(parts), axis, parts))
+        if not options:
+            return Tiling(tr, tc, tk, ceil_div(rows, tr), ceil_div(inner, tc), ceil_div(cols, tk))
         n = min(options)[2]
 
 
-def total_cores(spark: SparkSession) -> int:
-    return spark.sparkContext.defaultParallelism
+def wanted_tasks(spark: SparkSession) -> int:
+    """Tasks worth having: the shuffle partitions that the session asks for, or twice its cores if those are more."""
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(asked, 2 * spark.sparkContext.defaultParallelism)
+
+
+def product_partitions(tiles: int, held_bytes: int, tasks: int) -> int:
+    """Partitions of about ``TASK_BYTES`` for ``held_bytes`` of operands, ``tasks`` at least, never more than tiles."""
+    return max(1, min(tiles, max(tasks, ceil_div(held_bytes, TASK_BYTES))))
 
 
-def product_partitions(tiles: int, held_bytes: int, cores: int) -> int:
-    """Enough partitions to keep shuffle reads near 256 MB and cores evenly loaded, never more than tiles."""
-    by_size = ceil_div(held_bytes, TASK_BYTES)
-    return max(1, min(tiles, max(4 * cores, min(by_size, 32 * cores))))
+def dealt_to(base: str, tiles: int, parts: int) -> Column:
+    """The partition of tile ``base``. A multiple of the golden ratio takes any regular pattern of tiles apart."""
+    if parts >= tiles:
+        return F.expr(f"int({base})")
+    return F.expr(f"int(({base} % 1073741824L) * 2654435769L % 4294967296L * {parts}L div 4294967296L)")
 
 
 PRODUCT_SCHEMA = T.StructType(
@@ -172,6 +200,12 @@ PRODUCT_SCHEMA = T.StructType(
 PRODUCT_ARRAY_SCHEMA = T.StructType([*PRODUCT_SCHEMA.fields[:3], T.StructField("data", BLOCK_DATA)])
 
 
+def _stream_tiles(placed: DataFrame, tiles: int, parts: int, kernel, schema: T.StructType) -> DataFrame:
+    """One group per tile ``base``, its rows in the order of the contracted index ``c``: one exchange and one sort."""
+    dealt = placed.withColumn("part", dealt_to("base", tiles, parts)).repartitionById(parts, "part")
+    return dealt.sortWithinPartitions("part", "base", "c").groupBy("part", "base").applyInArrow(kernel, schema)
+
+
 def tile_products(
     operands: DataFrame,
     rows: int,
@@ -180,74 +214,107 @@ def tile_products(
     bs: int,
     problems: int = 1,
     task_bytes: int = TASK_BYTES,
-    final: bool = False,
+    final: tuple[int, int] | None = None,
+    min_flops: float = MIN_TILE_FLOPS,
 ) -> tuple[DataFrame, int]:
     """Multiply, for every sub-problem ``path``, its A-blocks by its B-blocks.
 
     ``operands`` has ``mat, path, br, bc, data``. Returns ``path, br, bc, data`` and the number of inner tiles: with
     more than one, a result block comes in that many parts which the caller has to add up. ``data`` is BINARY, or with
-    ``final`` an array if there is nothing to add.
+    ``final``, the true dimensions of the result, an array with clean padding if there is nothing to add.
 
     One shuffle. Each block goes to the tiles that need it; a tile is one group, its size is fixed by the tiling, and
-    a popular block row or column is spread over its tiles. Tiles are numbered and dealt out to partitions in turn, so
-    partitions hold equal numbers of them.
+    a popular block row or column is spread over its tiles.
     """
-    spark = operands.sparkSession
-    cores = total_cores(spark)
-    t = choose_tiling(rows, inner, cols, bs, problems, cores, task_bytes)
+    tasks = wanted_tasks(operands.sparkSession)
+    t = choose_tiling(rows, inner, cols, bs, problems, tasks, task_bytes, min_flops)
     tiles = problems * t.nr * t.nc * t.nk
     held = tiles * 8 * bs * bs * (t.tr * t.tc + t.tc * t.tk)
-    parts = product_partitions(tiles, held, cores)
+    parts = product_partitions(tiles, held, tasks)
     # A-blocks fix the row and inner tile and are copied along the column tiles; B-blocks the other way round.
     first = F.expr(f"if(mat = 'A', br div {t.tr}, 0L)")
-    inner_tile = F.expr(f"if(mat = 'A', bc, br) div {t.tc}")
     last = F.expr(f"if(mat = 'A', 0L, bc div {t.tk})")
-    placed = operands.withColumn("base", ((F.col("path") * t.nr + first) * t.nc + inner_tile) * t.nk + last)
+    placed = operands.withColumn("c", F.expr("if(mat = 'A', bc, br)"))
+    inner_tile = F.expr(f"c div {t.tc}")
+    placed = placed.withColumn("base", ((F.col("path") * t.nr + first) * t.nc + inner_tile) * t.nk + last)
     if t.nr > 1 or t.nk > 1:
         copies = F.expr(
             f"if(mat = 'A', sequence(0L, {t.nk - 1}L), sequence(0L, {(t.nr - 1) * t.nc * t.nk}L, {t.nc * t.nk}L))"
         )
         placed = placed.withColumn("copy", F.explode(copies)).withColumn("base", F.col("base") + F.col("copy"))
-    placed = placed.withColumn("part", (F.col("base") % parts).cast("int"))
-    binary = not final or t.nc > 1
-    schema = PRODUCT_SCHEMA if binary else PRODUCT_ARRAY_SCHEMA
-    products = (
-        placed.repartitionById(parts, "part")
-        .groupBy("part", "base")
-        .applyInArrow(kernels.tile_product_kernel(bs, binary), schema)
-    )
-    return products, t.nc
+    done = final if t.nc == 1 else None
+    kernel = kernels.tile_product_kernel(bs, done is None, done)
+    schema = PRODUCT_SCHEMA if done is None else PRODUCT_ARRAY_SCHEMA
+    return _stream_tiles(placed, tiles, parts, kernel, schema), t.nc
 
 
-def multiply_blocks(a: BlockMatrix, b: BlockMatrix, task_bytes: int = TASK_BYTES) -> BlockMatrix:
-    """A * B by tiles of blocks; parts of a result block from different inner tiles are added in a second shuffle."""
+def multiply_blocks(
+    a: BlockMatrix, b: BlockMatrix, task_bytes: int = TASK_BYTES, min_flops: float = MIN_TILE_FLOPS
+) -> BlockMatrix:
+    """A * B by tiles of blocks; parts of a result block from different inner tiles are added in a second shuffle.
+
+    Absent cells of a stored block are zeros and take part (0 * Inf is NaN), those of absent blocks do not.
+    """
     check_product_shape(a, b)
     operands = tag_path(union_operands(a.df, b.df))
+    dims = (a.n_rows, b.n_cols)
     products, parts = tile_products(
-        operands, a.grid_rows, a.grid_cols, b.grid_cols, a.bs, task_bytes=task_bytes, final=True
+        operands, a.grid_rows, a.grid_cols, b.grid_cols, a.bs, 1, task_bytes, dims, min_flops
     )
     if parts > 1:
-        products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], a.bs)
-    return BlockMatrix(products.select("br", "bc", "data"), a.n_rows, b.n_cols, a.bs)
+        products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], a.bs, dims=dims)
+    return BlockMatrix(products.select("br", "bc", "data"), *dims, a.bs)
+
+
+def stored_positions(m: BlockMatrix) -> DataFrame:
+    """``br, bc`` of the stored blocks. Reads the blocks' frame: stage it, or take :func:`entry_positions` instead."""
+    return m.df.select("br", "bc")
+
+
+def entry_positions(coo: DataFrame, bs: int) -> DataFrame:
+    """``br, bc`` of the blocks that entries fill."""
+    return coo.select(F.expr(f"i div {bs}").alias("br"), F.expr(f"j div {bs}").alias("bc")).distinct()
 
 
-def multiply_sparse_blocks(a: BlockMatrix, b: BlockMatrix, share: float | None = None) -> BlockMatrix:
-    """A * B for operands most of whose blocks are absent: only pairs of stored blocks are ever shipped.
+def multiply_sparse_blocks(
+    a: BlockMatrix,
+    b: BlockMatrix,
+    positions: tuple[DataFrame, DataFrame] | None = None,
+    task_bytes: int = TASK_BYTES,
+    min_flops: float = MIN_TILE_FLOPS,
+) -> BlockMatrix:
+    """A * B for operands most of whose blocks are absent: a block goes only to result tiles where it meets another.
 
-    A join on the contracted block index, cut where an index is heavy, instead of copies to all tiles. Counting the
-    blocks reads ``br`` and ``bc`` a second time, so operands that are costly to build should be staged or persisted.
+    The positions of stored blocks are matched first, as numbers: for each contracted index the column tiles in which B
+    has a block, and the row tiles in which A has one. A block is joined with its index's row of that list, so it is
+    shipped once per tile that needs it, and not at all if none does. ``positions`` are the stored blocks' ``br, bc`` of
+    A and B where they can be had without building blocks, for example from entries.
     """
     check_product_shape(a, b)
-    stored_a, stored_b = (
-        m.df.select(F.col("br").alias("i"), F.col("bc").alias("j"), F.lit(1).alias("v")) for m in (a, b)
+    at_a, at_b = positions or (stored_positions(a), stored_positions(b))
+    dims, bs = (a.n_rows, b.n_cols), a.bs
+    tasks = wanted_tasks(a.df.sparkSession)
+    t = choose_tiling(a.grid_rows, a.grid_cols, b.grid_cols, bs, 1, tasks, task_bytes, min_flops)
+    tiles = t.nr * t.nc * t.nk
+    cols = at_b.groupBy(F.col("br").alias("c")).agg(F.collect_set(F.expr(f"bc div {t.tk}")).alias("tiles"))
+    rows = at_a.groupBy(F.col("bc").alias("c")).agg(F.collect_set(F.expr(f"br div {t.tr}")).alias("tiles"))
+
+    def needed(m: BlockMatrix, mat: str, index: str, met: DataFrame, base: str) -> DataFrame:
+        blocks = m.df.select(F.lit(mat).alias("mat"), "br", "bc", F.col(index).alias("c"), "data").join(met, "c")
+        blocks = blocks.select("mat", "br", "bc", "c", F.explode("tiles").alias("tile"), "data")
+        return blocks.withColumn("base", F.expr(base))
+
+    placed = needed(a, "A", "bc", cols, f"(br div {t.tr} * {t.nc} + c div {t.tc}) * {t.nk} + tile").unionByName(
+        needed(b, "B", "br", rows, f"(tile * {t.nc} + c div {t.tc}) * {t.nk} + bc div {t.tk}")
     )
-    left = a.df.select(F.col("bc").alias("c"), F.col("br").alias("ai"), F.col("data").alias("left"))
-    right = b.df.select(F.col("br").alias("c"), F.col("bc").alias("bj"), F.col("data").alias("right"))
-    pairs = _join_spread(left, right, heavy_indexes(stored_a, stored_b, share))
-    pairs = pairs.select(F.col("ai").alias("br"), F.col("bj").alias("bc"), "left", "right")
-    schema = T.StructType(PRODUCT_SCHEMA.fields[1:])
-    products = pairs.mapInArrow(kernels.pair_product_kernel(a.bs), schema).withColumn("s", F.lit(1.0))
-    return BlockMatrix(signed_sum(products, ["br", "bc"], a.bs), a.n_rows, b.n_cols, a.bs)
+    # At most what a dense product holds; empty tiles cost nothing.
+    parts = product_partitions(tiles, tiles * 8 * bs * bs * t.tc * (t.tr + t.tk), tasks)
+    done = dims if t.nc == 1 else None
+    kernel = kernels.tile_product_kernel(bs, done is None, done)
+    products = _stream_tiles(tag_path(placed.drop("tile")), tiles, parts, kernel, PRODUCT_SCHEMA if done is None else PRODUCT_ARRAY_SCHEMA)
+    if t.nc > 1:
+        products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], bs, dims=dims)
+    return BlockMatrix(products.select("br", "bc", "data"), *dims, bs)
 
 
 def multiply_coo_by_tiles(
@@ -257,58 +324,57 @@ def multiply_coo_by_tiles(
     bs: int,
     unique: bool = False,
     task_bytes: int = TASK_BYTES,
+    min_flops: float = MIN_TILE_FLOPS,
 ) -> BlockMatrix:
     """Entries -> block product without shuffling any dense operand block, for operands of rows x inner, inner x cols.
 
-    Ships each entry to the tiles that need it and builds the dense operands there. Right for operands with up to
+    Ships each entry to the tiles along its row or column and builds dense slices there. Right for operands with up to
     about a quarter of their cells stored, where the entries are smaller than the blocks; for fuller ones
-    :func:`multiply_coo_via_blocks` moves less. A tile holds distinct cells, so skew in rows or columns is bounded by
-    its area.
+    :func:`multiply_coo_via_blocks` moves less, and for very wide and sparse ones, whose entries are copied to many tiles
+    that hold nothing to meet them, :func:`multiply_coo` does. A tile holds distinct cells, so skew in rows or columns
+    is bounded by its area.
     """
     rows, inner, cols = dims
     if not unique:
         a, b = unique_cells(a), unique_cells(b)
     grid = [ceil_div(side, bs) for side in dims]
-    cores = total_cores(a.sparkSession)
-    t = choose_tiling(*grid, bs, 1, cores, task_bytes)
+    tasks = wanted_tasks(a.sparkSession)
+    t = choose_tiling(*grid, bs, 1, tasks, task_bytes, min_flops)
 
-    def block_in_tile(row: str, col: str, tile_rows: int, tile_cols: int) -> Column:
-        block = f"((({row} div {bs}) % {tile_rows}) * {tile_cols} + ({col} div {bs}) % {tile_cols})"
-        return F.expr(f"int({block} * {bs * bs} + ({row} % {bs}) * {bs} + {col} % {bs})").alias("pos")
+    def place(block: str, side: int) -> Column:
+        return F.expr(f"int(({block} div {bs} % {side}) * {bs * bs} + (i % {bs}) * {bs} + j % {bs})").alias("pos")
 
     def tile_of(index: str, side: int) -> str:
         return f"({index} div {bs * side})"
 
     left = inside(a, rows, inner).select(
         F.lit(True).alias("is_left"),
+        F.expr(f"j div {bs}").alias("c"),
         F.expr(f"({tile_of('i', t.tr)} * {t.nc} + {tile_of('j', t.tc)}) * {t.nk}").alias("base"),
         F.expr(f"sequence(0L, {t.nk - 1}L)").alias("copies"),
-        block_in_tile("i", "j", t.tr, t.tc),
+        place("i", t.tr),
         "v",
     )
     right = inside(b, inner, cols).select(
         F.lit(False).alias("is_left"),
+        F.expr(f"i div {bs}").alias("c"),
         F.expr(f"{tile_of('i', t.tc)} * {t.nk} + {tile_of('j', t.tk)}").alias("base"),
         F.expr(f"sequence(0L, {(t.nr - 1) * t.nc * t.nk}L, {t.nc * t.nk}L)").alias("copies"),
-        block_in_tile("i", "j", t.tc, t.tk),
+        place("j", t.tk),
         "v",
     )
     tiles = t.nr * t.nc * t.nk
-    parts = product_partitions(tiles, tiles * 8 * bs * bs * (t.tr * t.tc + t.tc * t.tk), cores)
+    parts = product_partitions(tiles, tiles * 8 * bs * bs * (t.tr * t.tc + t.tc * t.tk), tasks)
     placed = (
         left.unionByName(right)
         .withColumn("copy", F.explode("copies"))
-        .select((F.col("base") + F.col("copy")).alias("base"), "is_left", "pos", "v")
-        .withColumn("part", (F.col("base") % parts).cast("int"))
-    )
-    kernel = kernels.cell_product_kernel(bs, (t.tr, t.tc, t.tk), (t.nr, t.nc, t.nk), binary=t.nc > 1)
-    products = (
-        placed.repartitionById(parts, "part")
-        .groupBy("part", "base")
-        .applyInArrow(kernel, PRODUCT_SCHEMA if t.nc > 1 else PRODUCT_ARRAY_SCHEMA)
+        .select((F.col("base") + F.col("copy")).alias("base"), "c", "is_left", "pos", "v")
     )
+    done = (rows, cols) if t.nc == 1 else None
+    kernel = kernels.cell_product_kernel(bs, (t.tr, t.tc, t.tk), (t.nr, t.nc, t.nk), done is None, done)
+    products = _stream_tiles(placed, tiles, parts, kernel, PRODUCT_SCHEMA if done is None else PRODUCT_ARRAY_SCHEMA)
     if t.nc > 1:
-        products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], bs)
+        products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], bs, dims=(rows, cols))
     return BlockMatrix(products.select("br", "bc", "data"), rows, cols, bs)
 
 

@@ -17,9 +17,8 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..functions.coefficients import A_TERMS, B_TERMS, C_TERMS, nested_terms, operand_table, output_table
 from ..matrix import BLOCK_DATA, BlockMatrix, ceil_div, check_product_shape
-from ..sources.staging import stage
 from .elementwise import add_blocks, signed_sum, subtract_blocks
-from .layout import quadrant, tag_path, union_operands
+from .layout import quadrant, tag_path, trim, union_operands
 from .product import TASK_BYTES, multiply_blocks, tile_products
 
 OPERAND_SCHEMA = T.StructType(
@@ -71,14 +70,6 @@ def _quadrant_columns(sub: Grid) -> dict:
     }
 
 
-def _pick_levels(grid: Grid, levels: int | None) -> int:
-    """At most two levels unless asked: each one multiplies the operand data by 7/4."""
-    if levels is not None:
-        return levels
-    smallest = min(grid.rows, grid.inner, grid.cols)
-    return max(0, min(2, smallest.bit_length() - 1))
-
-
 # --- one level at a time, through the coefficient tables ---------------------------------------------------------
 
 
@@ -117,29 +108,14 @@ def strassen_combine(products: DataFrame, sub: Grid, bs: int, binary: bool = Fal
     return signed_sum(placed, ["path", "br", "bc"], bs, binary)
 
 
-def trim(blocks: DataFrame, n_rows: int, n_cols: int, bs: int) -> BlockMatrix:
-    """Cut the padding off: drop blocks outside the matrix and zero the cells outside it in edge blocks.
-
-    Sums that cancel leave rounding noise there.
-    """
-    m = BlockMatrix(blocks.select("br", "bc", "data"), n_rows, n_cols, bs)
-    rows, cols = n_rows - F.col("br") * bs, n_cols - F.col("bc") * bs
-    inside = F.transform(
-        "data", lambda x, pos: F.when((pos / bs < rows) & (pos % bs < cols), x).otherwise(F.lit(0.0))
-    )
-    data = F.when((rows < bs) | (cols < bs), inside).otherwise(F.col("data"))
-    return m.with_df(m.df.where((rows > 0) & (cols > 0)).select("br", "bc", data.alias("data")))
-
-
 def strassen_by_table(
-    a: BlockMatrix, b: BlockMatrix, levels: int | None = None, task_bytes: int = TASK_BYTES
+    a: BlockMatrix, b: BlockMatrix, levels: int = 1, task_bytes: int = TASK_BYTES
 ) -> BlockMatrix:
     """A * B with every divide and combine a table join and a signed sum: 2 * levels + 1 shuffles.
 
     Moves three copies of each operand per level; :func:`strassen_multiply` moves one in all.
     """
     grid = product_grid(a, b)
-    levels = _pick_levels(grid, levels)
     operands = tagged_operands(a, b)
     if levels == 0:
         return multiply_blocks(a, b, task_bytes)
@@ -189,33 +165,44 @@ def strassen_combine_grouped(
 
 
 def strassen_multiply(
-    a: BlockMatrix, b: BlockMatrix, levels: int | None = None, task_bytes: int = TASK_BYTES
+    a: BlockMatrix, b: BlockMatrix, levels: int = 1, task_bytes: int = TASK_BYTES
 ) -> BlockMatrix:
     """A * B with all levels of a phase fused: three shuffles whatever ``levels`` is.
 
     Divide moves each operand block once, the leaf stage moves the ``(7/4) ** levels`` larger operands, and combine
     moves the products. ``levels=0`` is the plain block product.
     """
-    grid = product_grid(a, b)
-    levels = _pick_levels(grid, levels)
+    product_grid(a, b)
     if levels == 0:
         return multiply_blocks(a, b, task_bytes)
-    sub = grid.sub_grids(levels)[-1]
-    operands = strassen_divide_grouped(tagged_operands(a, b), sub, a.bs, levels)
-    products, _ = tile_products(operands, sub.rows, sub.inner, sub.cols, a.bs, 7**levels, task_bytes)
-    result = strassen_combine_grouped(products, sub, a.bs, levels, (a.n_rows, b.n_cols))
-    return BlockMatrix(result.select("br", "bc", "data"), a.n_rows, b.n_cols, a.bs)
+    return strassen_multiply_tagged(
+        union_operands(a.df, b.df), (a.n_rows, a.n_cols, b.n_cols), a.bs, levels, task_bytes
+    )
+
+
+def strassen_multiply_tagged(
+    blocks: DataFrame, dims: tuple[int, int, int], bs: int, levels: int = 1, task_bytes: int = TASK_BYTES
+) -> BlockMatrix:
+    """:func:`strassen_multiply` of both operands in one frame ``mat, br, bc, data`` (see ``tagged_coo_to_blocks``)."""
+    n_rows, n_inner, n_cols = dims
+    grid = Grid(*(ceil_div(side, bs) for side in dims))
+    operands = tag_path(blocks).select("mat", "path", "br", "bc", "data")
+    sub = grid.sub_grids(levels)[-1] if levels else grid
+    if levels:
+        operands = strassen_divide_grouped(operands, sub, bs, levels)
+    products, _ = tile_products(operands, sub.rows, sub.inner, sub.cols, bs, 7**levels, task_bytes)
+    result = strassen_combine_grouped(products, sub, bs, levels, (n_rows, n_cols))
+    return BlockMatrix(result.select("br", "bc", "data"), n_rows, n_cols, bs)
 
 
 def strassen_single_stream(
-    a: BlockMatrix, b: BlockMatrix, levels: int | None = None, task_bytes: int = TASK_BYTES
+    a: BlockMatrix, b: BlockMatrix, levels: int = 1, task_bytes: int = TASK_BYTES
 ) -> BlockMatrix:
     """A * B level by level over one stream of both operands: 2 * levels + 1 shuffles of groups of four or seven.
 
     Groups stay small at any depth, where the fused form holds ``4 ** levels`` blocks at once.
     """
     grid = product_grid(a, b)
-    levels = _pick_levels(grid, levels)
     operands = tagged_operands(a, b)
     if levels == 0:
         return multiply_blocks(a, b, task_bytes)
@@ -233,21 +220,17 @@ def strassen_single_stream(
 # --- recursive: composed of whole-matrix operators ----------------------------------------------------------------
 
 
-def strassen_recursive(
-    a: BlockMatrix, b: BlockMatrix, levels: int = 1, task_bytes: int = TASK_BYTES, staged: bool = False
-) -> BlockMatrix:
+def strassen_recursive(a: BlockMatrix, b: BlockMatrix, levels: int = 1, task_bytes: int = TASK_BYTES) -> BlockMatrix:
     """A * B as seven products of quadrant sums, each a matrix operation of its own.
 
-    The plan has ``7 ** levels`` branches that read their operands again and again, so each node first writes its two
-    operands to the shared folder (``staged=True`` promises that the caller has done so for A and B); from there a
-    quadrant is a filter on the scan. The seven products are tagged and added up in one pass, each computed once.
-    Meant for one or two levels; :func:`strassen_multiply` does the same arithmetic in one linear plan.
+    The plan has ``7 ** levels`` branches, each of which reads both operands, so the caller stages them; from a staged
+    table a quadrant is a filter on the scan. Nothing is written or run while the plan is built. The seven products are
+    tagged and added up in one pass. Only one level scales: the sums of a second one are formed anew in each of its
+    branches. :func:`strassen_multiply` does the same arithmetic in one linear plan.
     """
     grid = product_grid(a, b)
     if levels == 0:
         return multiply_blocks(a, b, task_bytes)
-    if not staged:
-        a, b = a.with_df(stage(a.df, "operand-a")), b.with_df(stage(b.df, "operand-b"))
     # The tables name the same sums as the stages above; here a sum is one add or subtract of two quadrants.
     products = []
     for m in range(1, 8):

@@ -150,9 +150,10 @@ def _(spark, sf):
     return dims.infer_dims(_a(spark, sf))
 
 
-@_register("infer_square_dim", "SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM t")
+@_register("infer_square_dim", f"SELECT CAST({mx.DAYS} AS BIGINT) AS n")
 def _(spark, sf):
-    return dims.infer_square_dim(layout.unique_cells(mx.transit(spark, sf)))
+    # Blocks with their zeros list every cell.
+    return dims.infer_square_dim(layout.blocks_to_coo(_t_blocks(spark, sf), drop_zeros=False))
 
 
 @_register("sink_roundtrip", _PRODUCT)
@@ -221,7 +222,8 @@ def _register_quadrant(r: int, c: int) -> None:
 
     @_register(f"quadrant_{r + 1}{c + 1}", sql)
     def _(spark, sf):
-        return layout.blocks_to_coo(layout.quadrant(_a_blocks(spark, sf), r, c))
+        shape = (mx.suppliers(spark, sf), mx.DAYS)
+        return layout.blocks_to_coo(layout.coo_quadrant(mx.shipped(spark, sf), BS, shape, r, c))
 
 
 for _r in (0, 1):
@@ -318,7 +320,8 @@ def _(spark, sf):
 
 @_register("multiply_sparse_blocks", _PRODUCT)
 def _(spark, sf):
-    return layout.blocks_to_coo(product.multiply_sparse_blocks(_a_blocks(spark, sf), _t_blocks(spark, sf)))
+    stored = tuple(product.entry_positions(m(spark, sf), BS) for m in (mx.shipped, mx.transit))
+    return layout.blocks_to_coo(product.multiply_sparse_blocks(_a_blocks(spark, sf), _t_blocks(spark, sf), stored))
 
 
 @_register("multiply_coo_by_tiles", _PRODUCT)
@@ -345,7 +348,31 @@ def _(spark, sf):
 
 @_register("strassen_recursive", _PRODUCT)
 def _(spark, sf):
-    return layout.blocks_to_coo(strassen.strassen_recursive(_a_blocks(spark, sf), _t_blocks(spark, sf), 1))
+    a, t = _a_blocks(spark, sf), _t_blocks(spark, sf)
+    a, t = (m.with_df(staging.stage(m.df, "recursive-operand")) for m in (a, t))
+    return layout.blocks_to_coo(strassen.strassen_recursive(a, t, 1))
+
+
+@_register(
+    "strassen_from_tagged_file",
+    f"SELECT p.i, p.j, p.v, n.n_blocks FROM ({_PRODUCT}) p, "
+    f"(SELECT count(DISTINCT (i // {BS}, j // {BS})) AS n_blocks FROM ({_PRODUCT})) n WHERE p.v <> 0",
+)
+def _(spark, sf):
+    """A whole program: one tagged file -> both operands -> blocks -> product, kept -> its block count and entries."""
+    path = staging.scratch_path(spark, "tagged-program")
+    text.write_coo(layout.union_operands(mx.shipped(spark, sf), mx.transit(spark, sf)), path)
+    tagged = text.read_tagged(spark, path)
+    shape = (mx.suppliers(spark, sf), mx.DAYS, mx.DAYS)
+    blocks = layout.tagged_coo_to_blocks(tagged, BS, shape)
+    result = strassen.strassen_multiply_tagged(blocks, shape, BS, levels=1).persist()
+    n_blocks = result.count_blocks().first()["n_blocks"]
+    return layout.blocks_to_coo(result).withColumn("n_blocks", F.lit(n_blocks).cast("bigint"))
+
+
+@_register("preview_product", f"SELECT * FROM ({_PRODUCT}) ORDER BY i, j LIMIT 20")
+def _(spark, sf):
+    return text.preview(product.multiply_coo(mx.shipped(spark, sf), mx.transit(spark, sf)), 20)
 
 
 def _one_level(spark, sf):

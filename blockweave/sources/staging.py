@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``.
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``, else one below the warehouse.
 
-    Only a local-mode session without that setting gets a temporary folder of its own machine; on a cluster such a
-    folder would be lost with its executor, so there the setting is required.
+    All of these are folders that every executor sees; nothing is ever put on one machine's temporary disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="blockweave-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir')}/staged").rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and return it as read back.
 
-    Later steps read the written table, so they neither repeat the work nor depend on the executors that did it.
+    Later steps read the written table, so they neither repeat the work nor depend on the executors that did it. The
+    table belongs to the caller, who may :func:`unstage` it once nothing lazy reads it any more.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(staged: DataFrame) -> None:
+    """Delete the table that :func:`stage` wrote for ``staged``; frames of anything else are refused."""
+    spark = staged.sparkSession
+    root = shared_root(spark).removeprefix("file:").rstrip("/")
+    folders = {f.rpartition("/")[0] for f in staged.inputFiles()}
+    for folder in folders:
+        if not folder.removeprefix("file:").replace("///", "/").startswith(f"{root}/"):
+            raise ValueError(f"not a staged table: {folder}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,27 +11,32 @@ from ..operators.layout import coo_to_blocks
 from .dims import matrix_dims
 
 
-def _checked(name: str, bad: Column, what: str) -> Column:
-    """The column itself, or a task failure when ``bad`` holds: a wrong line is an error, never a silent null."""
-    return F.when(bad, F.raise_error(F.lit(f"{what} in column {name}"))).otherwise(F.col(name)).alias(name)
+def _sound(bad: dict[str, Column]) -> Column:
+    """True, or a task failure that names the column for which ``bad`` holds.
 
+    Whatever is asked of the lines, a count or a few columns or rows, they are read and checked whole.
+    """
+    failures = [(F.coalesce(b, F.lit(True)), F.raise_error(F.lit(f"bad value in column {name}"))) for name, b in bad.items()]
+    sound = F.lit(True)
+    for b, failure in failures:
+        sound = F.when(b, failure.cast("boolean")).otherwise(sound)
+    return sound
 
-def _read(spark: SparkSession, path: str, schema: T.StructType, partitions: int | None, fmt: str) -> DataFrame:
+
+def _read(
+    spark: SparkSession, path: str, schema: T.StructType, partitions: int | None, fmt: str, names: tuple[str, ...] = ()
+) -> DataFrame:
     if fmt == "csv":
         df = spark.read.schema(schema).option("mode", "FAILFAST").csv(path)
     elif fmt == "parquet":
         df = spark.read.schema(schema).parquet(path)
     else:
         raise ValueError(f"unknown format {fmt!r}: use 'csv' or 'parquet'")
-    checks = {
-        "i": F.col("i").isNull() | (F.col("i") < 0),
-        "j": F.col("j").isNull() | (F.col("j") < 0),
-        "v": F.col("v").isNull(),
-    }
-    df = df.select(
-        [_checked(f.name, checks[f.name], "missing or negative value") if f.name in checks else F.col(f.name)
-         for f in schema]
-    )
+    bad = {"i": F.col("i") < 0, "j": F.col("j") < 0, "v": F.col("v").isNull()}
+    if names:
+        bad["mat"] = ~F.col("mat").isin(*names)
+    # As a filter for counts, and around each column for filters that Spark would evaluate first.
+    df = df.where(_sound(bad)).select(*[F.when(_sound(bad), F.col(f.name)).alias(f.name) for f in schema])
     # Round-robin, so that a cell or row holding much of the file is spread all the same.
     return df.repartition(partitions) if partitions else df
 
@@ -41,9 +46,15 @@ def read_coo(spark: SparkSession, path: str, partitions: int | None = None, fmt:
     return _read(spark, path, COO_SCHEMA, partitions, fmt)
 
 
-def read_tagged(spark: SparkSession, path: str, partitions: int | None = None, fmt: str = "csv") -> DataFrame:
-    """Both operands in one file: lines ``name,row,col,value`` with name ``A`` or ``B`` -> tagged coo."""
-    return _read(spark, path, TAGGED_COO_SCHEMA, partitions, fmt)
+def read_tagged(
+    spark: SparkSession,
+    path: str,
+    partitions: int | None = None,
+    fmt: str = "csv",
+    names: tuple[str, ...] = ("A", "B"),
+) -> DataFrame:
+    """Both operands in one file: lines ``name,row,col,value`` -> tagged coo; a name not in ``names`` fails the read."""
+    return _read(spark, path, TAGGED_COO_SCHEMA, partitions, fmt, names)
 
 
 def read_blocks(

@@ -6,6 +6,7 @@ from conftest import from_blocks, from_coo, integers, to_blocks, to_coo
 from pyspark.sql import functions as F
 
 import blockweave as bw
+from blockweave.operators import product
 from blockweave.operators.product import choose_tiling, heavy_indexes
 
 FOUR = np.arange(1.0, 17.0).reshape(4, 4)
@@ -79,46 +80,27 @@ def test_heavy_index_spreads_over_join_keys(spark):
 def test_block_product(spark, shape, task_bytes):
     rows, inner, cols = shape
     a, b = integers(7, rows, inner), integers(8, inner, cols)
-    got = bw.multiply_blocks(to_blocks(spark, a, 4), to_blocks(spark, b, 4), task_bytes)
+    got = bw.multiply_blocks(to_blocks(spark, a, 4), to_blocks(spark, b, 4), task_bytes, 1.0)
     assert np.array_equal(from_blocks(got), a @ b)
 
 
-@pytest.mark.parametrize("share", [None, 0.05])
-def test_sparse_block_product(spark, share):
+@pytest.mark.parametrize("task_bytes", [1, 300, 1 << 28])
+@pytest.mark.parametrize("given", [False, True])
+def test_sparse_block_product(spark, task_bytes, given):
     a, b = integers(21, 20, 14, 0.05), integers(22, 14, 18, 0.05)
     a[:, 4], b[5, :] = 2.0, 3.0  # one block column of A and the matching block row of B are full
-    got = bw.multiply_sparse_blocks(to_blocks(spark, a, 2), to_blocks(spark, b, 2), share)
+    positions = tuple(bw.entry_positions(to_coo(spark, x), 2) for x in (a, b)) if given else None
+    got = bw.multiply_sparse_blocks(to_blocks(spark, a, 2), to_blocks(spark, b, 2), positions, task_bytes)
     assert np.array_equal(from_blocks(got), a @ b)
 
 
-def test_sparse_block_sums_are_passed_on_in_parts(monkeypatch):
-    import pyarrow as pa
-
-    from blockweave.functions import kernels
-
-    monkeypatch.setattr(kernels, "BATCH_BYTES", 64)  # two 2 x 2 blocks
-    x = np.arange(1.0, 5.0).reshape(2, 2)
-    keys = [(0, 0), (0, 1), (0, 0), (1, 0), (0, 0)]
-    data = pa.array([x.ravel()] * len(keys), kernels.BLOCK_TYPE)
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([r for r, _ in keys]), pa.array([c for _, c in keys]), data, data], ["br", "bc", "left", "right"]
-    )
-    total: dict = {}
-    for out in kernels.pair_product_kernel(2)(iter([batch])):
-        for r, c, block in zip(out["br"].to_pylist(), out["bc"].to_pylist(), kernels.block_views(out["data"], 2)):
-            total[r, c] = total.get((r, c), 0) + block
-    assert {k: v.tolist() for k, v in total.items()} == {
-        k: (keys.count(k) * (x @ x)).tolist() for k in set(keys)
-    }
-
-
 @pytest.mark.parametrize("shape", [(8, 8, 8), (5, 3, 7), (9, 17, 6)])
 @pytest.mark.parametrize("task_bytes", [1, 2000, 1 << 28])
 def test_product_by_tiles(spark, shape, task_bytes):
     rows, inner, cols = shape
     a, b = integers(19, rows, inner, 0.3), integers(20, inner, cols, 0.3)
     a[:2] = 0  # a block row without entries
-    got = bw.multiply_coo_by_tiles(to_coo(spark, a), to_coo(spark, b), shape, 2, task_bytes=task_bytes)
+    got = bw.multiply_coo_by_tiles(to_coo(spark, a), to_coo(spark, b), shape, 2, task_bytes=task_bytes, min_flops=1.0)
     assert np.array_equal(from_blocks(got), a @ b)
 
 
@@ -137,8 +119,6 @@ def test_product_by_tiles(spark, shape, task_bytes):
     ],
 )
 def test_strassen_is_exact_on_integers(spark, name, shape, bs, levels):
-    if name == "recursive" and levels > 1 and shape != (6, 6, 6):
-        pytest.skip("one deep case is enough for the recursive form")
     rows, inner, cols = shape
     a, b = integers(9, rows, inner), integers(10, inner, cols)
     got = STRASSEN[name](to_blocks(spark, a, bs), to_blocks(spark, b, bs), levels)
@@ -146,14 +126,14 @@ def test_strassen_is_exact_on_integers(spark, name, shape, bs, levels):
     assert np.array_equal(from_blocks(got), a @ b)
 
 
-@pytest.mark.parametrize("name", ["fused", "single_stream"])
+@pytest.mark.parametrize("name", ["fused", "single_stream", "by_table"])
 def test_three_levels(spark, name):
     a, b = integers(11, 16, 16), integers(12, 16, 16)
     got = STRASSEN[name](to_blocks(spark, a, 2), to_blocks(spark, b, 2), 3)
     assert np.array_equal(from_blocks(got), a @ b)
 
 
-@pytest.mark.parametrize("name", ["fused", "single_stream", "by_table"])
+@pytest.mark.parametrize("name", STRASSEN)
 def test_wide_grid(spark, name):
     """Grid 32 x 32, where block positions such as (1, 11) and (11, 1) must stay apart."""
     a, b = integers(13, 32, 32), integers(14, 32, 32)
@@ -169,7 +149,7 @@ def test_missing_blocks(spark, name):
     assert np.array_equal(from_blocks(got), a @ b)
 
 
-@pytest.mark.parametrize("name", ["fused", "single_stream", "by_table"])
+@pytest.mark.parametrize("name", STRASSEN)
 def test_uneven_grid_with_reals_keeps_padding_clean(spark, name):
     rng = np.random.default_rng(0)
     a, b = rng.random((11, 9)), rng.random((9, 13))
@@ -192,6 +172,18 @@ def test_via_blocks(spark):
         got.unpersist()
 
 
+def test_inner_tiles_are_added_up(spark):
+    a, b = integers(41, 3, 30), integers(42, 30, 3)
+    left, right = to_blocks(spark, a, 4), to_blocks(spark, b, 4)
+    products = [
+        bw.multiply_blocks(left, right, min_flops=0.0),
+        bw.multiply_sparse_blocks(left, right, min_flops=0.0),
+        bw.multiply_coo_by_tiles(to_coo(spark, a), to_coo(spark, b), (3, 30, 3), 4, min_flops=0.0),
+    ]
+    for product_ in products:
+        assert np.array_equal(from_blocks(product_), a @ b)
+
+
 def test_identity(spark):
     a = integers(18, 8, 8)
     eye = to_blocks(spark, np.eye(8), 2)
@@ -210,11 +202,101 @@ def test_shape_mismatch(spark):
         bw.multiply_blocks(to_blocks(spark, integers(1, 4, 6), 2), to_blocks(spark, integers(1, 4, 6), 2))
 
 
-@pytest.mark.parametrize("cores", [1, 8, 8000])
-@pytest.mark.parametrize("grid", [(1, 1, 1), (4, 40, 4), (313, 6, 6), (6250, 6250, 6250)])
-def test_tiling_covers_grid_and_fits(grid, cores):
+GRIDS = [(1, 1, 1), (4, 40, 4), (313, 6, 6), (3907, 3907, 3907)]
+
+
+@pytest.mark.parametrize("tasks", [1, 16, 16000])
+@pytest.mark.parametrize("grid", GRIDS)
+def test_tiling_covers_grid_and_fits(grid, tasks):
     bs, budget = 256, 1 << 28
-    t = choose_tiling(*grid, bs, 7, cores, budget)
+    t = choose_tiling(*grid, bs, 7, tasks, budget)
     for side, tile, tiles in zip(grid, (t.tr, t.tc, t.tk), (t.nr, t.nc, t.nk)):
         assert tile * tiles >= side > tile * (tiles - 1)
-    assert 8 * bs * bs * (t.tr * t.tc + t.tc * t.tk + t.tr * t.tk) <= budget
+    assert 8 * bs * bs * (t.tr * t.tk + t.tr + t.tk) <= budget
+    assert 8 * bs * bs * t.tc * (t.tr + t.tk) <= product.TILE_BYTES
+
+
+@pytest.mark.parametrize("tasks", [1, 16, 16000])
+def test_large_product_moves_little_more_than_its_result_tile_demands(tasks):
+    """A million squared: partitions of a gigabyte whatever the cores, and fewer parts of results than operands."""
+    side, bs = 3907, 256
+    t = choose_tiling(side, side, side, bs, 1, tasks)
+    assert t.tr * t.tk >= 200  # result tiles as large as a task can hold
+    tiles = t.nr * t.nc * t.nk
+    held = tiles * 8 * bs * bs * t.tc * (t.tr + t.tk)
+    assert held / product.product_partitions(tiles, held, tasks) <= 2 * product.TILE_BYTES
+    assert 3 * t.nc * side * side < side * side * (t.nr + t.nk)
+
+
+def test_a_tall_contracted_axis_is_not_cut_without_need():
+    assert choose_tiling(4, 40, 4, 64, 1, 1).nc == 1
+
+
+@pytest.mark.parametrize("pattern", ["all", "first column", "first inner", "band"])
+def test_tiles_are_dealt_evenly(spark, pattern):
+    n, parts = 64, 128
+    tiles = [
+        (r * n + c) * n + k for r in range(n) for c in range(n) for k in range(n)
+        if {"all": True, "first column": k == 0, "first inner": c == 0, "band": abs(r - c) <= 1 and abs(c - k) <= 1}[pattern]
+    ]
+    df = spark.createDataFrame([(t,) for t in tiles], "base bigint")
+    counts = [r["count"] for r in df.groupBy(product.dealt_to("base", n**3, parts).alias("p")).count().collect()]
+    assert len(counts) == parts and max(counts) <= 1.5 * len(tiles) / parts + 2
+
+
+@pytest.mark.parametrize("form", [bw.strassen_multiply, bw.strassen_single_stream, bw.strassen_by_table, bw.strassen_recursive])
+def test_levels_do_not_depend_on_the_size(form):
+    import inspect
+
+    assert inspect.signature(form).parameters["levels"].default == 1
+
+
+def test_default_levels_on_several_grids(spark):
+    for side in (1, 3, 8):
+        a = to_blocks(spark, integers(side, side, side), 1)
+        text = bw.strassen_multiply(a, a).df._jdf.queryExecution().toString()
+        assert "path" in text and "div 7" in text.replace("7L", "7").lower()
+
+
+def test_infinities_leave_padding_clean(spark):
+    one, two = np.array([[np.inf]]), np.array([[2.0]])
+    a = to_blocks(spark, one, 2)
+    first = [
+        bw.multiply_blocks(a, to_blocks(spark, np.ones((1, 1)), 2)),
+        bw.multiply_sparse_blocks(a, to_blocks(spark, np.ones((1, 1)), 2)),
+        bw.multiply_coo_by_tiles(to_coo(spark, one), to_coo(spark, np.ones((1, 1))), (1, 1, 1), 2),
+        bw.scalar_multiply(to_blocks(spark, two, 2), np.inf),
+        bw.strassen_multiply(a, to_blocks(spark, np.ones((1, 1)), 2), 0),
+    ]
+    for m in first:
+        assert from_blocks(m)[0, 0] == np.inf
+        assert from_blocks(bw.multiply_blocks(m, to_blocks(spark, two, 2)))[0, 0] == np.inf
+
+
+@pytest.mark.parametrize("task_bytes", [1, 1 << 28])
+def test_chain_with_infinity_and_nan_agrees_with_entries(spark, task_bytes):
+    a, b, c = integers(31, 5, 3), integers(32, 3, 7), integers(33, 7, 2)
+    a[a == 0], b[b == 0], c[c == 0] = 1, 1, 1  # absent cells are the one documented difference
+    a[1, 2], a[3, 0] = np.inf, np.nan
+    chain = bw.multiply_blocks(bw.multiply_blocks(*(to_blocks(spark, x, 2) for x in (a, b)), task_bytes), to_blocks(spark, c, 2), task_bytes)
+    by_entry = bw.multiply_coo(bw.multiply_coo(*(to_coo(spark, x) for x in (a, b))), to_coo(spark, c))
+    assert np.array_equal(from_blocks(chain), from_coo(by_entry, (5, 2)), equal_nan=True)
+
+
+def test_absent_cells_of_stored_blocks_are_zeros(spark):
+    """0 * Inf is NaN in a block; by entry a cell that is not stored takes no part."""
+    a, b = np.array([[1.0, 0.0]]), np.array([[1.0], [np.inf]])
+    assert np.isnan(from_blocks(bw.multiply_blocks(to_blocks(spark, a, 2), to_blocks(spark, b, 2)))[0, 0])
+    assert from_coo(bw.multiply_coo(to_coo(spark, a), to_coo(spark, b)), (1, 1))[0, 0] == 1.0
+
+
+def test_block_diagonal_ships_each_block_once(spark):
+    a = np.kron(np.eye(6), np.ones((2, 2)))
+    seen = []
+    original = product._stream_tiles
+    try:
+        product._stream_tiles = lambda placed, *rest: seen.append(placed.count()) or original(placed, *rest)
+        got = bw.multiply_sparse_blocks(*(to_blocks(spark, a, 2) for _ in "ab"), None, 8 * 4 * 3, 1.0)
+    finally:
+        product._stream_tiles = original
+    assert seen == [12] and np.array_equal(from_blocks(got), a @ a)

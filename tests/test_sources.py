@@ -48,12 +48,58 @@ def test_read_blocks(spark, matrix_file):
     assert np.array_equal(from_blocks(bw.read_blocks(spark, matrix_file, 4, dims=(6, 5)))[:4, :4], FOUR)
 
 
-@pytest.mark.parametrize("line", ["1,x,2.0", "1,2", "1.5,0,1", "1,2,", ",1,2", "-1,0,1", "1,2,three"])
-def test_bad_line_fails(spark, tmp_path, line):
+USES = {
+    "collect": lambda df: df.collect(),
+    "count": lambda df: df.count(),
+    "infer_dims": lambda df: bw.infer_dims(df).collect(),
+    "one column": lambda df: df.select("i").collect(),
+}
+BAD_LINES = ["1,x,2.0", "1,2", "1.5,0,1", "1,2,", ",1,2", "-1,0,1", "1,2,three", "0,1,2.0,9", "0,-3,1", "0,1,zz", "x,1,2.0"]
+
+
+@pytest.mark.parametrize("line", BAD_LINES)
+@pytest.mark.parametrize("use", USES)
+def test_bad_line_fails(spark, tmp_path, line, use):
     path = tmp_path / "bad.csv"
     path.write_text(f"0,0,1.0\n{line}\n")
     with pytest.raises(Exception):
-        bw.read_coo(spark, str(path)).collect()
+        USES[use](bw.read_coo(spark, str(path)))
+
+
+@pytest.mark.parametrize("line", [*(f"A,{line}" for line in BAD_LINES), ",0,1,5.0", "C,1,1,7.0", "a,1,1,7.0"])
+@pytest.mark.parametrize("use", [*USES, "select_operand"])
+def test_bad_tagged_line_fails(spark, tmp_path, line, use):
+    path = tmp_path / "bad.csv"
+    path.write_text(f"A,0,0,1.0\nB,0,0,1.0\n{line}\n")
+    df = bw.read_tagged(spark, str(path))
+    with pytest.raises(Exception):
+        bw.select_operand(df, "B").collect() if use == "select_operand" else USES[use](df)
+
+
+def test_other_names_can_be_permitted(spark, tmp_path):
+    path = tmp_path / "cd.csv"
+    path.write_text("C,0,0,1.0\nD,0,1,2.0\n")
+    assert bw.read_tagged(spark, str(path), names=("C", "D")).count() == 2
+
+
+def test_partial_listing_has_no_square_side(spark):
+    assert bw.infer_square_dim(to_coo(spark, FOUR)).first().n == 4
+    with pytest.raises(Exception):
+        bw.infer_square_dim(to_coo(spark, FOUR).where("i + j > 0")).collect()
+
+
+def test_tagged_file_to_blocks(spark, tmp_path):
+    a, b = FOUR[:3, :2], np.arange(8.0).reshape(2, 4) + 1
+    (tmp_path / "ab.csv").write_text("\n".join(lines_of(a, "A") + lines_of(b, "B") + ["A,0,0,5"]))
+    tagged = bw.read_tagged(spark, str(tmp_path / "ab.csv"))
+    assert bw.tagged_dims(tagged) == (3, 2, 4)
+    blocks = bw.tagged_coo_to_blocks(tagged, 2, (3, 2, 4))
+    a = a + np.array([[5, 0], [0, 0], [0, 0]])
+    for levels in (0, 1):
+        product = bw.strassen_multiply_tagged(blocks, (3, 2, 4), 2, levels)
+        assert np.array_equal(from_blocks(product), a @ b)
+    with pytest.raises(Exception):
+        bw.tagged_coo_to_blocks(tagged, 2, (3, 1, 4)).collect()
 
 
 def test_special_values(spark, tmp_path):
@@ -99,3 +145,14 @@ def test_stage_uses_the_shared_folder(spark):
     staged = bw.stage(to_coo(spark, FOUR), "four")
     assert root in staged.inputFiles()[0]
     assert np.array_equal(from_coo(staged, (4, 4)), FOUR)
+    bw.unstage(staged)
+    with pytest.raises(Exception):
+        staged.collect()
+
+
+def test_only_staged_tables_can_be_unstaged(spark, tmp_path):
+    path = str(tmp_path / "mine")
+    bw.write_coo(to_coo(spark, FOUR), path, "parquet")
+    with pytest.raises(ValueError):
+        bw.unstage(spark.read.parquet(path))
+    assert bw.read_coo(spark, path, fmt="parquet").count() == 16
