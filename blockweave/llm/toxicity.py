@@ -168,12 +168,14 @@ def fit(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = ()) -> Le
     besides the learned ones.
     """
     toxic = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(toxic, "doc_id")
     sizes = {r["toxic"]: r["count"] for r in toxic.groupBy("toxic").count().collect()}
     u = F.xxhash64("doc_id", F.lit(13)).cast("double") / F.lit(float(1 << 64)) + 0.5
     clean_share = min(1.0, 0.95 * SAMPLE_CLEAN / max(sizes.get(0, 0), 1))
     toxic_share = min(1.0, 0.95 * SAMPLE_TOXIC / max(sizes.get(1, 0), 1))
-    sample = stage(texts.filter(u < F.when(F.col("toxic") == 1, toxic_share).otherwise(clean_share)), "toxicity-sample")
+    drawn = toxic.filter(u < F.when(F.col("toxic") == 1, toxic_share).otherwise(clean_share))
+    # Ids and labels of the sample alone, about SAMPLE_TOXIC + SAMPLE_CLEAN rows at most, go to where the texts are.
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    sample = stage(texts, "toxicity-sample")
     clean, unexplained = sample.filter("toxic = 0"), sample.filter("toxic = 1")
     n_toxic, n_clean = unexplained.count(), clean.count()
     lexicon = Lexicon(exceptions=tuple(map(exception_phrase, phrases)))
