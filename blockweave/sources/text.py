@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..matrix import COO_SCHEMA, TAGGED_COO_SCHEMA, BlockMatrix
 from ..operators.layout import coo_to_blocks
 from .dims import matrix_dims
+from .staging import stage
 
 
 def _sound(bad: dict[str, Column]) -> Column:
@@ -66,9 +67,15 @@ def read_blocks(
     partitions: int | None = None,
     fmt: str = "csv",
 ) -> BlockMatrix:
-    """A triplet file as a block matrix; without ``dims`` one small aggregate job finds them."""
+    """A triplet file as a block matrix.
+
+    Without ``dims`` the parsed entries are staged, so that the text is read once, and one aggregate job finds them.
+    """
     coo = read_coo(spark, path, partitions, fmt)
-    return coo_to_blocks(coo, bs, dims or matrix_dims(coo), on_duplicate)
+    if dims is None:
+        coo = stage(coo, "entries")
+        dims = matrix_dims(coo)
+    return coo_to_blocks(coo, bs, dims, on_duplicate)
 
 
 def write_coo(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
