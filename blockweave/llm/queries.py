@@ -164,7 +164,31 @@ def _(spark, sf):
     return packing.pack(table(spark, sf, "documents"), tokenizer_file())
 
 
-@_register("op1_suffix_dedup")
+_SUFFIX_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+runs AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS win
+  FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+firsts AS (SELECT win, min({'d': doc_id, 'i': i}) AS first FROM runs GROUP BY win),
+gone AS (SELECT doc_id, i FROM runs JOIN firsts USING (win) WHERE {'d': doc_id, 'i': i} > first),
+cuts AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM gone),
+islands AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+    SELECT doc_id, i, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM cuts)
+  GROUP BY doc_id, island),
+parts AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM islands),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+@_register("op1_suffix_dedup", _SUFFIX_SQL)
 def _(spark, sf):
     return suffix_dedup.remove_repeats(table(spark, sf, "documents")).drop("starts", "stops")
 
