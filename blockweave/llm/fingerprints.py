@@ -10,6 +10,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 #: Powers of two, so that both hash and minimum double their reach step by step.
 GRAM = 16
 WIDTH = 32
+#: Text of a run, at most about; smaller where the session asks for more shuffle partitions, down to a megabyte.
+RUN_BYTES = 256 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -91,27 +94,36 @@ def in_runs(docs: DataFrame, runs: int) -> DataFrame:
     """``doc_id, text, run, extra``: documents cut by ascending id into runs, one a partition, sorted.
 
     The first document of each following run also ends the run before it (``extra``), so each run knows the successor of
-    its last one. Boundaries come from Spark's quantile sketch of ids; one id per run reaches the driver.
+    its last one. Boundaries come from Spark's quantile sketch of ids. One id per run reaches the driver and is broadcast;
+    that is 16 bytes for each ``run_bytes`` of text.
     """
-    bounds = docs.approxQuantile("doc_id", [i / runs for i in range(1, runs)], 1 / (8 * runs)) if runs > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    cuts = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    run = F.size(F.filter(cuts, lambda b: b <= F.col("doc_id")))
-    placed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(run, F.lit(0)).alias("run"))
-    first = placed.groupBy("run").agg(F.min("doc_id").alias("first")).orderBy("run").collect()
+    spark = docs.sparkSession
+    bounds = docs.approxQuantile("doc_id", [i / runs for i in range(1, runs)], 1 / (4 * runs)) if runs > 1 else []
+    cuts = np.unique(np.array(bounds, np.int64))
+
+    @F.pandas_udf("int")
+    def run_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ids in batches:
+            known = ids.notna()
+            run = np.zeros(len(ids), np.int32)  # ids that are null come first of all
+            run[known] = np.searchsorted(cuts, ids[known].astype(np.int64).to_numpy(), side="right")
+            yield pd.Series(run)
+
+    ids = docs.groupBy(run_of(F.col("doc_id")).alias("run"))
+    heads = ids.agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("head")).orderBy("run").collect()
     # The document after run r is the first of the next run that has any; the last run is followed by the first of all.
-    nulls = docs.filter(F.col("doc_id").isNull()).limit(1).count() > 0
-    heads = [(r["run"], r["first"]) for r in first]
-    if nulls and heads:  # ids that are null come first of all
-        heads[0] = (0, None)
-    targets = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    extra = F.lit(None).cast("int")
-    for head, before in targets:
-        extra = F.when(F.col("doc_id").eqNullSafe(F.lit(head)), F.lit(before)).otherwise(extra)
-    twice = F.array(F.struct(F.col("run"), F.lit(False).alias("extra")), F.struct(extra.alias("run"), F.lit(True).alias("extra")))
+    targets = [(r["head"], heads[i - 1]["run"]) for i, r in enumerate(heads)]
+    targets = spark.createDataFrame(targets, "head bigint, before int")
+    placed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    placed = placed.withColumn("run", run_of(F.col("doc_id")))
+    placed = placed.join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    twice = F.array(
+        F.struct(F.col("run"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("run"), F.lit(True).alias("extra"))
+    )
     rows = placed.select("doc_id", "text", F.explode(F.filter(twice, lambda x: x["run"].isNotNull())).alias("x"))
     rows = rows.select("doc_id", "text", "x.run", "x.extra")
-    return rows.repartitionById(max(1, len(bounds) + 1), F.col("run")).sortWithinPartitions("run", "extra", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = rows.repartitionById(len(cuts) + 1, F.col("run"))
+    return dealt.sortWithinPartitions("run", "extra", F.col("doc_id").asc_nulls_first(), "text")
 
 
 SCHEMA = (
@@ -120,7 +132,7 @@ SCHEMA = (
 )
 
 
-def fingerprint_edits(docs: DataFrame, run_bytes: int = 32 << 20, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, run_bytes: int = RUN_BYTES, gram: int = GRAM, width: int = WIDTH) -> DataFrame:
     """Fingerprints of each text and of its edited text, and the likeness to it and to the next document's.
 
     Edited: the last floor(n/4) code points replaced by the first as many (or all) of the next document by ascending
@@ -130,7 +142,8 @@ def fingerprint_edits(docs: DataFrame, run_bytes: int = 32 << 20, gram: int = GR
     """
     docs = docs.select("doc_id", "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = in_runs(docs, max(1, -(-total // run_bytes)))
+    asked = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = in_runs(docs, max(1, -(-total // run_bytes), min(asked, total >> 20)))
 
     def pairs(batches) -> Iterator[tuple]:
         held = None
