@@ -28,9 +28,12 @@ from .common import map_arrow
 SAMPLE_TOXIC = 5_000
 SAMPLE_CLEAN = 15_000
 ENTRIES = 2_000
-#: Lengths of beginnings of words that may become entries; rounds of search among texts that no entry explains.
+#: Lengths of beginnings of words that may become entries.
 STEMS = range(3, 9)
-ROUNDS = 3
+#: Rounds of search, each among the toxic texts that no entry explains yet, and the part of a round's best evidence that
+#: an entry needs. Words that only mark copies of one toxic text are so passed over: their texts are explained before.
+ROUNDS = 8
+EVIDENCE = 0.25
 EDGE = "\n"
 
 # Letters that look like a Latin one (i and l count as one letter, as 1 stands for both).
@@ -196,6 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = ()) -> Le
         rows = found.orderBy(F.desc("tail"), "entry").limit(ENTRIES).collect()
         if not rows:
             break
+        rows = [r for r in rows if r["tail"] >= EVIDENCE * rows[0]["tail"]]
         fresh = _closed({r["entry"]: (r["n"], r["clean"]) for r in rows})
         for entry, (p, n) in fresh.items():
             lexicon.weights[entry] = round(math.log((p + 0.5) / (left + 1)) - math.log((n + 0.5) / (n_clean + 1)) + math.log1p(p), 6)
