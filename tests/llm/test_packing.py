@@ -51,9 +51,9 @@ def test_histogram_packing_of_huge_counts_is_short():
     assert len(placements) < 10_000
 
 
-def test_words_are_tokenized_like_texts(tokenizer, rows):
-    ids_of = packing.WordIds(FILE)
-    texts = [r[1] or "" for r in rows] + ["a  b\n\n c\t", "   ", "<|endoftext|> x", "it's WE'LL 12ab", " x y　", "é \U0001F600"]
+def test_texts_are_tokenized_like_by_the_library(tokenizer, rows):
+    ids_of = packing.TokenIds(FILE)
+    texts = [r[1] or "" for r in rows] + ["a  b\n\n c\t", "   ", "x\x1c\x1d y\x85z", "²½ⅷ Ⅷ", " " * 3_000_000 + "x", "a" * 20_000, "<|endoftext|> x", "it's WE'LL 12ab", " x y　", "é \U0001F600"]
     for text in texts:
         assert np.frombuffer(ids_of.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -61,7 +61,17 @@ def test_words_are_tokenized_like_texts(tokenizer, rows):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_any_text_is_tokenized_alike(tokenizer, text):
-    assert np.frombuffer(packing.WordIds(FILE).encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    if FILE not in packing._LOADED:
+        packing._LOADED[FILE] = packing.TokenIds(FILE)
+    assert np.frombuffer(packing._LOADED[FILE].encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_every_character_is_tokenized_alike(tokenizer):
+    """Each BMP character between letters, digits and blanks."""
+    ids_of = packing.TokenIds(FILE)
+    texts = ["".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}" for c in range(start, start + 64)) for start in range(0, 0xD800, 64)]
+    for text in texts:
+        assert np.frombuffer(ids_of.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("limit", [1024, 64])
