@@ -29,7 +29,7 @@ from .common import pieces
 from .fingerprints import gram_hashes, mix
 
 #: Different runs of a bucket that are compared in one part; text that a map task cuts at a time.
-PART_RUNS = 20_000
+PART_RUNS = 4_000
 MAP_BYTES = 16 << 20
 KERNEL_BYTES = 2 << 20
 
