@@ -60,8 +60,8 @@ def shard_by_bytes(
     """``doc_id, size, text_crc32, shard, slot`` of every row of ``docs``.
 
     size: UTF-8 bytes of the text (null: none) plus 1. Rows are laid out by a hash of their text, so equal texts are
-    neighbours and share a shard unless their group exceeds ``group_share`` of a shard or is cut by none other way.
-    Shards differ by little more than their border groups. Null texts count as empty; null ids are kept; repeated rows
+    neighbours; a group of them that is no larger than ``group_share`` of a shard stays in one. Shards differ in bytes by
+    little more than the groups or rows at their borders. Null texts count as empty; null ids are kept; repeated rows
     are laid out side by side, each with a slot of its own; an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

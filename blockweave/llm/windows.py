@@ -28,9 +28,9 @@ from ..sources.staging import stage
 from .common import pieces
 from .fingerprints import gram_hashes, mix
 
-#: Different runs of a bucket that are compared in one part; text that a map task cuts at a time.
+#: Different runs of a bucket that are compared in one part; text that a map task cuts, and that a kernel takes, at a time.
 PART_RUNS = 4_000
-MAP_BYTES = 16 << 20
+MAP_BYTES = 4 << 20
 KERNEL_BYTES = 2 << 20
 
 RUNS = "bucket bigint, key bigint, doc_id bigint, start int, stop int"
@@ -39,7 +39,10 @@ SPANS = "doc_id bigint, start int, stop int"
 
 @dataclass(frozen=True)
 class Windows:
-    """``length`` symbols to a window, ``gram`` (a power of two) to an anchor. ``symbols``: numbers of a text's symbols."""
+    """``length`` symbols to a window, ``gram`` (a power of two) to an anchor.
+
+    ``own``: whether a window's own document counts, see above. ``symbols``: the numbers of a text's symbols.
+    """
 
     length: int
     gram: int
@@ -138,7 +141,7 @@ def _runs(docs: DataFrame, spec: Windows) -> DataFrame:
                     continue
                 held.append((doc, found))
                 size += found.nbytes if found.itemsize == 1 else len(found) * 6
-                if size >= MAP_BYTES // 4:
+                if size >= MAP_BYTES:
                     out = cut(held)
                     held, size = [], 0
                     if out is not None:
