@@ -34,6 +34,8 @@ STEMS = range(3, 9)
 #: an entry needs. Words that only mark copies of one toxic text are so passed over: their texts are explained before.
 ROUNDS = 8
 EVIDENCE = 0.25
+#: Clean texts that a word needs to be an exception.
+EXCEPTION_TEXTS = 3
 EDGE = "\n"
 
 # Letters that look like a Latin one (i and l count as one letter, as 1 stands for both).
@@ -208,16 +210,20 @@ def fit(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = ()) -> Le
         left = unexplained.count()
         if left < 3:
             break
-    # Whole words of clean texts that begin like an entry: exceptions if toxic texts hold them no more often.
-    if lexicon.weights:
-        whole = in_clean.filter(F.col("entry").endswith(EDGE) & (F.col("clean") >= 3))
+    # Whole words of clean texts that begin like an entry: exceptions if toxic texts hold them no more often. Fewer than
+    # EXCEPTION_TEXTS clean texts say nothing: an entry, too, may have a fifth of its texts among the clean ones.
+    stems = sorted(e for e in lexicon.weights if not e.endswith(EDGE))
+    if stems:
         begins = F.lit(False)
-        stems = sorted(e for e in lexicon.weights if not e.endswith(EDGE))
         for size in sorted({len(s) for s in stems}):
             begins |= F.substring("entry", 1, size).isin([s for s in stems if len(s) == size])
-        if stems:
-            spared = whole.filter(begins).orderBy(F.desc("clean"), "entry").limit(ENTRIES).collect()
-            lexicon.exceptions += tuple(r["entry"] for r in spared)
+        whole = F.col("entry").endswith(EDGE) & begins
+        in_toxic = _candidate_counts(sample.filter("toxic = 1")).filter(whole).withColumnRenamed("n", "toxic")
+        forms = in_clean.filter(whole & (F.col("clean") >= EXCEPTION_TEXTS)).join(in_toxic, "entry", "left").na.fill(0, ["toxic"])
+        # Rates, not counts: the samples of either label differ in size.
+        spared = forms.filter(F.col("toxic") * F.lit(n_clean) <= F.col("clean") * F.lit(n_toxic))
+        spared = spared.orderBy(F.desc("clean"), "entry").limit(ENTRIES).collect()
+        lexicon.exceptions += tuple(r["entry"] for r in spared)
     lexicon.terms = _fit_terms(_measures(sample, lexicon).select("weight", "words", "toxic").toPandas())
     return lexicon
 

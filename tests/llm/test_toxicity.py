@@ -74,3 +74,18 @@ def test_matches_are_longest_and_apart():
     lexicon = toxicity.Lexicon(weights={"\nab": 1.0, "\nabc\n": 3.0, "\nd": 2.0}, exceptions=("\nda\nabc\n",))
     assert [m[2] for m in lexicon.matches(toxicity.fold("abc d abd"))] == [3.0, 2.0, 1.0]
     assert lexicon.matches(toxicity.fold("da abc")) == []
+
+
+def test_form_of_a_stem_in_few_clean_texts_is_no_exception(spark):
+    """Forms share a stem entry: one that a few clean texts hold still marks, one that belongs to clean texts is spared."""
+    rng = random.Random(9)
+    forms = ("vexamo", "vexira", "vexolu", "vexent")
+    rows = [(i, " ".join(clean_words(rng, 20)), 0) for i in range(1200)]
+    rows = [(i, t + (" vexamo" if i < 5 else " vexillum" if i < 30 else ""), 0) for i, t, _ in rows]
+    rows += [(2000 + i, " ".join([*clean_words(rng, 20), forms[i % 4]]), 1) for i in range(240)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    learned = toxicity.fit(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int"))
+    assert any(not e.endswith("\n") and "\nvexamo\n".startswith(e) for e in learned.weights)
+    assert "\nvexamo\n" not in learned.exceptions and "\nvexi" + "iium\n" in learned.exceptions
+    marked = scores(spark, learned, ["so vexamo it is", "so vexira it is", "so vexillum it is"])
+    assert [s >= 0.5 for s in marked] == [True, True, False]
