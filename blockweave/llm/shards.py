@@ -1,9 +1,10 @@
 """Sharding by sampled splitters.
 
 A size-weighted sample of keys gives quantile boundaries; records are dealt to the ranges between them; a range that
-holds more than its share of bytes (a key with a third of all rows, say) is subdivided. The ranges then lie end to end
-on a line of bytes that is cut into equal shards, so the law is ``bytes``. Only per-range totals and the sample, both
-bounded by parameters, reach the driver.
+holds more than its share of bytes is subdivided by further splitters inside it, and a key that is too heavy alone (a
+third of all rows, say) gets a range of its own, dealt by row. The ranges then lie end to end on a line of bytes that is
+cut into equal shards, so the law is ``bytes``. Only per-range totals and the samples, all bounded by parameters, reach
+the driver.
 """
 
 from __future__ import annotations
@@ -43,6 +44,29 @@ def splitters(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.unique(keys[at])
 
 
+def inner_splitters(rows: DataFrame, total: int, ranges: int) -> np.ndarray:
+    """Boundaries inside overfull ranges, whose ``rows`` (key, size) these are; about three for each fair range of bytes.
+
+    Keys are summed first and drawn with a chance in proportion to their bytes, so keys of more than a step are all
+    there with their bytes and others stand for a step. A key heavier than a fair range gets boundaries on both sides.
+    """
+    fair, step = total / ranges, total / (ranges * SAMPLE_PER_RANGE)
+    keys = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    u = (F.xxhash64(F.col("key"), F.lit(17)).cast("double") / F.lit(float(1 << 64))) + 0.5
+    drawn = keys.filter(u * F.lit(step) < F.col("bytes")).orderBy("key").toPandas()
+    out, filled = [], 0.0
+    for key, weight in zip(drawn["key"].tolist(), np.maximum(drawn["bytes"].to_numpy(dtype=float), step).tolist(), strict=True):
+        if weight > fair:
+            out += [key, key + 1] if key < np.iinfo(np.int64).max else [key]
+            filled = 0.0
+            continue
+        if filled + weight > fair:
+            out.append(key)
+            filled = 0.0
+        filled += weight
+    return np.array(out, dtype=np.int64)
+
+
 def range_of(key: Column, bounds: np.ndarray) -> Column:
     """Number of the range that a key lies in (keys equal to a boundary lie above it)."""
 
@@ -81,12 +105,21 @@ def shard_by_bytes(
     ranged = rows.withColumn("range", range_of(F.col("key"), bounds))
 
     # Subdivide overfull ranges; a fair range holds total / ranges bytes, and cells hold about four of those at most.
-    fill = ranged.groupBy("range").agg(F.sum("size").alias("bytes"))
-    parts = fill.select("range", F.ceil(F.col("bytes") * F.lit(ranges / (4.0 * total))).cast("int").alias("parts"))
+    most = 4.0 * total / ranges
+    overfull = ranged.groupBy("range").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > most).select("range")
+    numbers = [r["range"] for r in overfull.collect()]  # at most ranges / 4
+    if numbers:
+        inner = inner_splitters(ranged.filter(F.col("range").isin(numbers)), total, ranges)
+        bounds = np.union1d(bounds, inner)
+        ranged = rows.withColumn("range", range_of(F.col("key"), bounds))
+    # Only rows of a single key are dealt by row, and none of a group that is to stay whole.
+    fill = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), (F.min("key") == F.max("key")).alias("single"))
+    heavy = F.col("single") & (F.col("bytes") > F.lit(group_share * total / shards))
+    parts = fill.select("range", F.when(heavy, F.ceil(F.col("bytes") / F.lit(most))).otherwise(1).cast("int").alias("parts"))
     dealt = ranged.join(F.broadcast(parts), "range").withColumn("cell", F.pmod(F.xxhash64("rid"), F.col("parts")))
     dealt = stage(dealt.select("doc_id", "size", "text_crc32", "key", "rid", "range", "cell"), "shard-cells")
 
-    # At most one row per range and per part of one: ranges + ranges / 4 cells.
+    # At most one row per range and per part of one: about 4 * ranges + ranges / 4 cells.
     cells = dealt.groupBy("range", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).toPandas()
     cells = cells.sort_values(["range", "cell"])
     cells["byte0"] = cells["bytes"].cumsum() - cells["bytes"]

@@ -47,6 +47,28 @@ def test_hot_key_is_subdivided(spark):
     assert all(len(s) == 1 for crc, s in where.items() if crc != zlib.crc32(b"copy of one text"))
 
 
+def test_groups_beside_a_hot_key_stay_whole(spark):
+    """A third of all bytes are one text, all others come in pairs: those in the hot key's range are not torn."""
+    hot_text = "one text" + "y" * 37  # some 20 pairs have keys between it and the next splitter
+    rows = [(i, hot_text if i % 3 == 0 else f"{i // 3:05d}" + "y" * 40) for i in range(60_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = shards.shard_by_bytes(docs, 16).collect()
+    check(got, rows, 16, 0.01 * sum(r["size"] for r in got) / 16)
+    text, where = dict(rows), defaultdict(set)
+    for r in got:
+        where[text[r["doc_id"]]].add(r["shard"])
+    assert len(where.pop(hot_text)) >= 4
+    assert len(where) == 20_000 and all(len(s) == 1 for s in where.values())
+
+
+def test_inner_splitters(spark):
+    """Heavy keys get a range of their own, light ones share ranges of about a fair size."""
+    rows = [(k, 1) for k in range(1000)] + [(500, 300)] * 2 + [(700, 450)]
+    bounds = shards.inner_splitters(spark.createDataFrame(rows, "key bigint, size bigint"), 4000, 20)
+    assert {500, 501, 700, 701} <= set(bounds.tolist()) and 4 <= len(bounds) <= 12
+    assert shards.inner_splitters(spark.createDataFrame([(2**63 - 1, 10)], "key bigint, size bigint"), 40, 20).tolist() == [2**63 - 1]
+
+
 def test_empty_table(nothing):
     got = shards.shard_by_bytes(nothing, 16)
     assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and got.count() == 0
