@@ -2,7 +2,8 @@
 
 A text is a TF-IDF vector of hashed letter 1- to 3-grams, scaled to length one. Each language has several centroids,
 found by spherical k-means over a bounded sample of its labelled texts. A text gets the language of the centroid with
-the greatest cosine, and is rejected if that cosine is lower than texts of its length in the sample reach.
+the greatest cosine, and is rejected if that cosine is lower than texts of its length in the sample reach when they are
+left out of the fit.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ DIMS = 4096
 CENTROIDS = 3
 #: Labelled texts that a model is fitted on, at most, shared equally by the languages.
 SAMPLE = 4000
-#: A text is rejected below this part of the least cosine (0.5 % quantile) of sample texts of about its length.
-SLACK = 0.4
+#: A text is rejected below this part of the least cosine (0.5 % quantile) of sample texts of about its length, each
+#: measured by centroids of the other parts of the sample; and the texts that a length class is judged by, at least.
+SLACK = 0.8
+FOLDS = 5
+CLASS_TEXTS = 20
 UNKNOWN = "und"
 _HASHES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
@@ -83,6 +87,34 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def left_out_cosines(x: np.ndarray, lang: np.ndarray, k: int) -> np.ndarray:
+    """Greatest cosine of unit rows to centroids of the other folds; only of languages with more than one row, if any."""
+    fold = np.arange(len(x)) % min(FOLDS, len(x))
+    best, alone = np.zeros(len(x)), np.zeros(len(x), bool)
+    for f in range(fold.max() + 1 if len(x) > 1 else 0):
+        out = fold == f
+        names = np.unique(lang[~out])
+        centroids = np.concatenate([spherical_kmeans(x[~out & (lang == name)], k) for name in names])
+        best[out] = (x[out] @ centroids.T).max(axis=1)
+        alone[out] = ~np.isin(lang[out], names)
+    return np.where(alone, np.nan, best) if not alone.all() else best
+
+
+def length_floors(best: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Least cosine accepted of each length class.
+
+    A class takes shorter and longer neighbours in, as many as it needs to be judged by enough texts. A single text has
+    no other to be measured by: its model accepts what shares a gram with it.
+    """
+    best, classes = best[~np.isnan(best)], classes[~np.isnan(best)]
+    floors = []
+    for i in range(17):
+        away = np.abs(classes - i)
+        width = next((w for w in range(1, 17) if (away <= w).sum() >= CLASS_TEXTS), 16)
+        floors.append(SLACK * np.quantile(best[away <= width], 0.005))
+    return np.maximum(floors, 1e-9)
+
+
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
@@ -134,14 +166,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, k: int = CENTRO
     found = [spherical_kmeans(x[lang == name], k) for name in model.languages]
     model.centroids = np.concatenate(found)
     model.owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(found)])
-    best = (x @ model.centroids.T).max(axis=1)
-    classes = length_class(got["letters"].to_numpy())
-    # A class takes shorter and longer neighbours in, so that a rare length is judged by enough texts.
-    floors = []
-    for i in range(17):
-        near = best[np.abs(classes - i) <= 1]
-        floors.append(SLACK * np.quantile(near, 0.005) if len(near) >= 20 else 0.0)
-    model.floors = np.array(floors)
+    model.floors = length_floors(left_out_cosines(x, lang, k), length_class(got["letters"].to_numpy()))
     return model
 
 

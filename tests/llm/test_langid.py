@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockweave.llm import langid
 
@@ -67,3 +68,33 @@ def test_counts():
     counts, letters = langid.count_grams("Ab, c")
     assert letters == 3 and counts.sum() == 3 + 5 + 4  # of " ab c "
     assert (langid.count_grams("AB  ..C")[0] == langid.count_grams("ab c")[0]).all()
+
+
+def rejected(spark, model, texts):
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    return [r["rejected"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def test_rare_lengths_borrow_a_floor(spark, model):
+    """No sample text is nearly as long as these: the floor of the nearest lengths holds."""
+    rng = random.Random(4)
+    foreign = ["漢字" * 20_000, "xq zq wq qx " * 5_000, "".join(chr(0x10A0 + rng.randrange(33)) + " " * (i % 5 == 0) for i in range(70_000))]
+    assert rejected(spark, model, [*foreign, text(rng, "aa", 15_000), text(rng, "dd", 15_000)]) == [True] * 3 + [False] * 2
+    assert (model.floors > 0).all()
+
+
+def test_small_models_reject(spark, labelled):
+    few = [r for r in labelled if len(r[1].split()) > 20][:15]
+    small = langid.fit(spark.createDataFrame(few, "doc_id bigint, text string, lang string"))
+    assert rejected(spark, small, ["漢字" * 50, "xq zq wq qx " * 40, few[0][1]]) == [True, True, False]
+    one = langid.fit(spark.createDataFrame(few[:1], "doc_id bigint, text string, lang string"))
+    assert rejected(spark, one, [few[0][1], "12"]) == [False, True]
+
+
+def test_left_out_language_is_rejected(spark):
+    """Held-out documents of a language left out of the fit go, those of the others stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id % 4 = 0 OR lang = 'de'")
+    model = langid.fit(docs.filter("lang <> 'de' AND doc_id % 8 = 0"))
+    got = langid.predict(docs.filter("doc_id % 8 = 4 OR lang = 'de'"), model).join(docs.select("doc_id", "lang"), "doc_id")
+    rate = {r["out"]: r["rate"] for r in got.groupBy((F.col("lang") == "de").alias("out")).agg(F.avg(F.col("rejected").cast("int")).alias("rate")).collect()}
+    assert rate[True] >= 0.9 and rate[False] <= 0.01, rate
