@@ -40,18 +40,22 @@ class TokenIds:
     """Little-endian ids of a text by the vocabulary of a byte-level BPE file.
 
     Its ids are in the order of its merges, so they serve as ranks for a faster implementation of the same merges; the
-    library whose file it is takes what that one gives up on. Names of special tokens in a text are ordinary text.
+    library whose file it is takes what that one gives up on. With ``added``, the library also takes each text that holds
+    an added token of the file, which it cuts out as that token's id; without, special tokens are ordinary text.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, added: bool = False):
         self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = not added
         special = self._tokenizer.get_added_tokens_decoder()
+        self._added = [t.content for t in special.values()] if added else []
         value = byte_values()
         ranks = {bytes(value[c] for c in t): i for t, i in self._tokenizer.get_vocab().items() if i not in special}
         self._fast = tiktoken.Encoding("vocabulary", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self._added):
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         try:
             ids = self._fast.encode_ordinary(text)
         except (KeyboardInterrupt, SystemExit):
@@ -61,19 +65,21 @@ class TokenIds:
         return array("I", ids).tobytes()
 
 
-_LOADED: dict[str, TokenIds] = {}
+#: By file alone, or by file and ``added``.
+_LOADED: dict[str | tuple[str, bool], TokenIds] = {}
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT) -> DataFrame:
-    """The pieces of each row's ids and a final 0: full ones from the start on, then the rest."""
+    """The pieces of each row's ids (added tokens as the library has them) and a final 0: full ones, then the rest."""
 
     def run(batches):
-        if tokenizer_file not in _LOADED:
-            _LOADED[tokenizer_file] = TokenIds(tokenizer_file)
+        key = (tokenizer_file, True)
+        if key not in _LOADED:
+            _LOADED[key] = TokenIds(tokenizer_file, added=True)
         for batch in bounded(batches, "text"):
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = _LOADED[tokenizer_file].encode(text or "") + bytes(4)
+                ids = _LOADED[key].encode(text or "") + bytes(4)
                 n = len(ids) // 4
                 for start in range(0, n, limit):
                     part = ids[4 * start: 4 * (start + limit)]

@@ -97,6 +97,22 @@ def test_round_trip(edges, rows, tokenizer, limit):
     assert len(sequences) <= 1.1 * sum(r["length"] for r in got) / limit + 2
 
 
+def test_added_tokens_are_ids_of_the_unaltered_library(spark):
+    library = Tokenizer.from_file(FILE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  y\n", "<|endoftext |> <|ENDOFTEXT|>", "é<|endoftext|>'s 12"]
+    texts += ["<|endoftext|>".join(["word "] * 700)]
+    ids_of = packing.TokenIds(FILE, added=True)
+    assert np.frombuffer(ids_of.encode(texts[0]), "<u4").tolist() == [64, 220, 50256, 275]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), FILE).collect()
+    wanted = []
+    for doc, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        for start in range(0, len(ids), packing.LIMIT):
+            part = ids[start:start + packing.LIMIT]
+            wanted.append((doc, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids)))
+    assert sorted(tuple(r)[:5] for r in got) == wanted
+
+
 def test_empty_table(nothing):
     assert packing.pack(nothing, FILE).count() == 0
 
