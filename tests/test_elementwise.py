@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from conftest import from_blocks, from_coo, integers, to_blocks, to_coo
+from matrix_data import from_blocks, from_coo, integers, to_blocks, to_coo
 from pyspark.sql import functions as F
 
 import blockweave as bw

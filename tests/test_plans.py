@@ -4,7 +4,7 @@ import re
 from pathlib import Path
 
 import pytest
-from conftest import integers, to_blocks, to_coo
+from matrix_data import integers, to_blocks, to_coo
 from oracle import entry
 
 import blockweave as bw

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import from_blocks, from_coo, to_coo
+from matrix_data import from_blocks, from_coo, to_coo
 
 import blockweave as bw
 
