@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     fingerprints,
+    hard_negatives,
     langid,
     packing,
     secret_scan,
@@ -213,3 +214,30 @@ SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(k, ' '), ''))
 @_register("op5_substring_dedup", _WINDOW_SQL)
 def _(spark, sf):
     return substring_dedup.remove_repeats(table(spark, sf, "documents")).drop("starts", "stops")
+
+
+_NEGATIVES_SQL = """
+WITH given AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+one AS (SELECT vec_id, min({'l': label, 'e': e}) AS o FROM given GROUP BY vec_id),
+v AS (SELECT vec_id, o.l AS label, list_transform(o.e, lambda x: floor(256 * x)) AS x FROM one),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+near AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM near JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+@_register("op11_hard_negatives", _NEGATIVES_SQL)
+def _(spark, sf):
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
