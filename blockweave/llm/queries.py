@@ -12,6 +12,7 @@ from . import (
     fingerprints,
     hard_negatives,
     langid,
+    neighbours,
     packing,
     secret_scan,
     shards,
@@ -241,3 +242,8 @@ def _(spark, sf):
     label = F.col("label").cast("bigint")
     moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return hard_negatives.mine(table(spark, sf, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@_register("op12_neighbours")
+def _(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
