@@ -2,9 +2,11 @@
 
 A document is the vector of what its terms add to a score; an item is the vector of its terms' weights times repeats.
 Each task builds ball trees over runs of documents: a node is a ball, its centre the mean of its documents, its radius
-the largest distance from it. An item scores at most its product with the centre plus its length times the radius
-(both rounded upwards), so subtrees are visited best first until the bound falls below the item's worst kept score; the
-leaves reached are scored in integers. What a task has found for an item prunes its later trees, too.
+the largest distance from it, measured in each of up to ``SPACES`` subspaces (one radius over all terms prunes nothing,
+as documents differ in hundreds of terms that an item lacks). An item scores at most its product with the centre plus,
+summed over subspaces, its length times the radius, all rounded upwards; so subtrees are visited best first until the
+bound falls below the item's worst kept score, and the leaves reached are scored in integers. What a task has found for
+an item prunes its later trees, too.
 
 Only terms of items matter, so documents are kept as counts of those. Items go in blocks of bounded size, each a pass.
 """
@@ -33,6 +35,8 @@ BLOCK_TERMS = 1 << 19
 TREE_DOCS = 1 << 12
 TREE_TERMS = 1 << 20
 LEAF = 16
+#: Subspaces in which a node has a radius; each has one term until there are more terms than this.
+SPACES = 1 << 13
 #: Relative slack of the bounds, far above what rounding can amount to.
 SLACK = 1e-9
 
@@ -101,18 +105,19 @@ class Rows:
         return np.add.reduceat(self.value * dense[self.at], self.start[:-1])
 
 
-@dataclass
 class Items:
-    """A block of items: weight times repeats (for scores) and repeats times the root of the weight (for bounds)."""
-
-    size: int
-    exact: Rows
-    root: np.ndarray
-    weight: np.ndarray
+    """A block of items over terms ``0 .. len(weight)``: weight times repeats for scores, and for bounds repeats times the
+    root of the weight (documents' values take the other root), also as lengths in each subspace."""
 
-    def __post_init__(self):
-        self.half = Rows(self.exact.start, self.exact.at, self.root)
-        self.length = np.sqrt(np.add.reduceat(self.root**2, self.exact.start[:-1])) if len(self.root) else np.zeros(0)
+    def __init__(self, repeats: Rows, weight: np.ndarray):
+        self.weight, self.size = weight, len(weight)
+        self.exact = Rows(repeats.start, repeats.at, repeats.value * weight[repeats.at])
+        self.half = Rows(repeats.start, repeats.at, repeats.value * np.sqrt(weight[repeats.at]))
+        self.spaces = min(self.size, SPACES)
+        item = np.repeat(np.arange(len(repeats.start) - 1), np.diff(repeats.start))
+        keys, of = np.unique(item * self.spaces + repeats.at % self.spaces, return_inverse=True)
+        length = np.sqrt(np.bincount(of, self.half.value**2, minlength=len(keys)))
+        self.length = Rows(np.searchsorted(keys, np.arange(len(repeats.start)) * self.spaces), keys % self.spaces, length)
 
 
 class BallTree:
@@ -140,8 +145,7 @@ class BallTree:
             centre = np.bincount(own.at, own.value, minlength=items.size) / len(rows)
             middle = centre @ centre
             off = norms + middle - 2 * own.dot(centre)
-            radius = math.sqrt(max(off.max(), 0) + SLACK * (norms.max() + middle))
-            bound = (items.half.dot(centre) + items.length * radius) * (1 + SLACK)
+            bound = (items.half.dot(centre) + items.length.dot(self._radius(own, centre, items))) * (1 + SLACK)
             self.members.append(rows)
             self.children.append([])
             self.bound.append(np.minimum(bound, self.bound[parent]) if parent >= 0 else bound)
@@ -156,6 +160,21 @@ class BallTree:
         self.bound = np.array(self.bound)
         self.visited = 0
 
+    @staticmethod
+    def _radius(own: Rows, centre: np.ndarray, items: Items) -> np.ndarray:
+        """The largest distance of a row from the centre in each subspace, rounded upwards."""
+        empty = np.bincount(np.arange(items.size) % items.spaces, centre**2, minlength=items.spaces)  # of a row without a term there
+        row = np.repeat(np.arange(len(own.start) - 1), np.diff(own.start))
+        more = own.value * (own.value - 2 * centre[own.at])
+        if items.spaces == items.size:
+            keys, size = own.at, own.value**2
+        else:
+            keys, of = np.unique(row * items.spaces + own.at % items.spaces, return_inverse=True)
+            keys, more, size = keys % items.spaces, np.bincount(of, more), np.bincount(of, own.value**2)
+        square = empty.copy()
+        np.maximum.at(square, keys, empty[keys] + more + SLACK * size)
+        return np.sqrt(square + SLACK * empty)
+
     def search(self, items: Items, best: Best, ids: np.ndarray) -> None:
         """Add to ``best`` all that can be among the items' best."""
         query = np.zeros(items.size, np.int64)
@@ -215,7 +234,7 @@ def _search_block(docs: DataFrame, ids: pa.Array, repeats: Rows, vocabulary: dic
     weight = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * df.get(v, 0) + 1))) for v in range(len(vocabulary))], np.int64)
     if int((repeats.value * weight[repeats.at]).sum()) >= (1 << 63) // 10**6:
         raise ValueError("scores may not fit into 64 bits")
-    items = Items(len(vocabulary), Rows(repeats.start, repeats.at, repeats.value * weight[repeats.at]), repeats.value * np.sqrt(weight[repeats.at]), weight)
+    items = Items(repeats, weight)
 
     def rows(batch: pa.RecordBatch) -> tuple[Rows, np.ndarray]:
         """Documents that hold a term of the block, as what each term adds per weight."""
