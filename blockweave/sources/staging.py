@@ -33,13 +33,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _qualified(spark: SparkSession, path: str):
+    """``path`` as its file system writes it, and that file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(found), system
+
+
 def unstage(staged: DataFrame) -> None:
     """Delete the table that :func:`stage` wrote for ``staged``; frames of anything else are refused."""
     spark = staged.sparkSession
-    root = shared_root(spark).removeprefix("file:").rstrip("/")
-    folders = {f.rpartition("/")[0] for f in staged.inputFiles()}
-    for folder in folders:
-        if not folder.removeprefix("file:").replace("///", "/").startswith(f"{root}/"):
+    root = _qualified(spark, shared_root(spark))[0].toString()
+    for folder in {f.rpartition("/")[0] for f in staged.inputFiles()}:
+        path, system = _qualified(spark, folder)
+        if not path.toString().startswith(f"{root}/"):
             raise ValueError(f"not a staged table: {folder}")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        system.delete(path, True)

@@ -8,6 +8,7 @@ import pytest
 from matrix_data import from_blocks, from_coo, to_coo
 
 import blockweave as bw
+from blockweave.sources import staging
 
 FOUR = np.arange(1.0, 17.0).reshape(4, 4)
 
@@ -156,3 +157,13 @@ def test_only_staged_tables_can_be_unstaged(spark, tmp_path):
     with pytest.raises(ValueError):
         bw.unstage(spark.read.parquet(path))
     assert bw.read_coo(spark, path, fmt="parquet").count() == 16
+
+
+def test_a_shared_folder_given_as_uri(spark, tmp_path, monkeypatch):
+    """However the shared folder is written, what was staged there is recognised."""
+    for root in (f"file://{tmp_path}/u", f"file:{tmp_path}/v", f"{tmp_path}/w/"):
+        monkeypatch.setattr(staging, "shared_root", lambda _, root=root: root.rstrip("/"))
+        staged = bw.stage(to_coo(spark, FOUR), "four")
+        assert staged.count() == 16
+        bw.unstage(staged)
+        assert not list((tmp_path / root.rstrip("/")[-1]).iterdir())
