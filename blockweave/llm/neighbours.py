@@ -26,9 +26,9 @@ NEIGHBOURS = 5
 PROJECTIONS = 16
 SURE = 0.95
 SEED = 271828
-#: Points of a leaf, and leaves that are opened before what they hold is verified.
-LEAF = 64
-STEP = 6
+#: Points of a leaf, also how many are verified at a time, and leaves that are opened before what they hold is verified.
+LEAF = 128
+STEP = 12
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -100,6 +100,7 @@ class Tree:
             self.axis[node], self.cut[node] = axis, float(own[turn[middle], axis])
             todo += [(2 * node + 1, a, a + middle), (2 * node + 2, a + middle, b)]
         self.points = np.ascontiguousarray(points[self.order])
+        self.square = np.einsum("ij,ij->i", self.points, self.points)
 
     def nearest_first(self, query: np.ndarray) -> Iterator[tuple[float, int, int]]:
         """Leaves (least squared distance of their box, first point, end) by that distance."""
@@ -146,8 +147,9 @@ class Index:
                 near = math.inf
             # All but the leaf just reached are opened; what lies nearer than it comes next for certain.
             opened, runs = (runs[:-1], runs[-1:]) if near < math.inf else (runs, [])
-            at = np.concatenate([wait_at, *(np.arange(a, b) for a, b in opened)])
-            far = np.concatenate([wait_d, *(((self.tree.points[a:b] - projected) ** 2).sum(axis=1) for a, b in opened)])
+            new = np.concatenate([np.arange(a, b) for a, b in opened] or [wait_at[:0]])
+            apart = self.tree.square[new] - 2 * (self.tree.points[new] @ projected) + projected @ projected
+            at, far = np.concatenate([wait_at, new]), np.concatenate([wait_d, apart])
             now = far <= near
             wait_at, wait_d = at[~now], far[~now]
             at, far = at[now], far[now]
@@ -159,7 +161,7 @@ class Index:
                     return best
                 cosine = np.einsum("ij,j->i", self.x[some], x) / (self.length[some] * length)
                 floor = best[k - 1][0] if len(best) >= k else -math.inf
-                fresh = [(c, i) for c, p in zip(cosine.tolist(), some.tolist(), strict=True) if c >= floor for i in self.ids[p] if i != own]
+                fresh = [(float(cosine[n]), i) for n in np.flatnonzero(cosine >= floor) for i in self.ids[some[n]] if i != own]
                 if fresh:
                     best = sorted(best + fresh, key=lambda t: (-t[0], t[1]))[:k]
                     if len(best) == k:
