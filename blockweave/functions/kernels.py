@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 BATCH_BYTES = 32 * 1024 * 1024
+#: Share of a panel's pairs of blocks that have to be stored for it to be multiplied as a whole.
+FULL = 0.75
 BLOCK_TYPE = pa.list_(pa.field("element", pa.float64(), nullable=False))
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -150,6 +152,157 @@ def tile_product_kernel(bs: int, binary: bool, dims: tuple[int, int] | None = No
     return tile_product
 
 
+def pair_product_kernel(bs: int, held_bytes: int) -> Kernel:
+    """Rows ``br, bc, a, b`` of pairs of blocks -> parts ``br, bc, data`` of result blocks, of at most ``held_bytes`` at a time."""
+
+    def pair_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        scratch = np.empty((bs, bs))
+        most = max(1, held_bytes // (8 * bs * bs))
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            yield from emit(((*key, block) for key, block in total.items()), ["br", "bc", "data"], bs, binary=True)
+            total.clear()
+
+        for batch in batches:
+            keys = zip(batch.column("br").to_pylist(), batch.column("bc").to_pylist())
+            for key, a, b in zip(keys, block_views(batch.column("a"), bs), block_views(batch.column("b"), bs)):
+                if key in total:
+                    np.matmul(a, b, out=scratch)
+                    total[key] += scratch
+                    continue
+                if len(total) >= most:
+                    yield from passed_on()
+                total[key] = a @ b
+        yield from passed_on()
+
+    return pair_product
+
+
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Views of the four quadrants: 11, 12, 21, 22."""
+    r, c = x.shape[0] // 2, x.shape[1] // 2
+    return x[:r, :c], x[:r, c:], x[r:, :c], x[r:, c:]
+
+
+def strassen_add(c: np.ndarray, a: np.ndarray, b: np.ndarray, leaf: int) -> None:
+    """C += A @ B by Winograd's form of Strassen's product, down to sides of less than ``2 * leaf`` or odd ones.
+
+    Seven products and fifteen sums a level, four of them into C. Scratch space is two operand quadrants and two result
+    quadrants a level, 4/3 of that in all.
+    """
+    sides = (*a.shape, b.shape[1])
+    if min(sides) < 2 * leaf or any(side % 2 for side in sides):
+        c += a @ b
+        return
+    a11, a12, a21, a22 = _halves(a)
+    b11, b12, b21, b22 = _halves(b)
+    c11, c12, c21, c22 = _halves(c)
+    s, t, p, u = np.empty(a11.shape), np.empty(b11.shape), np.empty(c11.shape), np.empty(c11.shape)
+
+    def product(out: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if min(sides) // 2 < 2 * leaf:
+            return np.matmul(left, right, out=out)
+        out[:] = 0.0
+        strassen_add(out, left, right, leaf)
+        return out
+
+    product(u, a11, b11)
+    c11 += u
+    c11 += product(p, a12, b21)
+    np.add(a21, a22, out=s)  # S1
+    np.subtract(b12, b11, out=t)  # T1
+    product(p, s, t)
+    c22 += p
+    c12 += p
+    s -= a11  # S2
+    np.subtract(b22, t, out=t)  # T2
+    u += product(p, s, t)  # U2
+    c12 += u
+    np.subtract(a12, s, out=s)  # S4
+    c12 += product(p, s, b22)
+    t -= b21  # T4
+    c21 -= product(p, a22, t)
+    np.subtract(a11, a21, out=s)  # S3
+    np.subtract(b22, b12, out=t)  # T3
+    u += product(p, s, t)  # U3
+    c21 += u
+    c22 += u
+
+
+class _Panel:
+    """Blocks of one operand for a few contracted indexes, side by side in one array."""
+
+    def __init__(self, rows: int, cols: int, bs: int):
+        self.bs, self.stored = bs, np.zeros((rows, cols), bool)
+        self.data = np.zeros((rows * bs, cols * bs))
+
+    def put(self, r: int, c: int, block: np.ndarray) -> None:
+        self.block(r, c)[:] = block
+        self.stored[r, c] = True
+
+    def block(self, r: int, c: int) -> np.ndarray:
+        return self.data[r * self.bs:(r + 1) * self.bs, c * self.bs:(c + 1) * self.bs]
+
+    def clear(self) -> None:
+        for r, c in np.argwhere(self.stored):
+            self.block(r, c)[:] = 0.0
+        self.stored[:] = False
+
+
+def panel_product_kernel(
+    bs: int, tile: tuple[int, int, int], tiles: tuple[int, int, int], depth: int, leaf: int, binary: bool, dims: tuple[int, int] | None = None
+) -> Kernel:
+    """As :func:`tile_product_kernel`, with ``depth`` contracted indexes multiplied at a time, by Strassen's product.
+
+    Rows also have ``base``, the number of the tile. Where less than ``FULL`` of a panel's pairs of blocks are stored, or
+    a value is not finite (which Strassen's sums would spread), its pairs are multiplied one by one, so a result block
+    and a cell depend on exactly what they depend on in the plain product.
+    """
+    (tr, tc, tk), (_, nc, nk) = tile, tiles
+
+    def panel_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, total = _Panel(tr, depth, bs), _Panel(depth, tk, bs), _Panel(tr, tk, bs)
+
+        def finish() -> None:
+            pairs = left.stored.astype(np.int64) @ right.stored
+            total.stored |= pairs > 0
+            rows, cols = (np.flatnonzero(pairs.any(axis=axis)) for axis in (1, 0))
+            if len(rows):
+                # To the last index in use, and one more if that makes the side even.
+                inner = int(np.flatnonzero(left.stored.any(axis=0) & right.stored.any(axis=1))[-1]) + 1
+                h, k, w = (min(x + x % 2, most) for x, most in ((rows[-1] + 1, tr), (inner, depth), (cols[-1] + 1, tk)))
+                a, b, c = left.data[: h * bs, : k * bs], right.data[: k * bs, : w * bs], total.data[: h * bs, : w * bs]
+                if pairs.sum() >= FULL * h * k * w and np.isfinite(a.sum()) and np.isfinite(b.sum()):
+                    strassen_add(c, a, b, leaf)
+                else:
+                    for r, n in np.argwhere(pairs > 0):
+                        for m in np.flatnonzero(left.stored[r] & right.stored[:, n]):
+                            total.block(r, n)[:] += left.block(r, m) @ right.block(m, n)
+            left.clear()
+            right.clear()
+
+        path, base, at = 0, 0, None
+        for path, base, mat, br, bc, block in _rows(batches, bs, ["path", "base", "mat", "br", "bc"]):
+            index = (bc if mat == "A" else br) % tc
+            if at is not None and index // depth != at:
+                finish()
+            at = index // depth
+            if mat == "A":
+                left.put(br % tr, index % depth, block)
+            else:
+                right.put(index % depth, bc % tk, block)
+        finish()
+        first_row, first_col = base // (nc * nk) * tr, base % nk * tk
+        rows = (
+            (path, first_row + int(r), first_col + int(k), clear_padding(total.block(r, k).copy(), first_row + int(r), first_col + int(k), dims))
+            for r, k in np.argwhere(total.stored)
+        )
+        yield from emit(rows, ["path", "br", "bc", "data"], bs, binary)
+
+    return panel_product
+
+
 def cell_product_kernel(
     bs: int, tile: tuple[int, int, int], tiles: tuple[int, int, int], binary: bool, dims: tuple[int, int] | None = None
 ) -> Kernel:

@@ -8,18 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import kernels
+from ..functions import exact_sum, kernels
 from ..matrix import BLOCK_DATA, BlockMatrix, check_same_shape
 from .layout import trim
 
 
-def add_coo(a: DataFrame, b: DataFrame, stamp: tuple[int, int] | None = None) -> DataFrame:
+def sum_coo(coo: DataFrame) -> DataFrame:
+    """Repeated entries added up to the same bits, whatever their order and partitions; reads ``coo`` twice."""
+    top = coo.select(exact_sum.top_of(exact_sum.largest(F.col("v"))).alias("top")).scalar()
+    return exact_sum.exact_sum(coo, ["i", "j"], F.col("v"), top)
+
+
+def add_coo(a: DataFrame, b: DataFrame, stamp: tuple[int, int] | None = None, reproducible: bool = False) -> DataFrame:
     """A + B by entry; ``stamp`` puts a given block coordinate (``br``, ``bc``) on every row of the result.
 
-    One shuffle with map-side sums: an entry may repeat, in either operand, any number of times.
+    One shuffle with map-side sums: an entry may repeat, in either operand, any number of times. Sums of real numbers
+    depend on their order in the last bits unless ``reproducible``.
     """
     total = a.select("i", "j", "v").unionByName(b.select("i", "j", "v"))
-    total = total.groupBy("i", "j").agg((F.sum("v") + F.lit(0.0)).alias("v"))
+    total = sum_coo(total) if reproducible else total.groupBy("i", "j").agg((F.sum("v") + F.lit(0.0)).alias("v"))
     if stamp is None:
         return total
     return total.select(

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import kernels
+from ..functions import exact_sum, kernels
 from ..matrix import BLOCK_DATA, BlockMatrix, ceil_div, check_product_shape
-from .elementwise import signed_sum
+from .elementwise import signed_sum, sum_coo
+from ..sources.tables import BlockTable
 from .layout import coo_to_blocks, inside, tag_path, union_operands, unique_cells
 
 #: Memory that a task may hold for a result tile and one slice of its operands, and bytes it reads if it can be helped.
@@ -21,6 +22,8 @@ TILE_BYTES = 1024 * 1024 * 1024
 MIN_TILE_FLOPS = 2e8
 #: Rows of one piece of a heavy contracted index, whatever its share of the whole.
 PIECE_ROWS = 4_000_000
+#: Side in cells below which a dense product is not halved any further.
+STRASSEN_LEAF = 1024
 
 
 # --- by entry -----------------------------------------------------------------------------------------------------
@@ -86,7 +89,12 @@ def _join_spread(left: DataFrame, right: DataFrame, heavy: DataFrame) -> DataFra
 
 
 def multiply_coo(
-    a: DataFrame, b: DataFrame, unique: bool = False, split_heavy: bool = True, share: float | None = None
+    a: DataFrame,
+    b: DataFrame,
+    unique: bool = False,
+    split_heavy: bool = True,
+    share: float | None = None,
+    reproducible: bool = False,
 ) -> DataFrame:
     """C(i, k) = sum over j of A(i, j) * B(j, k), for matrices of any shape; absent entries are zero.
 
@@ -97,16 +105,23 @@ def multiply_coo(
     ``split_heavy`` cuts the columns of A and rows of B that belong to a heavy contracted index into pieces and pairs
     the pieces, which spreads such an index over many tasks; every pair is still formed exactly once. The list of
     heavy indexes is short by construction (see :func:`heavy_indexes`), which is what allows broadcasting it.
+
+    ``reproducible`` gives the same bits for real numbers whatever the partitions: products are rounded one by one, and
+    their sums, like those of duplicates, are free of rounding until they are put together.
     """
     # Both the join and the search for heavy indexes start from these two frames: with the join's own null filter
     # written out the plans are the same and Spark computes each shuffle once.
     a = a.select("i", "j", "v").where("j IS NOT NULL")
     b = b.select("i", "j", "v").where("i IS NOT NULL")
     if not unique:
-        a, b = unique_cells(a), unique_cells(b)
+        a, b = (sum_coo(x) if reproducible else unique_cells(x) for x in (a, b))
     left = a.select(F.col("j").alias("c"), F.col("i").alias("ai"), F.col("v").alias("av"))
     right = b.select(F.col("i").alias("c"), F.col("j").alias("bj"), F.col("v").alias("bv"))
     pairs = _join_spread(left, right, heavy_indexes(a, b, share)) if split_heavy else left.join(right, "c")
+    if reproducible:
+        keyed = pairs.withColumnsRenamed({"ai": "i", "bj": "j"})
+        tops = (x.select(exact_sum.top_of(exact_sum.largest(F.col("v")))).scalar() for x in (a, b))
+        return exact_sum.exact_sum(keyed, ["i", "j"], F.col("av") * F.col("bv"), next(tops) + next(tops))
     return (
         pairs.groupBy(F.col("ai").alias("i"), F.col("bj").alias("j"))
         .agg((F.sum(F.col("av") * F.col("bv")) + F.lit(0.0)).alias("v"))
@@ -200,12 +215,34 @@ PRODUCT_SCHEMA = T.StructType(
 PRODUCT_ARRAY_SCHEMA = T.StructType([*PRODUCT_SCHEMA.fields[:3], T.StructField("data", BLOCK_DATA)])
 
 
-def _stream_tiles(placed: DataFrame, tiles: int, parts: int, kernel, schema: T.StructType) -> DataFrame:
+def stream_tiles(placed: DataFrame, tiles: int, parts: int, kernel, schema: T.StructType) -> DataFrame:
     """One group per tile ``base``, its rows in the order of the contracted index ``c``: one exchange and one sort."""
     dealt = placed.withColumn("part", dealt_to("base", tiles, parts)).repartitionById(parts, "part")
     return dealt.sortWithinPartitions("part", "base", "c").groupBy("part", "base").applyInArrow(kernel, schema)
 
 
+def place_on_tiles(operands: DataFrame, t: Tiling, bs: int, problems: int, tasks: int, share: float = 1.0) -> tuple[DataFrame, int, int]:
+    """A copy of each operand block for every tile ``base`` that needs it; the number of tiles and of partitions.
+
+    ``share`` is the size of a block over that of a dense one.
+    """
+    tiles = problems * t.nr * t.nc * t.nk
+    held = int(share * tiles * 8 * bs * bs * (t.tr * t.tc + t.tc * t.tk))
+    parts = product_partitions(tiles, held, tasks)
+    # A-blocks fix the row and inner tile and are copied along the column tiles; B-blocks the other way round.
+    first = F.expr(f"if(mat = 'A', br div {t.tr}, 0L)")
+    last = F.expr(f"if(mat = 'A', 0L, bc div {t.tk})")
+    placed = operands.withColumn("c", F.expr("if(mat = 'A', bc, br)"))
+    inner_tile = F.expr(f"c div {t.tc}")
+    placed = placed.withColumn("base", ((F.col("path") * t.nr + first) * t.nc + inner_tile) * t.nk + last)
+    if t.nr > 1 or t.nk > 1:
+        copies = F.expr(
+            f"if(mat = 'A', sequence(0L, {t.nk - 1}L), sequence(0L, {(t.nr - 1) * t.nc * t.nk}L, {t.nc * t.nk}L))"
+        )
+        placed = placed.withColumn("copy", F.explode(copies)).withColumn("base", F.col("base") + F.col("copy"))
+    return placed, tiles, parts
+
+
 def tile_products(
     operands: DataFrame,
     rows: int,
@@ -228,24 +265,11 @@ def tile_products(
     """
     tasks = wanted_tasks(operands.sparkSession)
     t = choose_tiling(rows, inner, cols, bs, problems, tasks, task_bytes, min_flops)
-    tiles = problems * t.nr * t.nc * t.nk
-    held = tiles * 8 * bs * bs * (t.tr * t.tc + t.tc * t.tk)
-    parts = product_partitions(tiles, held, tasks)
-    # A-blocks fix the row and inner tile and are copied along the column tiles; B-blocks the other way round.
-    first = F.expr(f"if(mat = 'A', br div {t.tr}, 0L)")
-    last = F.expr(f"if(mat = 'A', 0L, bc div {t.tk})")
-    placed = operands.withColumn("c", F.expr("if(mat = 'A', bc, br)"))
-    inner_tile = F.expr(f"c div {t.tc}")
-    placed = placed.withColumn("base", ((F.col("path") * t.nr + first) * t.nc + inner_tile) * t.nk + last)
-    if t.nr > 1 or t.nk > 1:
-        copies = F.expr(
-            f"if(mat = 'A', sequence(0L, {t.nk - 1}L), sequence(0L, {(t.nr - 1) * t.nc * t.nk}L, {t.nc * t.nk}L))"
-        )
-        placed = placed.withColumn("copy", F.explode(copies)).withColumn("base", F.col("base") + F.col("copy"))
+    placed, tiles, parts = place_on_tiles(operands, t, bs, problems, tasks)
     done = final if t.nc == 1 else None
     kernel = kernels.tile_product_kernel(bs, done is None, done)
     schema = PRODUCT_SCHEMA if done is None else PRODUCT_ARRAY_SCHEMA
-    return _stream_tiles(placed, tiles, parts, kernel, schema), t.nc
+    return stream_tiles(placed, tiles, parts, kernel, schema), t.nc
 
 
 def multiply_blocks(
@@ -266,6 +290,58 @@ def multiply_blocks(
     return BlockMatrix(products.select("br", "bc", "data"), *dims, a.bs)
 
 
+def panel_depth(tr: int, tk: int, bs: int, most: int, task_bytes: int) -> int:
+    """Contracted indexes that fit into ``task_bytes`` at a time, beside the result tile and Strassen's scratch space.
+
+    The scratch space of all levels is 4/3 of a quarter of either operand and of two quarters of the result.
+    """
+    blocks = task_bytes / (8 * bs * bs)
+    return max(1, min(most, int((blocks - tr * tk * 5 / 3) / ((tr + tk) * 4 / 3))))
+
+
+def multiply_in_tiles(
+    a: BlockMatrix, b: BlockMatrix, leaf: int = STRASSEN_LEAF, task_bytes: int = TASK_BYTES, min_flops: float = MIN_TILE_FLOPS
+) -> BlockMatrix:
+    """A * B with Strassen's product inside each result tile, on blocks that its task already holds.
+
+    Blocks travel as in :func:`multiply_blocks` - no operand of a sub-problem is ever shuffled - and are multiplied in
+    panels of several contracted indexes, whose number follows from ``task_bytes``. Panels are halved until a side would
+    fall below ``leaf`` cells. Panels with many absent blocks or a value that is not finite take the plain product.
+    """
+    check_product_shape(a, b)
+    dims, bs = (a.n_rows, b.n_cols), a.bs
+    tasks = wanted_tasks(a.df.sparkSession)
+    t = choose_tiling(a.grid_rows, a.grid_cols, b.grid_cols, bs, 1, tasks, task_bytes // 3, min_flops)
+    depth = panel_depth(t.tr, t.tk, bs, t.tc, task_bytes)
+    done = dims if t.nc == 1 else None
+    kernel = kernels.panel_product_kernel(bs, (t.tr, t.tc, t.tk), (t.nr, t.nc, t.nk), depth, leaf, done is None, done)
+    placed, tiles, parts = place_on_tiles(tag_path(union_operands(a.df, b.df)), t, bs, 1, tasks)
+    products = stream_tiles(placed, tiles, parts, kernel, PRODUCT_SCHEMA if done is None else PRODUCT_ARRAY_SCHEMA)
+    if t.nc > 1:
+        products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], bs, dims=dims)
+    return BlockMatrix(products.select("br", "bc", "data"), *dims, bs)
+
+
+def bucketed_product(a: BlockTable, b: BlockTable, task_bytes: int = TASK_BYTES) -> BlockMatrix:
+    """A * B of tables in as many buckets of the contracted index: of ``bc`` for A and of ``br`` for B.
+
+    Neither operand is shuffled: buckets are joined where they lie, and each task adds up its pairs' products before
+    the parts of a result block meet. For results that are small beside the operands, such as a Gram matrix of a tall
+    one; a task holds up to ``task_bytes`` of parts and passes them on when there are more.
+    """
+    check_product_shape(a.matrix, b.matrix)
+    if a.by != ("bc",) or b.by != ("br",) or a.buckets != b.buckets:
+        raise ValueError(f"buckets do not match: {a.buckets} of {a.by} and {b.buckets} of {b.by}")
+    bs, dims = a.matrix.bs, (a.matrix.n_rows, b.matrix.n_cols)
+    left = a.matrix.df.select("br", F.col("bc").alias("c"), F.col("data").alias("a"))
+    right = b.matrix.df.select(F.col("br").alias("c"), "bc", F.col("data").alias("b"))
+    # A merge join reads the buckets in step; the hint keeps Spark from broadcasting what it takes for small.
+    pairs = left.hint("merge").join(right, "c").select("br", "bc", "a", "b")
+    parts = pairs.mapInArrow(kernels.pair_product_kernel(bs, task_bytes), T.StructType(PRODUCT_SCHEMA.fields[1:]))
+    total = signed_sum(parts.withColumn("s", F.lit(1.0)), ["br", "bc"], bs, dims=dims)
+    return BlockMatrix(total, *dims, bs)
+
+
 def stored_positions(m: BlockMatrix) -> DataFrame:
     """``br, bc`` of the stored blocks. Reads the blocks' frame: stage it, or take :func:`entry_positions` instead."""
     return m.df.select("br", "bc")
@@ -311,7 +387,7 @@ def multiply_sparse_blocks(
     parts = product_partitions(tiles, tiles * 8 * bs * bs * t.tc * (t.tr + t.tk), tasks)
     done = dims if t.nc == 1 else None
     kernel = kernels.tile_product_kernel(bs, done is None, done)
-    products = _stream_tiles(tag_path(placed.drop("tile")), tiles, parts, kernel, PRODUCT_SCHEMA if done is None else PRODUCT_ARRAY_SCHEMA)
+    products = stream_tiles(tag_path(placed.drop("tile")), tiles, parts, kernel, PRODUCT_SCHEMA if done is None else PRODUCT_ARRAY_SCHEMA)
     if t.nc > 1:
         products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], bs, dims=dims)
     return BlockMatrix(products.select("br", "bc", "data"), *dims, bs)
@@ -372,7 +448,7 @@ def multiply_coo_by_tiles(
     )
     done = (rows, cols) if t.nc == 1 else None
     kernel = kernels.cell_product_kernel(bs, (t.tr, t.tc, t.tk), (t.nr, t.nc, t.nk), done is None, done)
-    products = _stream_tiles(placed, tiles, parts, kernel, PRODUCT_SCHEMA if done is None else PRODUCT_ARRAY_SCHEMA)
+    products = stream_tiles(placed, tiles, parts, kernel, PRODUCT_SCHEMA if done is None else PRODUCT_ARRAY_SCHEMA)
     if t.nc > 1:
         products = signed_sum(products.withColumn("s", F.lit(1.0)), ["br", "bc"], bs, dims=(rows, cols))
     return BlockMatrix(products.select("br", "bc", "data"), rows, cols, bs)

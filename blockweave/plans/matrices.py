@@ -88,6 +88,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`features`, but with the real numbers as they are."""
+    cells = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("j", "x"))
+    return cells.select(F.col("vec_id").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("x").cast("double").alias("v"))
+
+
 def transpose(coo: DataFrame) -> DataFrame:
     return coo.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.coefficients import A_TERMS, B_TERMS
 from ..matrix import BlockMatrix
-from ..operators import elementwise, layout, product, strassen
-from ..sources import dims, staging, text
+from ..operators import compressed, elementwise, layout, product, strassen
+from ..sources import dims, staging, tables, text
 from . import matrices as mx
 
 BS = 64
@@ -311,6 +311,45 @@ def _(spark, sf):
     return layout.blocks_to_coo(product.multiply_blocks(wide, tall))
 
 
+@_register(
+    "bucketed_product",
+    "SELECT f.j AS i, g.j, sum(f.v * g.v) AS v FROM f JOIN f g ON f.i = g.i "
+    "GROUP BY f.j, g.j HAVING sum(f.v * g.v) <> 0",
+)
+def _(spark, sf):
+    """The same product from tables in buckets of the contracted index, which are dropped when it is done."""
+    n = mx.vectors(spark, sf)
+    e = mx.features(spark, sf)
+    tall = layout.coo_to_blocks(e, BS, (n, mx.POSITIONS), unique=True)
+    wide = layout.coo_to_blocks(mx.transpose(e), BS, (mx.POSITIONS, n), unique=True)
+    with tables.bucket_blocks(wide, "bc") as left, tables.bucket_blocks(tall, "br") as right:
+        return staging.stage(layout.blocks_to_coo(product.bucketed_product(left, right)), "gram")
+
+
+@_register("bucketed_sum", f"SELECT * FROM ({_SUM}) WHERE v <> 0")
+def _(spark, sf):
+    """A sum of two tables in buckets of their position."""
+    a, b = _ab_blocks(spark, sf)
+    with tables.bucket_blocks(a) as left, tables.bucket_blocks(b) as right:
+        return staging.stage(layout.blocks_to_coo(elementwise.add_blocks(left.matrix, right.matrix)), "sum")
+
+
+@_register(
+    "reproducible_gram",
+    """SELECT y.j AS i, z.j AS j, CAST(floor(CAST(sum(y.n * z.n) AS DOUBLE) / 2.0 ** 80) AS BIGINT) AS v
+    FROM (SELECT i, j - 1 AS j, CAST(e * 2.0 ** 50 AS HUGEINT) AS n FROM (
+            SELECT vec_id AS i, generate_subscripts(embedding, 1) AS j, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)) y
+    JOIN (SELECT i, j - 1 AS j, CAST(e * 2.0 ** 50 AS HUGEINT) AS n FROM (
+            SELECT vec_id AS i, generate_subscripts(embedding, 1) AS j, CAST(unnest(embedding) AS DOUBLE) AS e FROM embeddings)) z
+    ON y.i = z.i GROUP BY y.j, z.j""",
+)
+def _(spark, sf):
+    """A product of real numbers, down to steps of 2 ** -20; the SQL sums whole numbers of 127 bits."""
+    e = mx.raw_features(spark, sf)
+    result = product.multiply_coo(mx.transpose(e), e, unique=True, reproducible=True)
+    return result.select("i", "j", F.floor(F.col("v") * 2.0**20).alias("v"))
+
+
 @_register("multiply_coo_via_blocks", _PRODUCT)
 def _(spark, sf):
     shape = (mx.suppliers(spark, sf), mx.DAYS, mx.DAYS)
@@ -324,6 +363,31 @@ def _(spark, sf):
     return layout.blocks_to_coo(product.multiply_sparse_blocks(_a_blocks(spark, sf), _t_blocks(spark, sf), stored))
 
 
+@_register("csr_roundtrip", _A)
+def _(spark, sf):
+    """Entries -> compressed blocks -> dense ones -> compressed ones -> entries."""
+    m = compressed.coo_to_csr(mx.shipped(spark, sf), BS, (mx.suppliers(spark, sf), mx.DAYS))
+    return compressed.csr_to_coo(compressed.blocks_to_csr(compressed.csr_to_blocks(m)))
+
+
+@_register(
+    "multiply_csr_blocks", "SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM x JOIN x y ON x.j = y.j GROUP BY x.i, y.i"
+)
+def _(spark, sf):
+    """The supplier x part matrix, of which 3 % are stored, times its transpose."""
+    x, shape = mx.supplied(spark, sf), (mx.suppliers(spark, sf), mx.parts(spark, sf))
+    left = compressed.coo_to_csr(x, BS, shape)
+    right = compressed.coo_to_csr(mx.transpose(x), BS, shape[::-1])
+    return layout.blocks_to_coo(compressed.multiply_csr(left, right))
+
+
+@_register("multiply_csr_dense", _PRODUCT)
+def _(spark, sf):
+    """Compressed times dense."""
+    left = compressed.coo_to_csr(mx.shipped(spark, sf), BS, (mx.suppliers(spark, sf), mx.DAYS))
+    return layout.blocks_to_coo(compressed.multiply_csr(left, _t_blocks(spark, sf)))
+
+
 @_register("multiply_coo_by_tiles", _PRODUCT)
 def _(spark, sf):
     shape = (mx.suppliers(spark, sf), mx.DAYS, mx.DAYS)
@@ -336,6 +400,12 @@ def _(spark, sf):
     return layout.blocks_to_coo(strassen.strassen_multiply(_a_blocks(spark, sf), _t_blocks(spark, sf), 2))
 
 
+@_register("strassen_in_tiles", _PRODUCT)
+def _(spark, sf):
+    # Halved down to half a block, so that small tables go through it, too.
+    return layout.blocks_to_coo(product.multiply_in_tiles(_a_blocks(spark, sf), _t_blocks(spark, sf), leaf=BS // 2))
+
+
 @_register("strassen_single_stream", _PRODUCT)
 def _(spark, sf):
     return layout.blocks_to_coo(strassen.strassen_single_stream(_a_blocks(spark, sf), _t_blocks(spark, sf), 2))
@@ -365,7 +435,8 @@ def _(spark, sf):
     tagged = text.read_tagged(spark, path)
     shape = (mx.suppliers(spark, sf), mx.DAYS, mx.DAYS)
     blocks = layout.tagged_coo_to_blocks(tagged, BS, shape)
-    result = strassen.strassen_multiply_tagged(blocks, shape, BS, levels=1).persist()
+    result = strassen.strassen_multiply_tagged(blocks, shape, BS, levels=1)
+    result = result.with_df(staging.stage(result.df, "tagged-product"))
     n_blocks = result.count_blocks().first()["n_blocks"]
     return layout.blocks_to_coo(result).withColumn("n_blocks", F.lit(n_blocks).cast("bigint"))
 
