@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from blockweave.llm import decontaminate
@@ -35,17 +37,41 @@ def expected(rows, items, window):
 
 @pytest.mark.parametrize(("window", "gram"), [(10, 5), (4, 4)])
 def test_matches_brute_force(edges, rows, items, window, gram):
-    named = [r for r in rows if r[0] is not None]
-    known = expected({r[:2] for r in named}, [(r["item_id"], r["text"]) for r in items.collect()], window)
-    got = decontaminate.contamination(edges.filter("doc_id IS NOT NULL"), items, window, gram)
-    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got.collect())
-    assert got == sorted((r[0], *known[r[:2]]) for r in named)
+    known = expected({r[:2] for r in rows}, [(r["item_id"], r["text"]) for r in items.collect()], window)
+    got = decontaminate.contamination(edges, items, window, gram)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got.collect()), key=str)
+    assert got == sorted(((r[0], *known[r[:2]]) for r in rows), key=str)
     assert any(r[2] for r in got) and not all(r[2] for r in got)
 
 
-def test_null_ids_stay_and_null_texts_have_no_words(edges, rows, items):
-    got = decontaminate.contamination(edges, items).filter("doc_id IS NULL").collect()
-    assert sorted(r["n_words"] for r in got) == sorted(len(words(r[1])) for r in rows if r[0] is None)
+def test_rows_with_null_ids_are_told_apart(spark, items):
+    leak = " ".join(f"w{i}" for i in range(12))
+    asked = spark.createDataFrame([(1, leak), (2, "short item")], "item_id bigint, text string")
+    rows = [(None, f"x {leak} y"), (None, "quite clean text here"), (None, None), (None, "one short item"), (None, f"x {leak} y"), (3, f"x {leak} y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, asked).collect())
+    assert got == [(0, 0, []), (3, 2, ["2"]), (4, 0, []), *[(14, 12, ["1"])] * 3]
+    assert sorted(map(str, (r["text"] for r in decontaminate.keep_clean(docs, asked).collect()))) == ["None", "quite clean text here"]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.none() | st.integers(0, 3), st.none() | st.text("ab ", max_size=60)), max_size=8), st.lists(st.text("ab ", max_size=40), max_size=4))
+def test_never_more_hits_than_words(spark, docs, asked):
+    docs = list({r[0]: r for r in docs if r[0] is not None}.values()) + [r for r in docs if r[0] is None]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    table = spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string")
+    known = expected(docs, enumerate(asked), 4)
+    got = decontaminate.contamination(frame, table, 4, 2).collect()
+    assert all(r["n_hit"] <= r["n_words"] for r in got)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=str) == sorted(((r[0], *known[r]) for r in docs), key=str)
+
+
+def test_a_long_text_that_is_hit_everywhere(spark):
+    words_ = [f"w{i % 50}" for i in range(60_000)]
+    docs = spark.createDataFrame([(1, " ".join(words_)), (2, "clean")], "doc_id bigint, text string")
+    asked = spark.createDataFrame([(i, " ".join(words_[i:i + 30])) for i in range(50)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in decontaminate.contamination(docs, asked).collect()}
+    assert got == {1: (60_000, 60_000, 50), 2: (1, 0, 0)}
 
 
 def test_empty_tables(edges, items, nothing):
