@@ -104,7 +104,8 @@ def shared_marks(docs: DataFrame, windows: DataFrame, shorter: list[int], window
 
 def window_hits(docs: DataFrame, shared: DataFrame, windows: DataFrame, shorter: list[int], window: int, gram: int) -> DataFrame:
     """``doc_id, own, at, length, window``: each place of a row of :func:`_keyed` where a window of the benchmark occurs."""
-    some = shared.filter(F.size("marks") > 0).select(*KEYS, "marks")
+    # Few rows as a rule: a table of its own, whose size decides how it meets the texts.
+    some = stage(shared.filter(F.size("marks") > 0).select(*KEYS, "marks"), "benchmark-near")
     near = _join_keys(docs, some, "inner").select(*KEYS, "marks", words(F.col("text")).alias("w"))
 
     def marked(hashes: Column) -> Column:
