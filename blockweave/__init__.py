@@ -54,11 +54,12 @@ from .operators.strassen import (
     strassen_multiply_tagged,
     strassen_recursive,
     strassen_replicate,
+    strassen_shared,
     strassen_single_stream,
 )
-from .sources.dims import infer_dims, infer_square_dim, matrix_dims, tagged_dims
+from .sources.dims import footer_dims, infer_dims, infer_square_dim, matrix_dims, tagged_dims
 from .sources.staging import owned, scratch_path, stage, unstage
 from .sources.tables import BlockTable, bucket_blocks
-from .sources.text import preview, read_blocks, read_coo, read_tagged, write_coo
+from .sources.text import preview, read_blocks, read_coo, read_quarantined, read_tagged, write_coo
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -384,6 +384,65 @@ def divide_kernel(a_terms: dict, b_terms: dict, bs: int, binary: bool) -> Kernel
     return divide
 
 
+def _plus(x: np.ndarray | None, y: np.ndarray | None, sign: float = 1.0) -> np.ndarray | None:
+    """``x + sign * y`` where None is an absent block."""
+    if y is None:
+        return x
+    if x is None:
+        return y if sign > 0 else 0.0 - y
+    return x + y if sign > 0 else x - y
+
+
+def shared_divide_kernel(bs: int) -> Kernel:
+    """As :func:`divide_kernel` for one level of Winograd's form: four sums an operand, each formed once.
+
+    Sub-problems 0 to 6 are A11 B11, A12 B21, S4 B22, A22 T4, S1 T1, S2 T2 and S3 T3.
+    """
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x: dict[tuple[int, int], np.ndarray] = {}
+        mat, path, r, c = "A", 0, 0, 0
+        for mat, path, qr, qc, r, c, block in _rows(batches, bs, ["mat", "path", "qr", "qc", "br", "bc"]):
+            x[qr, qc] = block
+        x11, x12, x21, x22 = (x.get(q) for q in ((0, 0), (0, 1), (1, 0), (1, 1)))
+        if mat == "A":
+            s1 = _plus(x21, x22)
+            s2 = _plus(s1, x11, -1.0)
+            found = (x11, x12, _plus(x12, s2, -1.0), x22, s1, s2, _plus(x11, x21, -1.0))
+        else:
+            t1 = _plus(x12, x11, -1.0)
+            t2 = _plus(x22, t1, -1.0)
+            found = (x11, x21, x22, _plus(t2, x21, -1.0), t1, t2, _plus(x22, x12, -1.0))
+        rows = ((mat, path * 7 + m, r, c, block) for m, block in enumerate(found) if block is not None)
+        yield from emit(rows, ["mat", "path", "br", "bc", "data"], bs, binary=True)
+
+    return divide
+
+
+def shared_combine_kernel(step_rows: int, step_cols: int, bs: int, dims: tuple[int, int] | None) -> Kernel:
+    """As :func:`combine_kernel` for one level of Winograd's form: seven sums, each formed once."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p: list[np.ndarray | None] = [None] * 7
+        parent, r, c = 0, 0, 0
+        for path, r, c, block in _rows(batches, bs, ["path", "br", "bc"]):
+            parent, sub = divmod(path, 7)
+            p[sub] = _plus(p[sub], block)  # a product may come in parts
+        u2 = _plus(p[0], p[5])
+        u3, u4 = _plus(u2, p[6]), _plus(u2, p[4])
+        found = ((0, 0, _plus(p[0], p[1])), (0, 1, _plus(u4, p[2])), (1, 0, _plus(u3, p[3], -1.0)), (1, 1, _plus(u3, p[4])))
+
+        def placed():
+            for qr, qc, block in found:
+                br, bc = qr * step_rows + r, qc * step_cols + c
+                if block is not None and (dims is None or (br * bs < dims[0] and bc * bs < dims[1])):
+                    yield parent, br, bc, clear_padding(block + 0.0, br, bc, dims)
+
+        yield from emit(placed(), ["path", "br", "bc", "data"], bs, binary=dims is None)
+
+    return combine
+
+
 def combine_kernel(
     terms: dict, step_rows: int, step_cols: int, bs: int, n_rows: int | None, n_cols: int | None, binary: bool
 ) -> Kernel:

@@ -69,6 +69,43 @@ def heavy_indexes(a: DataFrame, b: DataFrame, share: float | None = None) -> Dat
     return heavy.select("c", pieces("na", "nb", "max_a").alias("sa"), pieces("nb", "na", "max_b").alias("sb"))
 
 
+def sketched_heavy_indexes(a: DataFrame, b: DataFrame, share: float | None = None, tracked: int | None = None) -> DataFrame:
+    """As :func:`heavy_indexes`, from a sketch of the frequent indexes of each operand instead of full counts.
+
+    A sketch is summed up inside each task and travels as one row, so no operand is grouped by index. It keeps ``tracked``
+    indexes, eight for each that can be heavy unless given, and misses none that holds more than about
+    ``3.5 / tracked`` of an operand; an index missed on both sides has at most the square of that of all pairs. Counts
+    are estimates, which is enough: any number of pieces gives the same product. At most ``6 / share`` rows.
+    """
+    spark = a.sparkSession
+    if share is None:
+        share = 0.5 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, min(10_000, int(3 / share)))
+    tracked = tracked or min(1_000_000, max(1024, 8 * most))
+    most = min(most, tracked)
+
+    def frequent(side: DataFrame, column: str, n: str) -> DataFrame:
+        one = side.agg(F.count("v").cast("double").alias(f"all_{n}"), F.expr(f"approx_top_k({column}, {most}, {tracked})").alias("top"))
+        rows = one.select(f"all_{n}", F.explode("top").alias("x")).select(F.col("x.item").alias("c"), F.col("x.count").cast("double").alias(n), f"all_{n}")
+        return rows.where(F.col(n) > F.col(f"all_{n}") * share / 3)
+
+    found = frequent(a, "j", "na").join(frequent(b, "i", "nb"), "c", "full_outer")
+    # An index that one sketch lacks counts as one row there: it may be absent, and is cut by the other side alone.
+    one = F.lit(1.0)
+    counts = found.select("c", F.coalesce("na", one).alias("na"), F.coalesce("nb", one).alias("nb"), "all_na", "all_nb")
+    totals = counts.agg(F.struct(F.max("all_na").alias("a"), F.max("all_nb").alias("b"), F.expr("sum(na * nb)").alias("w")))
+    heavy = counts.withColumn("total", totals.scalar()).select(
+        "c", "na", "nb",
+        F.greatest(F.ceil(F.col("na") / F.least(F.lit(PIECE_ROWS), F.col("total.a") * share)), F.lit(1)).alias("pa"),
+        F.greatest(F.ceil(F.col("nb") / F.least(F.lit(PIECE_ROWS), F.coalesce(F.col("total.b"), one) * share)), F.lit(1)).alias("pb"),
+        (F.col("total.w") * share).alias("max_w"),
+    )
+    # What the known products add up to is the least that all do, so pieces may come out smaller than need be.
+    more = F.greatest(F.sqrt(F.col("na") * F.col("nb") / (F.col("pa") * F.col("pb") * F.col("max_w"))), one)
+    heavy = heavy.select("c", *[F.least(F.ceil(F.col(p) * more), F.col(n)).cast("int").alias(s) for p, n, s in (("pa", "na", "sa"), ("pb", "nb", "sb"))])
+    return heavy.where("sa > 1 OR sb > 1")
+
+
 def _cut(side: DataFrame, heavy: DataFrame, own: str, other: str, spread_by: str) -> DataFrame:
     """Give each row its own piece number and one copy for every piece of the other side (one in all if not heavy)."""
     return side.join(heavy, "c", "left").select(
@@ -95,6 +132,7 @@ def multiply_coo(
     split_heavy: bool = True,
     share: float | None = None,
     reproducible: bool = False,
+    search: str = "counts",
 ) -> DataFrame:
     """C(i, k) = sum over j of A(i, j) * B(j, k), for matrices of any shape; absent entries are zero.
 
@@ -106,6 +144,8 @@ def multiply_coo(
     the pieces, which spreads such an index over many tasks; every pair is still formed exactly once. The list of
     heavy indexes is short by construction (see :func:`heavy_indexes`), which is what allows broadcasting it.
 
+    ``search`` finds them by full ``"counts"`` or by a ``"sketch"`` (:func:`sketched_heavy_indexes`).
+
     ``reproducible`` gives the same bits for real numbers whatever the partitions: products are rounded one by one, and
     their sums, like those of duplicates, are free of rounding until they are put together.
     """
@@ -117,7 +157,8 @@ def multiply_coo(
         a, b = (sum_coo(x) if reproducible else unique_cells(x) for x in (a, b))
     left = a.select(F.col("j").alias("c"), F.col("i").alias("ai"), F.col("v").alias("av"))
     right = b.select(F.col("i").alias("c"), F.col("j").alias("bj"), F.col("v").alias("bv"))
-    pairs = _join_spread(left, right, heavy_indexes(a, b, share)) if split_heavy else left.join(right, "c")
+    find = {"counts": heavy_indexes, "sketch": sketched_heavy_indexes}[search]
+    pairs = _join_spread(left, right, find(a, b, share)) if split_heavy else left.join(right, "c")
     if reproducible:
         keyed = pairs.withColumnsRenamed({"ai": "i", "bj": "j"})
         tops = (x.select(exact_sum.top_of(exact_sum.largest(F.col("v")))).scalar() for x in (a, b))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions import kernels
 from ..functions.coefficients import A_TERMS, B_TERMS, C_TERMS, nested_terms, operand_table, output_table
 from ..matrix import BLOCK_DATA, BlockMatrix, ceil_div, check_product_shape
+from ..sources.staging import owned, stage
 from .elementwise import add_blocks, signed_sum, subtract_blocks
 from .layout import quadrant, tag_path, trim, union_operands
 from .product import TASK_BYTES, multiply_blocks, tile_products
@@ -217,6 +218,37 @@ def strassen_single_stream(
     return BlockMatrix(products.select("br", "bc", "data"), a.n_rows, b.n_cols, a.bs)
 
 
+# --- shared sums: all sub-problems of a level at once, each level a table -------------------------------------------
+
+
+def strassen_shared(a: BlockMatrix, b: BlockMatrix, levels: int = 1, task_bytes: int = TASK_BYTES) -> BlockMatrix:
+    """A * B by the recursive form with common sums formed once: 15 additions a level (Winograd) instead of 18.
+
+    A level works on the operands of all its sub-problems together and writes them as a table, which the next level reads
+    once: nothing is formed anew in branches, the number of scans does not grow with ``levels``, and executors lost later
+    cost no more than a level. A level moves 7/4 of the one above, as :func:`strassen_single_stream` does. The tables are dropped
+    in the end; the result is a table that belongs to the caller.
+    """
+    grid = product_grid(a, b)
+    if levels == 0:
+        return multiply_blocks(a, b, task_bytes)
+    subs, dims = grid.sub_grids(levels), (a.n_rows, b.n_cols)
+    with owned():
+        operands = tagged_operands(a, b)
+        for sub in subs:
+            groups = operands.withColumns(_quadrant_columns(sub)).groupBy("mat", "path", "br", "bc")
+            operands = stage(groups.applyInArrow(kernels.shared_divide_kernel(a.bs), OPERAND_SCHEMA), "shared-operands")
+        leaf = subs[-1]
+        products, _ = tile_products(operands, leaf.rows, leaf.inner, leaf.cols, a.bs, 7**levels, task_bytes)
+        for sub in reversed(subs):
+            last = sub is subs[0]
+            kernel = kernels.shared_combine_kernel(sub.rows, sub.cols, a.bs, dims if last else None)
+            schema = T.StructType([*OPERAND_SCHEMA.fields[1:4], T.StructField("data", BLOCK_DATA if last else T.BinaryType())])
+            groups = products.groupBy(F.expr("path div 7").alias("parent"), "br", "bc")
+            products = stage(groups.applyInArrow(kernel, schema), "shared-products", keep=last)
+    return BlockMatrix(products.select("br", "bc", "data"), *dims, a.bs)
+
+
 # --- recursive: composed of whole-matrix operators ----------------------------------------------------------------
 
 

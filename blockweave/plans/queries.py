@@ -150,10 +150,45 @@ def _(spark, sf):
     return dims.infer_dims(_a(spark, sf))
 
 
-@_register("infer_square_dim", f"SELECT CAST({mx.DAYS} AS BIGINT) AS n")
+@_register("footer_dims", "SELECT max(i) + 1 AS n_rows, max(j) + 1 AS n_cols, count(*) AS n_entries FROM a")
 def _(spark, sf):
-    # Blocks with their zeros list every cell.
-    return dims.infer_square_dim(layout.blocks_to_coo(_t_blocks(spark, sf), drop_zeros=False))
+    path = staging.scratch_path(spark, "footer-dims")
+    text.write_coo(_a(spark, sf), path, fmt="parquet")
+    return dims.footer_dims(spark, path)
+
+
+_LINES = """
+CASE i % 7 WHEN 0 THEN 'x,' || j || ',1' WHEN 1 THEN i || ',' || j WHEN 2 THEN i || ',' || j || ',' WHEN 3 THEN '-1,' || j || ',1'
+ELSE i || ',' || j || ',1' END"""
+
+
+@_register(
+    "scan_quarantined",
+    "SELECT coalesce(reason, 'good') AS kind, count(*) AS n, CAST(coalesce(sum(CASE WHEN reason IS NULL THEN i + j END), 0) AS BIGINT) AS positions "
+    "FROM (SELECT i, j, CASE WHEN i % 7 IN (0, 1) THEN 'not a triplet' WHEN i % 7 = 2 THEN 'missing value' WHEN i % 7 = 3 THEN 'negative index' END AS reason "
+    "FROM x) GROUP BY 1 UNION ALL SELECT 'lines', count(*), 0 FROM x",
+)
+def _(spark, sf):
+    """Lines of which some lack a field, a value or a number: all of them are accounted for, and the good ones are right."""
+    path = staging.scratch_path(spark, "quarantined")
+    layout.unique_cells(mx.supplied(spark, sf)).select(F.expr(_LINES).alias("line")).write.text(path)
+    found = text.read_quarantined(spark, path)
+    good = found.good.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("i") + F.col("j")), F.lit(0)).alias("positions")).withColumn("kind", F.lit("good"))
+    bad = found.bad.groupBy(F.col("reason").alias("kind")).agg(F.count("*").alias("n")).withColumn("positions", F.lit(0).cast("bigint"))
+    every = spark.read.text(path).agg(F.count("*").alias("n")).select(F.lit("lines").alias("kind"), "n", F.lit(0).cast("bigint").alias("positions"))
+    return bad.unionByName(good).unionByName(every).select("kind", "n", "positions")
+
+
+@_register(
+    "infer_square_dim",
+    "SELECT CAST(sqrt(count(*)) AS BIGINT) AS n FROM (SELECT unnest(range(max(s_suppkey) + 1)) FROM supplier) p, "
+    "(SELECT unnest(range(max(s_suppkey) + 1)) FROM supplier) q",
+)
+def _(spark, sf):
+    """The number of suppliers from the cells of their Gram matrix: dense blocks with their zeros list every one."""
+    x, shape = mx.supplied(spark, sf), (mx.suppliers(spark, sf), mx.parts(spark, sf))
+    gram = product.multiply_coo_by_tiles(x, mx.transpose(x), (*shape, shape[0]), BS)
+    return dims.infer_square_dim(layout.blocks_to_coo(gram, drop_zeros=False))
 
 
 @_register("sink_roundtrip", _PRODUCT)
@@ -284,6 +319,12 @@ def multiply_coo(spark, sf):
     return product.multiply_coo(mx.supplied(spark, sf), mx.calendar(spark, sf))
 
 
+@_register("multiply_coo_sketched", "SELECT x.i, c.j, sum(x.v * c.v) AS v FROM x JOIN c ON x.j = c.i GROUP BY x.i, c.j")
+def _(spark, sf):
+    """The same product, its heavy indexes found by a sketch."""
+    return product.multiply_coo(mx.supplied(spark, sf), mx.calendar(spark, sf), search="sketch")
+
+
 @_register(
     "multiply_coo_gram", "SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM x JOIN x y ON x.j = y.j GROUP BY x.i, y.i"
 )
@@ -416,6 +457,11 @@ def _(spark, sf):
     return layout.blocks_to_coo(strassen.strassen_by_table(_a_blocks(spark, sf), _t_blocks(spark, sf), 2))
 
 
+@_register("strassen_shared", _PRODUCT)
+def _(spark, sf):
+    return layout.blocks_to_coo(strassen.strassen_shared(_a_blocks(spark, sf), _t_blocks(spark, sf), 2))
+
+
 @_register("strassen_recursive", _PRODUCT)
 def _(spark, sf):
     a, t = _a_blocks(spark, sf), _t_blocks(spark, sf)

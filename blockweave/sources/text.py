@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,41 @@ def read_tagged(
     return _read(spark, path, TAGGED_COO_SCHEMA, partitions, fmt, names)
 
 
+@dataclass(frozen=True)
+class Sorted:
+    """``good`` entries, as :func:`read_coo` or :func:`read_tagged` gives them, and ``bad`` lines: ``file, line, reason``."""
+
+    good: DataFrame
+    bad: DataFrame
+
+
+def read_quarantined(spark: SparkSession, path: str, names: tuple[str, ...] | None = None) -> Sorted:
+    """A triplet file whose bad lines are set aside instead of failing the read; tagged lines if ``names`` are given.
+
+    Lines are parsed by the reader that :func:`read_coo` uses, so ``good`` is what that accepts line by line; every other
+    line but empty ones, which it skips, is in ``bad`` once, with the first of the reasons ``not a triplet``, ``missing value``,
+    ``negative index`` and ``unknown name``. Nothing is gathered anywhere: both frames are filters on the same scan.
+    """
+    schema = TAGGED_COO_SCHEMA if names else COO_SCHEMA
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*schema, T.StructField("_bad", T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = lines.select("file", F.col("value").alias("line"), F.from_csv("value", fields, options).alias("r"))
+    missing = F.lit(False)
+    for f in schema:
+        missing = missing | F.col(f"r.{f.name}").isNull()
+    reason = (
+        F.when(F.col("r._bad").isNotNull(), "not a triplet")
+        .when(missing, "missing value")
+        .when((F.col("r.i") < 0) | (F.col("r.j") < 0), "negative index")
+    )
+    if names:
+        reason = reason.when(~F.col("r.mat").isin(*names), "unknown name")
+    parsed = parsed.withColumn("reason", reason)
+    good = parsed.where("reason IS NULL").select(*[f"r.{f.name}" for f in schema])
+    return Sorted(good, parsed.where("reason IS NOT NULL").select("file", "line", "reason"))
+
+
 def read_blocks(
     spark: SparkSession,
     path: str,

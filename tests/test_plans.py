@@ -122,3 +122,22 @@ def test_library_never_gathers_data_on_the_driver():
         text = file.read_text()
         for word in (".collect(", ".toPandas(", ".toLocalIterator(", "localCheckpoint", ".rdd", "crossJoin", "udf(", "tempfile"):
             assert word not in text, f"{word} in {file.name}"
+
+
+def test_sketch_takes_an_exchange_less(spark):
+    pair = to_coo(spark, integers(1, 4, 4)), to_coo(spark, integers(2, 4, 4))
+    full, sketch = (bw.multiply_coo(*pair, unique=True, search=s) for s in ("counts", "sketch"))
+    grouped = [len(re.findall(r"Exchange hashpartitioning", plan(df))) for df in (full, sketch)]
+    assert grouped[1] < grouped[0]
+    assert "partial_approx_top_k" in plan(sketch)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_shared_sums_scan_each_level_once(stored, monkeypatch, levels):
+    from blockweave.operators import strassen
+
+    scans = []
+    write = strassen.stage
+    monkeypatch.setattr(strassen, "stage", lambda df, *a, **k: (scans.append(plan(df).count("FileScan")), write(df, *a, **k))[1])
+    bw.strassen_shared(*stored, levels)
+    assert scans == [2] + [1] * (2 * levels - 1), "both operands at first, then one table a level"

@@ -17,6 +17,7 @@ STRASSEN = {
     "single_stream": bw.strassen_single_stream,
     "by_table": bw.strassen_by_table,
     "recursive": bw.strassen_recursive,
+    "shared": bw.strassen_shared,
 }
 
 
@@ -126,7 +127,7 @@ def test_strassen_is_exact_on_integers(spark, name, shape, bs, levels):
     assert np.array_equal(from_blocks(got), a @ b)
 
 
-@pytest.mark.parametrize("name", ["fused", "single_stream", "by_table"])
+@pytest.mark.parametrize("name", ["fused", "single_stream", "by_table", "shared"])
 def test_three_levels(spark, name):
     a, b = integers(11, 16, 16), integers(12, 16, 16)
     got = STRASSEN[name](to_blocks(spark, a, 2), to_blocks(spark, b, 2), 3)
@@ -300,3 +301,39 @@ def test_block_diagonal_ships_each_block_once(spark):
     finally:
         product._stream_tiles = original
     assert seen == [12] and np.array_equal(from_blocks(got), a @ a)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.1, 0.02])
+def test_sketch_finds_what_full_counts_find(spark, share):
+    a, b = integers(3, 60, 40, 0.05), integers(4, 40, 50, 0.05)
+    a[:, 7], b[7, :] = np.arange(1, 61), np.arange(1, 51)
+    a[:, 9], b[9, :] = 3.0, 0.0  # long on one side, absent on the other
+    left, right = to_coo(spark, a), to_coo(spark, b)
+    found = {r.c: (r.sa, r.sb) for r in product.sketched_heavy_indexes(left, right, share).collect()}
+    assert len(found) <= 6 / share
+    if share < 0.3:
+        assert 7 in found
+    if share == 0.02:
+        assert found[7][0] > 1 and found[7][1] > 1
+    assert all(sa >= 1 and sb >= 1 for sa, sb in found.values())
+    got = bw.multiply_coo(left, right, share=share, search="sketch")
+    assert np.array_equal(from_coo(got, (60, 50)), a @ b)
+
+
+def test_a_small_sketch_misses_no_index_beyond_its_bound(spark):
+    """With few indexes tracked, each one that holds more than 3.5 / tracked of the rows is found."""
+    tracked, rng = 64, np.random.default_rng(1)
+    held = [400, 300, 250] + [1] * 3000
+    order = rng.permutation(np.repeat(np.arange(len(held)), held))
+    a = spark.createDataFrame([(n, int(c), 1.0) for n, c in enumerate(order)], bw.COO_SCHEMA).repartition(5)
+    b = spark.createDataFrame([(int(c), n, 1.0) for n, c in enumerate(order)], bw.COO_SCHEMA).repartition(5)
+    found = {r.c for r in product.sketched_heavy_indexes(a, b, 0.01, tracked).collect()}
+    assert {c for c, n in enumerate(held) if n > 3.5 / tracked * sum(held)} <= found
+
+
+def test_sketch_of_empty_and_disjoint_operands(spark):
+    a = to_coo(spark, integers(1, 20, 20))
+    none = a.limit(0)
+    assert bw.multiply_coo(a, none, search="sketch").count() == 0 and bw.multiply_coo(none, a, search="sketch").count() == 0
+    apart = a.withColumn("i", F.col("i") + 100)
+    assert bw.multiply_coo(a, apart, search="sketch", share=0.01).count() == 0

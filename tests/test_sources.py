@@ -167,3 +167,67 @@ def test_a_shared_folder_given_as_uri(spark, tmp_path, monkeypatch):
         assert staged.count() == 16
         bw.unstage(staged)
         assert not list((tmp_path / root.rstrip("/")[-1]).iterdir())
+
+
+def test_dimensions_from_footers(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    bw.write_coo(to_coo(spark, np.triu(np.ones((5, 9)))).repartition(3), path, "parquet")
+    df = bw.footer_dims(spark, path)
+    scan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MIN(i), MIN(j), MAX(i), MAX(j), COUNT(i), COUNT(j), COUNT(v), COUNT(*)]" in scan
+    assert tuple(df.first()) == tuple(bw.infer_dims(bw.read_coo(spark, path, fmt="parquet")).first()) == (5, 9, 35)
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false", "the caller's session is as it was"
+
+
+@pytest.mark.parametrize("row", [(-1, 0, 1.0), (0, -1, 1.0), (0, 0, None), (None, 0, 1.0)])
+def test_footers_show_bad_entries(spark, tmp_path, row):
+    path = str(tmp_path / "cells")
+    spark.createDataFrame([(1, 1, 1.0), row], bw.COO_SCHEMA).write.parquet(path)
+    # A file in which an index is missing everywhere has no least one in its footer, which fails the scan.
+    with pytest.raises(Exception, match="negative index or a missing value|FAILED_READ_FILE"):
+        bw.footer_dims(spark, path).collect()
+
+
+def test_footers_of_an_empty_matrix(spark, tmp_path):
+    path = str(tmp_path / "cells")
+    spark.createDataFrame([], bw.COO_SCHEMA).write.parquet(path)
+    assert tuple(bw.footer_dims(spark, path).first()) == (0, 0, 0)
+
+
+BAD = {
+    "x,2,3": "not a triplet", "1,2": "not a triplet", "1,2,3,4": "not a triplet", " 1,2,3": "not a triplet", "1.0,2,3": "not a triplet",
+    "nonsense": "not a triplet", "1,2,": "missing value", ",2,3": "missing value", "-1,2,3": "negative index", "1,-2,3": "negative index",
+}
+
+
+def test_bad_lines_are_set_aside(spark, tmp_path):
+    good = ["0,0,1.5", "1,2,-3", '"1",3,4', "5,6,1e3", "7,7,NaN"]
+    path = tmp_path / "lines.csv"
+    path.write_bytes("\r\n".join([*good[:2], "", *BAD, *good[2:], "1,2,-3"]).encode())
+    found = bw.read_quarantined(spark, str(path))
+    assert sorted((r.i, r.j) for r in found.good.collect()) == [(0, 0), (1, 2), (1, 2), (1, 3), (5, 6), (7, 7)]
+    assert {r.line: r.reason for r in found.bad.collect()} == BAD
+    assert all(r.file.endswith("lines.csv") for r in found.bad.collect())
+    path.write_text("\n".join(good))
+    strict = bw.read_coo(spark, str(path))
+    assert strict.exceptAll(bw.read_quarantined(spark, str(path)).good).isEmpty() and bw.read_quarantined(spark, str(path)).bad.isEmpty()
+    for line in BAD:
+        path.write_text(line)
+        with pytest.raises(Exception):
+            bw.read_coo(spark, str(path)).collect()
+
+
+def test_bad_tagged_lines(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text("A,0,0,1\nB,1,1,2\nC,0,0,1\nA,0,0\n,0,0,1\nB,x,0,1\n")
+    found = bw.read_quarantined(spark, str(path), names=("A", "B"))
+    assert sorted(tuple(r) for r in found.good.collect()) == [("A", 0, 0, 1.0), ("B", 1, 1, 2.0)]
+    assert {r.line: r.reason for r in found.bad.collect()} == {"C,0,0,1": "unknown name", "A,0,0": "not a triplet", ",0,0,1": "missing value", "B,x,0,1": "not a triplet"}
+
+
+def test_an_aggregate_of_good_lines_still_reads_lines_whole(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text("1,2,3\n1,2,x\n1,2\n")
+    found = bw.read_quarantined(spark, str(path))
+    assert (found.good.count(), found.bad.count()) == (1, 2)
+    assert found.good.select("i").count() == 1 and found.bad.select("reason").distinct().count() == 1
