@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ import xxhash
 
 from blockweave.llm import simhash
 from blockweave.llm.components import connected_components
+from blockweave.sources.staging import shared_root
 
 
 def brute_fingerprint(text):
@@ -66,6 +69,46 @@ def test_tree_in_memory(node):
         assert least.tolist() == [known[i] for i in range(len(points))]
 
 
+def test_the_tree_parts_prunes_and_visits_borders():
+    """On fingerprints as documents have them the tree does the search: it compares a small part of all pairs."""
+    points = np.unique(np.random.default_rng(1).integers(0, 2**64, 4000, np.uint64))
+    points = np.unique(np.concatenate([points, points[:200] ^ np.uint64(1 << 40), points[:200] ^ np.uint64(5 << 9)]))
+    seen = Counter()
+    least = simhash.linked(points, seen=seen)
+    assert seen["parted"] > 400 and seen["kept_out"] > len(points) and seen["border"] > len(points)
+    assert seen["compared"] < 0.4 * len(points) ** 2
+    true = np.bitwise_count(points[:, None] ^ points) <= 3
+    for i in range(len(points)):
+        assert (least[np.flatnonzero(true[i])] == least[i]).all()
+    assert len(np.unique(least)) == len(points) - 400
+
+
+def test_many_links_are_reduced_as_they_come(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD_LINKS", 50)
+    points = clustered(3, 300)
+    known = brute_components(range(len(points)), lambda a, b: (int(points[a]) ^ int(points[b])).bit_count() <= 3)
+    assert simhash.linked(points).tolist() == [known[i] for i in range(len(points))]
+
+
+def test_a_crowded_prefix_is_parted_further(spark):
+    """A third of all points share half of their bits."""
+    rng = random.Random(4)
+    points = [rng.getrandbits(64) for _ in range(200)] + [0xABCD1234ABCD0000 + rng.getrandbits(16) for _ in range(120)]
+    points = np.unique(np.array(points, np.uint64)).view(np.int64)
+    df = spark.createDataFrame([(int(p),) for p in points], "fp bigint")
+    shards = simhash.shard_points(df, shard_points=30)
+    got = {r["node"]: r["component"] for r in connected_components(simhash.link_shards(shards)).collect()}
+    known = brute_components(points.tolist(), lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    assert {n: got.get(n, n) for n in points.tolist()} == known
+
+
+def test_nothing_staged_is_left_but_the_result(spark, edges):
+    root = Path(shared_root(spark).removeprefix("file:"))
+    before = set(root.iterdir())
+    simhash.near_duplicates(edges, points=6)
+    assert [p.name.rpartition("-")[0] for p in set(root.iterdir()) - before] == ["simhash-components"]
+
+
 @pytest.mark.parametrize("shard", [5, 8192])
 def test_shards_lose_no_link(spark, shard):
     points = clustered(9, 250)
