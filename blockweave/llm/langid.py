@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from .common import map_arrow
 
 DIMS = 4096
@@ -132,29 +133,32 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, k: int = CENTROIDS) -> Model:
     """A model of rows with text and lang, from at most ``sample`` of them (a hash of the id picks them).
 
-    Rows with a null text or lang, or without a letter, teach nothing; no usable row gives a model without languages.
+    Each language has an equal part in the sample; of more than ``sample`` languages the rarest have none. Rows with a
+    null text or lang, or without a letter, teach nothing; no usable row gives a model without languages.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
+    # As many languages as the sample can hold one text of each; a table of such size is broadcast.
+    sizes = stage(labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample), "languages")
+    known = sizes.count()
+    if not known:
         return Model()
-    each = max(1, sample // len(sizes))
-    chance = F.lit(0.0)
-    for lang, n in sizes.items():
-        chance = F.when(F.col("lang") == lang, F.lit(min(1.0, 0.9 * each / n))).otherwise(chance)
+    each = max(1, sample // known)
+    chance = F.least(F.lit(1.0), F.lit(1.2 * each) / F.col("count"))
     u = F.xxhash64("doc_id", F.lit(11)).cast("double") / F.lit(float(1 << 64)) + 0.5
-    drawn = labelled.filter(u < chance).select("lang", "text")
+    drawn = labelled.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang").filter(u < chance).select("lang", u.alias("u"), "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [count_grams(t, dims) for t in batch.column("text").to_pylist()]
         packed = [np.minimum(c, 65535).astype(np.uint16).tobytes() for c, _ in rows]
         return pa.RecordBatch.from_arrays(
-            [batch.column("lang"), pa.array(packed, pa.binary()), pa.array([n for _, n in rows], pa.int64())],
-            ["lang", "counts", "letters"],
+            [batch.column("lang"), batch.column("u"), pa.array(packed, pa.binary()), pa.array([n for _, n in rows], pa.int64())],
+            ["lang", "u", "counts", "letters"],
         )
 
-    got = map_arrow(drawn, count, "lang string, counts binary, letters bigint", "text").toPandas()
-    got = got[got["letters"] > 0].sort_values(["lang", "letters", "counts"]).head(sample)
+    got = map_arrow(drawn, count, "lang string, u double, counts binary, letters bigint", "text").toPandas()
+    # Somewhat more are drawn than are wanted; of each language those with the least hashes stay.
+    got = got[got["letters"] > 0].sort_values(["lang", "u", "letters", "counts"]).groupby("lang").head(each)
+    got = got.sort_values(["lang", "letters", "counts"])
     if got.empty:
         return Model()
     counts = np.stack([np.frombuffer(b, np.uint16) for b in got["counts"]])
@@ -202,17 +206,24 @@ def predict(docs: DataFrame, model: Model, sharpness: float = 25.0) -> DataFrame
 
 
 def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text the model does not reject, unchanged."""
+    """The rows of ``docs`` whose text the model does not reject, unchanged.
+
+    A model without languages (nothing in the table is labelled) has nothing to judge by: it rejects texts without a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def accepted(texts):
         import pandas as pd
 
-        m, out = shared.value, []
-        for text in texts:
-            counts, n = count_grams(text or "", DIMS if m.idf is None else len(m.idf))
-            out.append(bool(m.languages) and n > 0 and m.cosines(counts[None])[0].max() >= m.floors[length_class(np.array([n]))[0]])
-        return pd.Series(out, dtype=bool)
+        m, out = shared.value, np.zeros(len(texts), bool)
+        for start in range(0, len(texts), 256):
+            rows = [count_grams(t or "", len(m.idf) if m.languages else DIMS) for t in texts[start:start + 256]]
+            letters = np.array([n for _, n in rows])
+            fine = letters > 0
+            if m.languages:
+                fine &= m.cosines(np.stack([c for c, _ in rows])).max(axis=1) >= m.floors[length_class(letters)]
+            out[start:start + 256] = fine
+        return pd.Series(out)
 
     return docs.filter(accepted("text"))

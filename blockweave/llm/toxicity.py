@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 from ..sources.staging import stage
 from .common import map_arrow
 
-#: Labelled texts that a model is fitted on, at most, of either label; and entries of a lexicon, at most.
+#: Labelled texts that a model is fitted on, at most, of either label.
 SAMPLE_TOXIC = 5_000
 SAMPLE_CLEAN = 15_000
-ENTRIES = 2_000
 #: Lengths of beginnings of words that may become entries.
 STEMS = range(3, 9)
 #: Rounds of search, each among the toxic texts that no entry explains yet, and the part of a round's best evidence that
@@ -131,7 +130,7 @@ def exception_phrase(phrase: str) -> str:
 
 
 def _measures(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(lexicon)  # at most ENTRIES entries and as many exceptions
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)  # what a sample of bounded size gives evidence of
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [shared.value.measure(t or "") for t in batch.column("text").to_pylist()]
@@ -198,10 +197,11 @@ def fit(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = ()) -> Le
             F.col("clean") > 0, F.col("clean") * (F.log(1 - share) - F.log(F.lit(n_clean / (left + n_clean))))
         ).otherwise(F.col("clean") * 0.0)
         found = counts.filter(share >= 0.8).withColumn("tail", tail).filter(F.col("tail") > math.log(max(1, counts.count())) + 3)
-        rows = found.orderBy(F.desc("tail"), "entry").limit(ENTRIES).collect()
-        if not rows:
+        best = found.agg(F.max("tail")).first()[0]
+        if best is None:
             break
-        rows = [r for r in rows if r["tail"] >= EVIDENCE * rows[0]["tail"]]
+        # Bounded by the evidence that an entry needs and the sample that gives it, not by a number.
+        rows = found.filter(F.col("tail") >= EVIDENCE * best).orderBy(F.desc("tail"), "entry").collect()
         fresh = _closed({r["entry"]: (r["n"], r["clean"]) for r in rows})
         for entry, (p, n) in fresh.items():
             lexicon.weights[entry] = round(math.log((p + 0.5) / (left + 1)) - math.log((n + 0.5) / (n_clean + 1)) + math.log1p(p), 6)
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = ()) -> Le
         forms = in_clean.filter(whole & (F.col("clean") >= EXCEPTION_TEXTS)).join(in_toxic, "entry", "left").na.fill(0, ["toxic"])
         # Rates, not counts: the samples of either label differ in size.
         spared = forms.filter(F.col("toxic") * F.lit(n_clean) <= F.col("clean") * F.lit(n_toxic))
-        spared = spared.orderBy(F.desc("clean"), "entry").limit(ENTRIES).collect()
+        spared = spared.orderBy(F.desc("clean"), "entry").collect()
         lexicon.exceptions += tuple(r["entry"] for r in spared)
     lexicon.terms = _fit_terms(_measures(sample, lexicon).select("weight", "words", "toxic").toPandas())
     return lexicon
