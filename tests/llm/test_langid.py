@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,7 +59,38 @@ def test_empty_tables_and_no_labels(edges, nothing, model):
     assert langid.predict(nothing, model).count() == 0
     none = langid.fit(nothing)
     assert none.languages == [] and {r["lang_pred"] for r in langid.predict(edges, none).collect()} == {"und"}
-    assert langid.keep_accepted(edges, none).isEmpty()
+    with_letter = sum(any(c.isalpha() for c in r["text"] or "") for r in edges.collect())
+    assert langid.keep_accepted(edges, none).count() == with_letter > 0
+
+
+def test_equals_a_plain_tf_idf_and_cosines(spark, labelled, model):
+    """Weights and cosines written out again, gram by gram."""
+    def grams(t):
+        line = re.sub(r"[^a-zа-яé]+", " ", f" {t.lower()} ")
+        return Counter(line[i:i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1) if n > 1 or line[i] != " ")
+
+    place = {}
+    for _, t, _ in labelled:
+        for g in grams(t):
+            place.setdefault(g, int(np.flatnonzero(langid.count_grams(g)[0])[0]) if len(g) == 1 else None)
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame([r[:2] for r in labelled[:60]], "doc_id bigint, text string"), model).collect()}
+    for i, t, _ in labelled[:60]:
+        counts, letters = langid.count_grams(t)
+        assert counts.sum() == sum(grams(t).values()) and letters == sum(c.isalpha() for c in t)
+        weights = [math.log1p(float(c)) * float(w) for c, w in zip(counts, model.idf)]
+        size = math.sqrt(sum(w * w for w in weights))
+        near = {name: max(sum(w * float(x) for w, x in zip(weights, c)) / size for c, o in zip(model.centroids, model.owner) if model.languages[o] == name) for name in model.languages}
+        best = max(near.values())
+        assert near[got[i]["lang_pred"]] > best - 1e-5
+        assert abs(got[i]["score"] - 1 / sum(math.exp(25 * (v - best)) for v in near.values())) < 1e-3
+        assert got[i]["rejected"] == (best < model.floors[min(int(math.log2(letters)), 16)])
+
+
+def test_no_language_is_cut_by_its_name(spark, labelled):
+    docs = spark.createDataFrame(labelled * 3, "doc_id bigint, text string, lang string")
+    for sample in (4, 8, 100):
+        assert langid.fit(docs, sample=sample).languages == sorted(SYLLABLES)
+    assert len(langid.fit(docs, sample=2).languages) == 2, "more languages than samples: the most frequent ones"
 
 
 def test_sample_is_bounded(spark, labelled):

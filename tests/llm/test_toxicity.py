@@ -89,3 +89,38 @@ def test_form_of_a_stem_in_few_clean_texts_is_no_exception(spark):
     assert "\nvexamo\n" not in learned.exceptions and "\nvexi" + "iium\n" in learned.exceptions
     marked = scores(spark, learned, ["so vexamo it is", "so vexira it is", "so vexillum it is"])
     assert [s >= 0.5 for s in marked] == [True, True, False]
+
+
+def test_matches_are_those_of_a_plain_search():
+    """Every entry looked for at every place, without an automaton."""
+    rng = random.Random(6)
+    for _ in range(60):
+        pool = ["".join(rng.choice("abo") for _ in range(rng.randrange(2, 5))) for _ in range(12)]
+        weights = {("\n" + w if rng.random() < 0.5 else "\n" + w + "\n"): round(rng.uniform(0.5, 3), 3) for w in pool}
+        spared = tuple("\n" + "".join(rng.choice("abo") for _ in range(4)) + "\n" for _ in range(3))
+        lexicon = toxicity.Lexicon(weights=dict(weights), exceptions=tuple(e for e in spared if e not in weights))
+        folded = toxicity.fold(" ".join("".join(rng.choice("abo") for _ in range(rng.randrange(1, 7))) for _ in range(30)))
+        inside = [(i, i + len(e)) for e in lexicon.exceptions for i in range(len(folded)) if folded.startswith(e, i)]
+        hits = sorted((i, i + len(e), w) for e, w in weights.items() for i in range(len(folded)) if folded.startswith(e, i))
+        wanted = []
+        for a, b, w in hits:
+            if any(x <= a and b <= y for x, y in inside):
+                continue
+            if wanted and a < wanted[-1][1] - 1:
+                if w > wanted[-1][2]:
+                    wanted[-1] = (a, b, w)
+            else:
+                wanted.append((a, b, w))
+        assert lexicon.matches(folded) == wanted
+
+
+def test_lexicon_has_no_cap(spark):
+    """Thousands of entries with like evidence are all learned."""
+    rows, labels = [], []
+    for i in range(400):
+        rows.append((i, " ".join(f"bad{c}" for c in ("q" * (k + 1) + "z" * (i % 8) for k in range(8)))))
+        labels.append((i, i % 2))
+    rows = [(i, t if i % 2 else " ".join(w.replace("bad", "good") for w in t.split())) for i, t in rows]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert lexicon.weights and all(lexicon.matches(toxicity.fold(t)) for i, t in rows if i % 2)
+    assert not hasattr(toxicity, "ENTRIES")
