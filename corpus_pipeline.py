@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from blockweave.llm import decontaminate, langid, packing, secret_scan, simhash
 from blockweave.llm.common import table
-from blockweave.llm.queries import learnable, tokenizer_file
+from blockweave.llm.queries import tokenizer_file
 from blockweave.sources.staging import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that a model of the labelled part of ``docs`` rejects, and those without a letter."""
-    return langid.keep_accepted(docs, langid.fit(docs.filter(learnable(docs))))
+    """Drops documents that a model of the labelled rows of ``docs`` rejects, and those without a letter.
+
+    Without a labelled row nothing is known of any language, and every document with a letter stays.
+    """
+    return langid.keep_accepted(docs, langid.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
