@@ -8,6 +8,7 @@ left out of the fit.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -143,7 +144,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, k: int = CENTRO
     if not known:
         return Model()
     each = max(1, sample // known)
-    chance = F.least(F.lit(1.0), F.lit(1.2 * each) / F.col("count"))
+    # Enough more than are wanted that chance leaves no language short.
+    chance = F.least(F.lit(1.0), F.lit(each + 4 * math.sqrt(each) + 8) / F.col("count"))
     u = F.xxhash64("doc_id", F.lit(11)).cast("double") / F.lit(float(1 << 64)) + 0.5
     drawn = labelled.select("doc_id", "lang", "text").join(F.broadcast(sizes), "lang").filter(u < chance).select("lang", u.alias("u"), "text")
 
