@@ -125,12 +125,16 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES)
 
 
 def findings_by_blob(ledger: DataFrame, rules=RULES) -> DataFrame:
-    """``blob, spans``: all findings of the present rule versions, by start, then kind. Blobs without any are absent."""
+    """``blob, spans``: all findings of the present rule versions, by start, then kind. Blobs without any are absent.
+
+    A table of its own: its size says how it meets the paths, and a join that reads it as it lies can be split where one
+    blob has very many paths, which Spark does not do above an aggregate.
+    """
     keys = [r.key for r in rules]
     found = ledger.filter(F.col("rule").isin(keys) & (F.size("starts") > 0)).dropDuplicates(["blob", "rule"])
     span = F.struct(F.col("z.starts").alias("start"), F.col("kind"), F.col("z.ends").alias("end"))
     found = found.select("blob", "kind", F.explode(F.arrays_zip("starts", "ends")).alias("z")).select("blob", span.alias("s"))
-    return found.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    return stage(found.groupBy("blob").agg(F.array_sort(F.collect_list("s")).alias("spans")), "secret-findings")
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from blockweave.llm import secret_scan
@@ -69,3 +70,41 @@ def test_empty_table(nothing):
 def test_native(edges):
     plan = secret_scan.scan_documents(edges)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_a_second_round_scans_for_the_new_rule_alone(edges, monkeypatch):
+    whole = sorted(map(str, secret_scan.scan_documents(edges).collect()))
+    _, ledger = secret_scan.update_ledger(edges, None, secret_scan.RULES[:-1])
+    due = secret_scan.unseen(secret_scan.versions(edges), ledger).select("blob", "due").collect()
+    assert len({r["blob"] for r in due}) == len(due) > 0 and {tuple(r["due"]) for r in due} == {(secret_scan.RULES[-1].key,)}
+    scanned = []
+    scan = secret_scan.scan
+    monkeypatch.setattr(secret_scan, "scan", lambda blobs, rules: scanned.append(blobs.select("due").distinct().collect()) or scan(blobs, rules))
+    assert sorted(map(str, secret_scan.scan_documents(edges, ledger).collect())) == whole
+    assert [[r["due"] for r in x] for x in scanned] == [[[secret_scan.RULES[-1].key]]]
+    _, ledger = secret_scan.update_ledger(edges, ledger)
+    assert secret_scan.unseen(secret_scan.versions(edges), ledger).isEmpty(), "nothing is due a third time"
+
+
+def test_a_blob_with_a_third_of_all_paths_is_split(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    text = "token = 'abcdefghijklmnop'"
+    rows = [(i, text if i % 3 == 0 else f"{i} token = 'abcdefghijk{i:06d}'") for i in range(6000)]
+    noise = random.Random(1)  # what a row carries besides, which does not shrink when it is compressed
+    docs = spark.createDataFrame([(*r, noise.randbytes(200).hex()) for r in rows], "doc_id bigint, text string, extra string").repartition(12)
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for found in (secret_scan.scan_documents(docs), secret_scan.redact(docs)):
+            assert len(found.collect()) == 6000
+            final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "SortMergeJoin" in final and "Aggregate" not in final, "nothing above the exchange needs a key's rows together"
+        assert "SortMergeJoin(skew=true)" in final
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
