@@ -9,6 +9,7 @@ length at this offset. Pieces find theirs by their rank among those of equal len
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from array import array
 
@@ -26,6 +27,9 @@ LIMIT = 1024
 RANK_PARTS = 256
 #: Fixed value: how byte-level BPE parts a text before it merges; no merge crosses these borders.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Blanks in a row with which a text goes to the library: the faster implementation gives up on about a million.
+LONG_BLANKS = 100_000
+_BLANKS = re.compile(r"\s+")
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -36,11 +40,16 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def long_blanks(text: str, least: int = LONG_BLANKS) -> bool:
+    """Whether ``text`` has a run of so many blanks."""
+    return len(text) >= least and any(m.end() - m.start() >= least for m in _BLANKS.finditer(text))
+
+
 class TokenIds:
     """Little-endian ids of a text by the vocabulary of a byte-level BPE file.
 
     Its ids are in the order of its merges, so they serve as ranks for a faster implementation of the same merges; the
-    library whose file it is takes what that one gives up on. With ``added``, the library also takes each text that holds
+    library whose file it is takes texts with blanks that one would give up on. With ``added``, the library also takes each text that holds
     an added token of the file, which it cuts out as that token's id; without, special tokens are ordinary text.
     """
 
@@ -54,15 +63,9 @@ class TokenIds:
         self._fast = tiktoken.Encoding("vocabulary", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if any(t in text for t in self._added):
+        if any(t in text for t in self._added) or long_blanks(text):
             return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        try:
-            ids = self._fast.encode_ordinary(text)
-        except (KeyboardInterrupt, SystemExit):
-            raise
-        except BaseException:  # its regex engine's panic on runs of about a million blanks is no Exception
-            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        return array("I", self._fast.encode_ordinary(text)).tobytes()
 
 
 #: By file alone, or by file and ``added``.

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -124,3 +125,9 @@ def test_ranks_of_one_hot_length(spark):
     for r in packing.ranked(df, 16).collect():
         ranks[r["length"]].append(r["rank"])
     assert all(sorted(r) == list(range(len(r))) for r in ranks.values())
+
+
+@pytest.mark.parametrize("text", [" " * 99_999 + "x", " " * 100_000, "a" + "\n" * 1_200_000 + "b", "é" * 300_000, "!" * 300_000, "7" * 300_000, "\t \n" * 40_000])
+def test_long_runs_have_the_library_s_ids(text):
+    ids = packing.TokenIds(FILE, added=True)
+    assert ids.encode(text) == array("I", Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids).tobytes()
