@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import owned, stage
 from .common import ascii_lower
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -138,12 +138,14 @@ def _search(docs: DataFrame, items: DataFrame, window: int, gram: int) -> tuple[
     return windows, shared, hits
 
 
+@owned()
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_words, n_hit, items``: words of each document inside any occurring window; ids of items, sorted.
 
     ``items`` are strings. Null and empty texts have no words; rows with a null ``doc_id`` are told apart by their texts;
     null item ids are left out of ``items`` (their words count); repeated items and rows change nothing; an empty benchmark
     hits nothing; an empty table gives no rows.
+    The result is a table of the caller's.
     """
     docs = _keyed(docs)
     windows, shared, hits = _search(docs, items, window, gram)
@@ -164,12 +166,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     results = results.select(
         *KEYS, "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
-    return _join_keys(docs.select(*KEYS), results, "inner").select("doc_id", "n_words", "n_hit", "items")
+    found = _join_keys(docs.select(*KEYS), results, "inner").select("doc_id", "n_words", "n_hit", "items")
+    return stage(found, "contamination", keep=True)
 
 
+@owned()
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a hit, unchanged; rows with a null ``doc_id`` are judged by their texts."""
     _, _, hits = _search(_keyed(docs), items, WINDOW, GRAM)
-    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("own").alias("hit_own")).distinct()
+    hits = stage(hits.select(F.col("doc_id").alias("hit_id"), F.col("own").alias("hit_own")).distinct(), "contaminated", keep=True)
     own = F.when(docs["doc_id"].isNull(), F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
     return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]) & own.eqNullSafe(hits["hit_own"]), "left_anti")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import owned, stage
 from .common import map_arrow
 
 DIMS = 4096
@@ -131,6 +131,7 @@ class Model:
         return np.array([near[:, self.owner == i].max(axis=1) for i in range(len(self.languages))]).T
 
 
+@owned()  # what is staged here is used up when the model is there
 def fit(docs: DataFrame, sample: int = SAMPLE, dims: int = DIMS, k: int = CENTROIDS) -> Model:
     """A model of rows with text and lang, from at most ``sample`` of them (a hash of the id picks them).
 

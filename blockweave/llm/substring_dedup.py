@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from ..sources.staging import owned, stage
 from .common import pieces
 from .windows import Windows, merged, repeated_spans, with_spans
 
@@ -126,12 +127,13 @@ def repeats(groups: list[list[tuple[int, int, bytes]]], length: int = LENGTH) ->
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, starts array<int>, stops array<int>"
 
 
+@owned()
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part_runs: int | None = None) -> DataFrame:
     """Each row's words that no window of a document with a smaller id covers, as a digest, and the removed spans.
 
     Words are runs of anything but ASCII blanks, unchanged; a null text has none. Documents of fewer words than a window
     lose nothing. A null id is neither smaller nor larger than any; rows that repeat a document get its result each; an empty
-    table gives no rows.
+    table gives no rows. The result is a table of the caller's.
     """
     spec = word_windows(length, gram)
     extra = {} if part_runs is None else {"part_runs": part_runs}
@@ -154,4 +156,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
             names = [c.split()[0] for c in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return with_spans(docs, spans).mapInArrow(run, RESULT)
+    return stage(with_spans(docs, spans).mapInArrow(run, RESULT), "substring-dedup", keep=True)

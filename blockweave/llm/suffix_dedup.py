@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..sources.staging import owned, stage
 from .common import pieces
 from .windows import Windows, merged, repeated_spans, with_spans
 
@@ -104,12 +105,13 @@ def repeats(groups: list[list[tuple[int, int, bytes]]], length: int = LENGTH) ->
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, starts array<int>, stops array<int>"
 
 
+@owned()
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part_runs: int | None = None) -> DataFrame:
     """Each row's bytes that no earlier ``length``-byte string covers, as a digest, and the removed spans.
 
     A byte goes if a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id, or
     further up in its own. Texts shorter than that, empty and null ones lose nothing; a null id is neither smaller nor
-    larger; rows that repeat a document get its result each; an empty table gives no rows.
+    larger; rows that repeat a document get its result each; an empty table gives no rows. The result is a table of the caller's.
     """
     spec = byte_windows(length, gram)
     extra = {} if part_runs is None else {"part_runs": part_runs}
@@ -131,4 +133,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
             names = [c.split()[0] for c in RESULT.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return with_spans(docs, spans).mapInArrow(run, RESULT)
+    return stage(with_spans(docs, spans).mapInArrow(run, RESULT), "suffix-dedup", keep=True)

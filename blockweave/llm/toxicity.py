@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import owned, stage
 from .common import map_arrow
 
 #: Labelled texts that a model is fitted on, at most, of either label.
@@ -165,6 +165,7 @@ def _closed(found: dict[str, tuple[int, int]]) -> dict[str, tuple[int, int]]:
     return {e: v for e, v in out.items() if not any(e != s and e.startswith(s) for s in out)}
 
 
+@owned()  # what is staged here is used up when the model is there
 def fit(docs: DataFrame, labels: DataFrame, phrases: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon of labelled texts, from bounded samples that a hash of the id picks.
 
