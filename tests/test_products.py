@@ -294,12 +294,12 @@ def test_absent_cells_of_stored_blocks_are_zeros(spark):
 def test_block_diagonal_ships_each_block_once(spark):
     a = np.kron(np.eye(6), np.ones((2, 2)))
     seen = []
-    original = product._stream_tiles
+    original = product.stream_tiles
     try:
-        product._stream_tiles = lambda placed, *rest: seen.append(placed.count()) or original(placed, *rest)
+        product.stream_tiles = lambda placed, *rest: seen.append(placed.count()) or original(placed, *rest)
         got = bw.multiply_sparse_blocks(*(to_blocks(spark, a, 2) for _ in "ab"), None, 8 * 4 * 3, 1.0)
     finally:
-        product._stream_tiles = original
+        product.stream_tiles = original
     assert seen == [12] and np.array_equal(from_blocks(got), a @ a)
 
 
