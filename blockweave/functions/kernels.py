@@ -353,6 +353,112 @@ def cell_product_kernel(
     return cell_product
 
 
+#: Nanoseconds of one product of two entries, and of one multiplication inside a dense product of values and of places.
+PAIR_NS, LAID_OUT_NS = 20.0, 0.1
+#: Entries of a tile that are multiplied at a time, products formed at a time, contracted indexes laid out at a time.
+CHUNK_ROWS, PAIRS, PANEL = 1 << 18, 1 << 21, 256
+
+
+class _EntrySums:
+    """Sums of a result tile of ``tr x tk`` cells and one more row and column, for indexes that are null."""
+
+    def __init__(self, tr: int, tk: int):
+        self.tr, self.tk = tr, tk
+        self.total = np.zeros((tr + 1, tk + 1))
+        self.met, self.valued = np.zeros((tr + 1, tk + 1), bool), np.zeros((tr + 1, tk + 1), bool)
+
+    def add(self, c: np.ndarray, is_left: np.ndarray, at: np.ndarray, v: np.ndarray, null: np.ndarray) -> None:
+        """All entries of some contracted indexes, in their order."""
+        c = np.concatenate(([0], np.cumsum(c[1:] != c[:-1])))
+        a, b = ([x[side] for x in (c, at, v, null)] for side in (is_left, ~is_left))
+        start = np.searchsorted(b[0], np.arange(c[-1] + 2))
+        counts = (start[1:] - start[:-1])[a[0]]
+        plain = not null.any() and np.isfinite(v).all()
+        for first in range(0, int(c[-1]) + 1, PANEL):
+            lo, hi = np.searchsorted(a[0], (first, first + PANEL))
+            own = slice(start[first], start[min(first + PANEL, len(start) - 1)])
+            pairs = int(counts[lo:hi].sum())
+            if not pairs:
+                continue
+            if plain and pairs * PAIR_NS > self.total.size * min(PANEL, c[-1] + 1 - first) * LAID_OUT_NS:
+                self._lay_out([x[lo:hi] for x in a[:3]], [x[own] for x in b[:3]], first)
+            else:
+                self._pair([x[lo:hi] for x in a], b, counts[lo:hi], start)
+
+    def _lay_out(self, a: list, b: list, first: int) -> None:
+        left, right = np.zeros((self.tr + 1, PANEL)), np.zeros((PANEL, self.tk + 1))
+        left[a[1], a[0] - first] = a[2]
+        right[b[0] - first, b[1]] = b[2]
+        self.total += left @ right
+        left, right = (np.zeros(x.shape, np.float32) for x in (left, right))
+        left[a[1], a[0] - first] = 1
+        right[b[0] - first, b[1]] = 1
+        self.valued |= left @ right > 0
+
+    def _pair(self, a: list, b: list, counts: np.ndarray, start: np.ndarray) -> None:
+        total, met, valued = (x.reshape(-1) for x in (self.total, self.met, self.valued))
+        ends = np.cumsum(counts)
+        first = 0
+        while first < len(counts):
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+            own = counts[first:last]
+            each = np.repeat(np.arange(first, last), own)
+            other = np.arange(len(each)) - np.repeat(ends[first:last] - own - done, own) + start[a[0][each]]
+            cell = a[1][each] * np.int64(self.tk + 1) + b[1][other]
+            null = a[3][each] | b[3][other]
+            if null.any():
+                met[cell[null]] = True
+                each, other, cell = each[~null], other[~null], cell[~null]
+            with np.errstate(invalid="ignore", over="ignore"):
+                np.add.at(total, cell, a[2][each] * b[2][other])
+            valued[cell] = True
+            first = last
+
+    def entries(self, first_row: int, first_col: int) -> Iterator[pa.RecordBatch]:
+        """``i, j, v`` of the cells in which entries have met; null where no product has a value."""
+        self.met |= self.valued
+        cells = np.flatnonzero(self.met)
+        for k in range(0, len(cells), CHUNK_ROWS):
+            some = cells[k:k + CHUNK_ROWS]
+            row, col = np.divmod(some, self.tk + 1)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row + first_row, mask=row == self.tr),
+                pa.array(col + first_col, mask=col == self.tk),
+                pa.array(self.total.reshape(-1)[some] + 0.0, mask=~self.valued.reshape(-1)[some]),
+            ], ["i", "j", "v"])
+
+
+def entry_product_kernel(tr: int, tk: int) -> Kernel:
+    """Group of A- and B-entries of one result tile of ``tr x tk`` cells -> the tile's entries.
+
+    Rows are ``rt, kt, piece, c, is_left, at, v`` in the order of ``c``; ``at`` is the row or column within the tile, and
+    ``tr`` or ``tk`` for an index that is null. Cells of an operand are distinct, so an index has no more rows than the tile
+    has sides. The group streams in; the tile and the entries of some indexes are held.
+    """
+
+    def entry_product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held, rows, rt, kt = _EntrySums(tr, tk), [], 0, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rt, kt = batch.column("rt")[0].as_py(), batch.column("kt")[0].as_py()
+            c, is_left, at = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("c", "is_left", "at"))
+            v = batch.column("v")
+            held.append((c, is_left, at, v.fill_null(0.0).to_numpy(), v.is_null().to_numpy(zero_copy_only=False)))
+            rows += len(c)
+            if rows >= CHUNK_ROWS and c[0] != c[-1]:
+                parts = [np.concatenate(x) for x in zip(*held)]
+                cut = int(np.searchsorted(parts[0], c[-1]))
+                sums.add(*(x[:cut] for x in parts))
+                held, rows = [tuple(x[cut:] for x in parts)], len(parts[0]) - cut
+        if rows:
+            sums.add(*(np.concatenate(x) for x in zip(*held)))
+        yield from sums.entries(rt * tr, kt * tk)
+
+    return entry_product
+
+
 def divide_kernel(a_terms: dict, b_terms: dict, bs: int, binary: bool) -> Kernel:
     """Group of blocks at one in-quadrant position -> the operand blocks of every sub-problem at that position.
 

@@ -124,6 +124,13 @@ def test_library_never_gathers_data_on_the_driver():
             assert word not in text, f"{word} in {file.name}"
 
 
+@pytest.mark.parametrize("name", ["preview_product"])
+def test_large_entry_products_are_summed_where_they_are_formed(spark, name):
+    """Before the result is shuffled, no task sums up the pairs of a join over all of the result."""
+    text = plan(entry.queries()[name](spark, SF_DIR))
+    assert "FlatMapGroupsInArrow [rt" in text and "partial_sum((av" not in text
+
+
 def test_sketch_takes_an_exchange_less(spark):
     pair = to_coo(spark, integers(1, 4, 4)), to_coo(spark, integers(2, 4, 4))
     full, sketch = (bw.multiply_coo(*pair, unique=True, search=s) for s in ("counts", "sketch"))

@@ -337,3 +337,70 @@ def test_sketch_of_empty_and_disjoint_operands(spark):
     assert bw.multiply_coo(a, none, search="sketch").count() == 0 and bw.multiply_coo(none, a, search="sketch").count() == 0
     apart = a.withColumn("i", F.col("i") + 100)
     assert bw.multiply_coo(a, apart, search="sketch", share=0.01).count() == 0
+
+
+# --- products by entry on result tiles ---------------------------------------------------------------------------------
+
+
+def entry_rows(df):
+    return sorted(repr((r.i, r.j, r.v)) for r in df.collect())
+
+
+@pytest.mark.parametrize("area,least,search", [(1 << 21, 1 << 16, "counts"), (40, 1, "counts"), (40, 1, "sketch"), (300, 300, "counts")])
+@pytest.mark.parametrize("split_heavy", [False, True])
+def test_entry_product_on_tiles(spark, monkeypatch, area, least, search, split_heavy):
+    monkeypatch.setattr(product, "RESULT_CELLS", area)
+    monkeypatch.setattr(product, "LEAST_CELLS", least)
+    a, b = integers(61, 30, 50, 0.2), integers(62, 50, 23, 0.3)
+    a[3], b[:, 5] = 2.0, 3.0  # a tile of rows and one of columns with most of the entries
+    got = bw.multiply_coo(to_coo(spark, a), to_coo(spark, b), dims=(30, 23), search=search, split_heavy=split_heavy, share=0.2)
+    assert got.count() == got.select("i", "j").distinct().count()
+    assert np.array_equal(from_coo(got, (30, 23)), a @ b)
+
+
+@pytest.mark.parametrize("dims", [(4, 4), (1000, 3), (1, 1)])
+def test_odd_entries_on_tiles_are_those_of_the_join(spark, monkeypatch, dims):
+    """Nulls, stored zeros, infinities, rows beyond ``dims`` or below zero, duplicates: cell for cell what the join gives."""
+    monkeypatch.setattr(product, "RESULT_CELLS", 6)
+    monkeypatch.setattr(product, "LEAST_CELLS", 6)
+    schema = "i bigint, j bigint, v double"
+    a = [(0, 0, 1.0), (0, 0, 2.0), (None, 0, 5.0), (-3, 1, 1.0), (7, 1, 0.0), (2, None, 4.0), (1, 2, None), (1, 1, 2.0), (3, 2, None), (9, 3, float("inf"))]
+    b = [(0, 0, 1.0), (0, None, 2.0), (1, 8, 3.0), (1, -1, 1.0), (2, 2, 1.0), (None, 1, 1.0), (3, 0, 0.0), (3, 1, 1.0), (2, 8, None)]
+    a, b = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    assert entry_rows(bw.multiply_coo(a, b, dims=dims)) == entry_rows(bw.multiply_coo(a, b))
+
+
+def test_laid_out_panels_keep_to_entries(spark, monkeypatch):
+    """Panels that are multiplied as matrices give no cell in which no entries meet, and keep stored zeros."""
+    from blockweave.functions import kernels
+
+    a, b = integers(63, 40, 600, 0.3), integers(64, 600, 9, 0.3)
+    a[5] = 0
+    index = []
+    for c in range(600):
+        for n in np.flatnonzero(a[:, c]):
+            index.append((c, True, n, a[n, c]))
+        for n in np.flatnonzero(b[c]):
+            index.append((c, False, n, b[c, n] * (n != 4)))
+    b[:, 4] = 0
+    c, is_left, at, v = (np.array(x) for x in zip(*index))
+    for cost in (0.0, 1e9):
+        monkeypatch.setattr(kernels, "PAIR_NS", cost)
+        sums = kernels._EntrySums(40, 9)
+        sums.add(c, is_left, at, v, np.zeros(len(c), bool))
+        assert np.array_equal(sums.total[:40, :9], a @ b)
+        assert sums.valued[:40, 4].sum() == 39 and not sums.valued[5].any() and not sums.valued[40].any()
+
+
+def test_an_entry_goes_only_to_tiles_where_it_meets_another(spark, monkeypatch):
+    """Four blocks along the diagonal: what is summed on tiles leaves them as the result, each cell once."""
+    monkeypatch.setattr(product, "RESULT_CELLS", 100)
+    monkeypatch.setattr(product, "LEAST_CELLS", 100)
+    x = np.kron(np.eye(4), np.ones((10, 10)))
+    seen = []
+    real = product.kernels.entry_product_kernel
+    monkeypatch.setattr(product.kernels, "entry_product_kernel", lambda *sides: seen.append(sides) or real(*sides))
+    got = bw.multiply_coo(to_coo(spark, x), to_coo(spark, x), dims=(40, 40), split_heavy=False)
+    assert seen == [(10, 10)] and from_coo(got, (40, 40)).sum() == 4000
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in text and got.count() == 400
