@@ -115,3 +115,48 @@ def test_compressed_gram_product_moves_a_fraction_of_the_dense_one(spark):
 def test_shape_mismatch(spark):
     with pytest.raises(ValueError):
         bw.multiply_csr(to_csr(spark, np.ones((4, 4)), 2), to_csr(spark, np.ones((6, 4)), 2))
+
+
+@pytest.mark.parametrize("task_bytes", [8, 1 << 28])
+@pytest.mark.parametrize("nnz", [0.05, 0.5])
+def test_blocks_go_only_to_tiles_where_they_meet(spark, task_bytes, nnz):
+    a, b = integers(7, 33, 40, nnz), integers(8, 40, 21, nnz)
+    a[8:16, :20] = 0
+    stored = tuple(bw.operators.product.entry_positions(to_coo(spark, x), 4) for x in (a, b))
+    got = bw.multiply_csr(to_csr(spark, a, 4), to_csr(spark, b, 4), task_bytes=task_bytes, positions=stored)
+    assert np.array_equal(from_blocks(got), a @ b)
+
+
+def test_blocks_along_the_diagonal_are_not_copied(spark):
+    """Eight times the data along the diagonal: eight times the blocks placed, and not sixty-four."""
+    from blockweave.operators import product
+
+    counts = []
+    for n in (2, 16):
+        x = np.kron(np.eye(n), np.ones((4, 4)))
+        m, at = to_csr(spark, x, 2), product.entry_positions(to_coo(spark, x), 2)
+        rows = bw.operators.compressed._tagged(m, "A").unionByName(bw.operators.compressed._tagged(m, "B"))
+        t = product.Tiling(2, 2 * n, 2, n, 1, n)
+        placed, tiles, _ = product.place_where_met(product.tag_path(rows), (at, at), t, 2, 4)
+        assert tiles == n * n
+        counts.append(placed.count())
+    assert counts == [2 * 8, 16 * 8]
+
+
+def test_compressed_blocks_need_no_group_each(spark):
+    text = to_csr(spark, integers(9, 8, 8, 0.5), 2).df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "FlatMapGroupsInArrow" not in text
+
+
+def test_runs_of_blocks_across_batches():
+    import pyarrow as pa
+
+    br, bc = np.repeat(np.arange(5), 6), np.tile(np.repeat(np.arange(2), 3), 5)
+    pos, v = np.tile(np.array([2, 0, 3]), 10), np.arange(30.0)
+    table = pa.RecordBatch.from_arrays([pa.array(x) for x in (br, bc, pos, v)], ["br", "bc", "pos", "v"])
+    whole = pa.Table.from_batches(csr_kernels.compress_runs_kernel(2)(iter([table])))
+    for size in (1, 2, 4, 7):
+        cut = (table.slice(k, size) for k in range(0, 30, size))
+        assert pa.Table.from_batches(csr_kernels.compress_runs_kernel(2)(cut)).to_pylist() == whole.to_pylist()
+    assert whole.num_rows == 10
+    assert whole.to_pylist()[1] == {"br": 0, "bc": 1, "starts": [0, 1, 3], "cols": [0, 0, 1], "vals": [4.0, 3.0, 5.0]}
