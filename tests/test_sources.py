@@ -8,6 +8,7 @@ import pytest
 from matrix_data import from_blocks, from_coo, to_coo
 
 import blockweave as bw
+from blockweave.operators.layout import list_in_full
 from blockweave.sources import staging
 
 FOUR = np.arange(1.0, 17.0).reshape(4, 4)
@@ -231,3 +232,28 @@ def test_an_aggregate_of_good_lines_still_reads_lines_whole(spark, tmp_path):
     found = bw.read_quarantined(spark, str(path))
     assert (found.good.count(), found.bad.count()) == (1, 2)
     assert found.good.select("i").count() == 1 and found.bad.select("reason").distinct().count() == 1
+
+
+def test_full_listing_has_zeros_in_runs(spark):
+    x = np.array([[0, 0, 5, 0, 0], [0, 0, 0, 0, 0], [1, 0, 0, 0, 2], [1, 2, 3, 4, 5], [0, 7, 0, 8, 0]], dtype=float)
+    rows = list_in_full(to_coo(spark, x), 5, 5).collect()
+    out = np.full((5, 5), np.nan)
+    for r in rows:
+        assert np.isnan(out[r.i, r.j:r.j + r.times]).all(), "a cell is listed twice"
+        out[r.i, r.j:r.j + r.times] = r.v
+    assert np.array_equal(out, x)
+    assert len(rows) <= 2 * np.count_nonzero(x) + 5
+    assert bw.infer_square_dim(list_in_full(to_coo(spark, x), 5, 5), times="times").first().n == 5
+    assert bw.infer_square_dim(list_in_full(to_coo(spark, x), 0, 0).where("false"), times="times").first().n == 0
+    with pytest.raises(Exception, match="do not list"):
+        bw.infer_square_dim(list_in_full(to_coo(spark, x), 5, 5).where("i + j > 0"), times="times").collect()
+    with pytest.raises(Exception, match="outside"):
+        bw.infer_square_dim(list_in_full(to_coo(spark, x), 4, 5), times="times").collect()
+
+
+def test_a_wide_listing_takes_no_row_for_each_cell(spark):
+    """A million cells a side with three entries: a row for each of 10 ** 12 cells would never end."""
+    coo = spark.createDataFrame([(0, 0, 1.0), (5, 999_999, 2.0), (999_999, 17, 3.0)], bw.COO_SCHEMA)
+    listed = list_in_full(coo, 1_000_000, 1_000_000)
+    assert bw.infer_square_dim(listed, times="times").first().n == 1_000_000
+    assert listed.count() == 1_000_004
